@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The 26 letters that contracts lower-case; other letters stay as they are.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,16 +58,36 @@ def clear_shared(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hash_filter(hashes: DataFrame, bits: int, column: str = "hash") -> np.ndarray:
+    """A one-hash Bloom filter of ``bits`` (a power of two) bits over a LONG column, as packed bytes.
+
+    Spark builds it in pieces of 4 KB; the driver gets ``bits / 8`` bytes, however many hashes there are. A fuller
+    filter lets more through and misses nothing.
+    """
+    slot = F.col(column).bitwiseAND(F.lit(bits - 1)) + 1
+    rows = hashes.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("part")).collect()
+    out = np.zeros(max(bits // 8, 4096), np.uint8)
+    for r in rows:
+        out[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.part), np.uint8)
+    return out
+
+
+def in_filter(packed: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
+    """For each hash (uint64) whether the filter may hold it."""
+    slot = hashes & np.uint64(bits - 1)
+    return (packed[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
 class WordHashes(dict):
-    """64-bit hash of a word (bytes); remembers up to CACHE_WORDS words."""
+    """64-bit hash of a word; remembers up to CACHE_WORDS words."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
