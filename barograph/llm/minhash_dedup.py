@@ -100,17 +100,22 @@ def sketches(docs: DataFrame, how: NearDup, id_col: str, text_col: str) -> DataF
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; texts: id, text."""
+def compared(pairs: DataFrame, texts: DataFrame, how: NearDup, extras: bool = False) -> DataFrame:
+    """Pairs (a, b) with linked: whether their full sets are similar enough; texts: id, text.
+
+    With ``extras`` also n (size of b's set), o (how much of it a has) and extras (what of it a lacks).
+    """
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("s")), texts.select(F.col("id").alias("b"), F.col("text").alias("t"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t")
-    schema = pairs.select("a", "b").schema
+    schema = StructType([*pairs.select("a", "b").schema.fields]).add("linked", "boolean")
+    if extras:
+        schema = schema.add("n", "long").add("o", "long").add("extras", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         known: dict[str, np.ndarray] = {}
         for batch in batches:
-            keep = []
+            linked, n, o, rest = [], [], [], []
             for s, t in zip(batch["s"].to_pylist(), batch["t"].to_pylist(), strict=True):
                 sets = []
                 for text in (s, t):
@@ -119,51 +124,87 @@ def confirmed(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
                             known.clear()
                         known[text] = shingles(cache.of(words_of(text, lower=True)), how.words)
                     sets.append(known[text])
-                same = len(np.intersect1d(*sets, assume_unique=True))
-                keep.append(100 * same >= how.percent * (len(sets[0]) + len(sets[1]) - same))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                held = np.isin(sets[1], sets[0], assume_unique=True)
+                same = int(held.sum())
+                linked.append(100 * same >= how.percent * (len(sets[0]) + len(sets[1]) - same))
+                n.append(len(sets[1]))
+                o.append(same)
+                if extras:
+                    rest.append(sets[1][~held].view(np.int64))
+            columns = [batch["a"], batch["b"], pa.array(linked, pa.bool_())]
+            if extras:
+                columns += [pa.array(n, pa.int64()), pa.array(o, pa.int64()), pa.array(rest, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "linked", "n", "o", "extras"][: len(columns)])
 
     return both.mapInArrow(run, schema)
 
 
+def open_pairs(deltas: DataFrame, how: NearDup) -> DataFrame:
+    """Pairs (a, b) of members of one group, not yet in one component, that their overlap with the lead does not rule out.
+
+    ``deltas``: a (lead), b (member), linked, n, o, extras, component. Two sets of sizes n and m are similar enough
+    only if they share at least need(n, m) shingles. What two members share is at most the smaller of their overlaps
+    with the lead, and what they share outside of it. So either they have an extra shingle in common, or both overlap
+    the lead by need(n, m); all other pairs can't be linked. Each case is an equality join.
+    """
+    p = how.percent
+    member = lambda side, *more: deltas.select(F.col("a").alias("lead"), F.col("b").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in ("linked", "n", "o", "component")], F.size("extras").alias(f"{side}_m"), *more)
+    need = F.ceil((F.col("x_n") + F.col("y_n")) * p / F.lit(100 + p))
+    overlap = F.least("x_o", "y_o")
+    # of two members that the lead is not linked with, one order is enough
+    apart = ~F.col("x_linked") & (F.col("x_component") != F.col("y_component")) & (F.col("y_linked") | (F.col("x_id") < F.col("y_id")))
+    x, y = (member(s, F.explode("extras").alias("extra")) for s in "xy")
+    shared = x.where("not x_linked").join(y, ["lead", "extra"]).where(apart & (overlap + F.least("x_m", "y_m") >= need))
+    sizes = F.sequence(F.ceil(F.col("n") * p / F.lit(100)), F.floor(F.col("o") * (100 + p) / F.lit(p)) - F.col("n"))
+    fits = F.floor(F.col("o") * (100 + p) / F.lit(p)) - F.col("n") >= F.ceil(F.col("n") * p / F.lit(100))
+    # the smaller of two sizes says which sizes the other may have; either side may be the one the lead isn't linked with
+    x = member("x", F.explode(F.when(fits, sizes)).alias("size")).where("not x_linked")
+    inside = x.join(member("y", F.col("n").alias("size")), ["lead", "size"]).where(apart & (overlap >= need))
+    pair = [F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")]
+    return shared.select(*pair).union(inside.select(*pair)).distinct()
+
+
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (the smallest id of its group) and kept.
 
-    Exact: two documents are in one group if a chain of pairs that are confirmed on full sets joins
-    them. Null and empty texts, and texts of blanks, have no shingles and are linked with nothing.
-    A null id is linked with nothing: it is its own group (component_id null) and kept. Rows that repeat
-    an id count as one document and all carry its verdict.
+    Two documents are in one group if a chain of pairs that are confirmed on full sets joins them. Null and empty
+    texts, and texts of blanks, have no shingles and are linked with nothing. A null id is linked with nothing: it is
+    its own group (component_id null) and kept. Rows that repeat an id count as one document and all carry its verdict.
 
-    Equal sets are one class, of which only the smallest id takes part in the search. First, in each bucket,
-    members are linked to the smallest one; then only pairs that share a bucket but not yet a component
-    are looked at. So a group of near copies costs links in proportion to its size, and yet no
-    link that would join two components is lost.
+    Equal sets are one class, of which only the smallest id takes part in the search. In each bucket one member leads:
+    that which shares most buckets with most others. First each member is compared with one of its leads; then, in groups
+    that hold more than one component, with all of them; and last the pairs of members that these overlaps don't rule
+    out. So a group of near copies costs comparisons in proportion to its size, and no link that would join two
+    components is lost.
     """
     made = cut(sketches(docs, how, id_col, text_col), "sketches")
     named = made.where("id is not null and set is not null")
     classes = cut(named.groupBy("set").agg(F.min("id").alias("id"), F.first("planes").alias("planes"), F.first("bands").alias("bands")), "classes")
     signs = classes.select("id", "planes")
     rows = classes.select("id", F.explode("bands").alias("bucket"))
-    shared = cut(rows.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("top")).where("lead < top").select("bucket", "lead"), "buckets")
+    shared = cut(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     members = cut(rows.join(shared, "bucket"), "members")  # of buckets with two classes at least
-    texts = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(members.select("id").distinct(), "id", "left_semi"), "texts")
+    weights = cut(members.groupBy("id").agg(F.sum("size").alias("weight")), "weights")
+    texts = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(weights.select("id"), "id", "left_semi"), "texts")
 
     def likely(pairs: DataFrame) -> DataFrame:
         p = pairs.join(signs.select(F.col("id").alias("a"), F.col("planes").alias("p")), "a").join(signs.select(F.col("id").alias("b"), F.col("planes").alias("q")), "b")
-        return p.where(how.estimate(F.col("p"), F.col("q")) >= how.least_estimate).select("a", "b")
+        return p.where(how.estimate(F.col("p"), F.col("q")) >= how.least_estimate).select(*pairs.columns)
 
-    stars = members.where("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    tried = cut(likely(stars).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "stars")
-    links = cut(confirmed(tried, texts, how), "star-links")
+    weighed = members.join(weights, "id")
+    leads = cut(weighed.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id")).alias("lead")), "leads")
+    stars = cut(members.join(leads, "bucket").where(F.col("id") != F.col("lead.id")).select(F.col("lead.id").alias("a"), F.col("id").alias("b"), F.col("lead.w").alias("w")).distinct(), "stars")
+    tried = likely(stars).groupBy("b").agg(F.min_by("a", F.struct("w", "a")).alias("a")).select("a", "b")
+    links = cut(compared(tried, texts, how).where("linked").select("a", "b"), "links")
     found = connected_components(links)
 
-    placed = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-    placed = cut(placed.join(split, "bucket", "left_semi"), "placed")
-    left, right = (placed.select("bucket", F.col("id").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
-    across = left.join(right, "bucket").where("of_a < of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirmed(likely(across.join(tried, ["a", "b"], "left_anti")), texts, how)
-    groups = connected_components(links.union(more))
+    named_by = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+    placed = stars.join(named_by("a"), "a", "left").join(named_by("b"), "b", "left").select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b"))
+    mixed_ = placed.groupBy("a").agg(F.max(F.col("of_a") != F.col("of_b")).alias("mixed")).where("mixed").select("a")
+    split = cut(placed.join(mixed_, "a", "left_semi"), "mixed-groups")
+    deltas = cut(compared(split.select("a", "b"), texts, how, extras=True).join(split.select("a", "b", F.col("of_b").alias("component")), ["a", "b"]), "deltas")
+    more = compared(likely(open_pairs(deltas, how)), texts, how).where("linked").select("a", "b")
+    groups = connected_components(links.union(deltas.where("linked").select("a", "b")).union(more))
 
     of_class = classes.select("set", "id").join(groups, "id", "left").select("set", F.coalesce("component", "id").alias("component"))
     out = made.select("id", "n", "set").join(of_class, "set", "left")
