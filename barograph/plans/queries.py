@@ -115,7 +115,7 @@ def quality_report(spark, d):
     return r6(quality.quality_report(ticks_raw(spark, d)).drop("largest_gaps_ms"), "spread_mean", "spread_p50", "spread_p99")
 
 
-@query(S.with_(S.RAW.replace("epoch_us(ts) // 1000 AS ms", "epoch_us(ts) // 1000 // 60000 * 60000"), GAPS, ISLANDS) + "SELECT * FROM isl")
+@query(S.with_(S.RAW.replace("epoch_us(ts) // 1000 AS ms", "epoch_us(ts) // 1000 // 60000 * 60000 AS ms"), GAPS, ISLANDS) + "SELECT * FROM isl")
 def duplicate_runs(spark, d):
     t = ticks_raw(spark, d).withColumn("ms", C.bucket(F.col("ms"), "M1"))
     return quality.quality_report(t).select("symbol", "max_duplicate_run")
@@ -127,7 +127,7 @@ def top_gaps(spark, d):
 
 
 @query(
-    S.with_(S.RAW.replace("epoch_us(ts) // 1000 AS ms", "epoch_us(ts) // 1000 // 60000 * 60000"), GAPS, "n AS (SELECT symbol, gap, count(*) AS n FROM g WHERE gap > 0 GROUP BY ALL)")
+    S.with_(S.RAW.replace("epoch_us(ts) // 1000 AS ms", "epoch_us(ts) // 1000 // 60000 * 60000 AS ms"), GAPS, "n AS (SELECT symbol, gap, count(*) AS n FROM g WHERE gap > 0 GROUP BY ALL)")
     + "SELECT symbol, first(gap ORDER BY n DESC, gap) AS resolution_ms FROM n GROUP BY symbol"
 )
 def resolution_mode(spark, d):

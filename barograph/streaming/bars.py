@@ -67,10 +67,10 @@ def stream_quality(ticks: DataFrame) -> DataFrame:
 
     Each batch is taken in (ms, seq) order. A tick earlier than the last of the batch before counts as out of order.
     """
-    state = "rows long, first_ms long, last_ms long, out_of_order long, dup long, best long, run long, negative long, zero long, bad long"
+    state = "rows long, first_ms long, last_ms long, prev_ms long, out_of_order long, dup long, best long, run long, negative long, zero long, bad long"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        rows, first, last, late, dup, best, run, negative, zero, bad = held.get if held.exists else (0, None, None, 0, 0, 0, 0, 0, 0, 0)
+        rows, first, top, last, late, dup, best, run, negative, zero, bad = held.get if held.exists else (0, None, None, None, 0, 0, 0, 0, 0, 0, 0)
         pdf = pd.concat(list(batches)).sort_values(["ms", "seq"])
         if len(pdf):
             seen = pdf["ms"].to_numpy()
@@ -78,10 +78,10 @@ def stream_quality(ticks: DataFrame) -> DataFrame:
                 late += int(last is not None and t < last)
                 run = run + 1 if t == last else 0
                 dup, best, last = dup + int(run > 0), max(best, run), int(t)
-            rows, first = rows + len(pdf), int(seen.min()) if first is None else min(first, int(seen.min()))
+            rows, first, top = rows + len(pdf), min([int(seen.min())] + [first] * (first is not None)), max([int(seen.max())] + [top] * (top is not None))
             negative, zero = negative + int((pdf["ask"] < pdf["bid"]).sum()), zero + int((pdf["ask"] == pdf["bid"]).sum())
             bad += int((pdf["bid"] <= 0).sum() + (pdf["ask"] <= 0).sum())
-        held.update((rows, first, last, late, dup, best, run, negative, zero, bad))
-        yield pd.DataFrame([(key[0], rows, first, last, late, dup, best, negative, zero, bad)], columns=[x.split()[0] for x in QUALITY.split(", ")])
+        held.update((rows, first, top, last, late, dup, best, run, negative, zero, bad))
+        yield pd.DataFrame([(key[0], rows, first, top, late, dup, best, negative, zero, bad)], columns=[x.split()[0] for x in QUALITY.split(", ")])
 
     return ticks.groupBy("symbol").applyInPandasWithState(step, QUALITY, state, "update", GroupStateTimeout.NoTimeout)
