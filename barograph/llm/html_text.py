@@ -71,7 +71,6 @@ def build(page: str) -> Node:
                 return end(names, walls)
 
     at = 0
-    for_raw: re.Pattern | None
     while True:
         m = TAG.search(page, at)
         if not m:
@@ -114,8 +113,7 @@ def build(page: str) -> Node:
         node = Node(name, attrs)
         open_[-1].kids.append(node)
         if name in RAW:
-            for_raw = re.compile(rf"</{name}(?=[\s/>])", re.I)
-            stop = for_raw.search(page, at)
+            stop = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             raw = page[at : stop.start() if stop else len(page)]
             node.kids.append(html.unescape(raw) if name in ("title", "textarea") else raw)
             at = page.find(">", stop.start()) + 1 or len(page) if stop else len(page)
