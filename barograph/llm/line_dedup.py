@@ -49,8 +49,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     whole = base.withColumns({"_ld_key": F.col(id_col), "_ld_hash": F.xxhash64(text_col)})
     joined = whole.join(drops, F.col("_ld_key").eqNullSafe(F.col("_ld_id")) & (F.col("_ld_hash") == F.col("_ld_text")), "left")
     n, gone = F.size(lines), F.col("_ld_drop")
-    stay = F.array_except(F.sequence(F.lit(0), n - 1), gone)
-    kept = F.when(gone.isNull(), F.array_join(lines, "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    # as one element of an array, lines and places are worked out once a row and not once a line
+    both = F.array(F.struct(lines.alias("lines"), F.array_except(F.sequence(F.lit(0), n - 1), gone).alias("stay")))
+    rest = F.transform(both, lambda x: F.array_join(F.transform(x["stay"], lambda i: F.get(x["lines"], i)), "\n"))
+    kept = F.when(gone.isNull(), F.array_join(lines, "\n")).otherwise(F.get(rest, F.lit(0)))
     return joined.select(
         *[kept.alias(c) if c == text_col else F.col(c) for c in base.columns],
         n.cast("long").alias("n_lines"),

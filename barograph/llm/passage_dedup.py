@@ -178,37 +178,59 @@ class Shard:
             words = text.split(" ")
             for at in range(0, len(words) - min(PHRASE, size) + 1, self.step):
                 phrases.setdefault(f" {' '.join(words[at : at + PHRASE])} ", []).append((k, at))
+        self.split: dict[int, list[str]] = {}
         self.automaton = ahocorasick.Automaton()
         for phrase, places in phrases.items():
             self.automaton.add_word(phrase, (len(phrase), places))
         if phrases:
             self.automaton.make_automaton()
 
+    def words(self, k: int) -> list[str]:
+        if k not in self.split:
+            self.split[k] = self.texts[k].split(" ")
+        return self.split[k]
+
     def occurrences(self, doc: int, start: int, text: str) -> Iterator[tuple[int, int]]:
-        """Start and number of words of each stretch of a segment that a passage has elsewhere."""
+        """Start and number of words of stretches of a segment that passages have elsewhere.
+
+        All words of such stretches are covered; a phrase whose windows are all covered already is passed over.
+        """
         if not len(self.automaton):
             return
-        words, offsets, seen = None, None, {}
+        words, offsets, low, high = None, None, 0, 0  # [low, high): the stretch that is covered last
         for end, (long, places) in self.automaton.iter(f" {text} "):
             if words is None:
                 words = text.split(" ")
                 offsets = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words]))).tolist()
             at = bisect_left(offsets, end - long + 1)
             for k, place in places:
+                if low <= max(0, at + PHRASE - self.size) and high >= min(at + self.size, len(words)):
+                    break
                 if self.docs[k] == doc and self.starts[k] + place == start + at:
                     continue  # the passage itself
-                if seen.get((k, at - place), -1) > at:
-                    continue
-                other = self.texts[k].split(" ")
-                a, p = at, place
-                while a and p and words[a - 1] == other[p - 1]:
-                    a, p = a - 1, p - 1
-                b, q = at + PHRASE, place + PHRASE
-                while b < len(words) and q < len(other) and words[b] == other[q]:
-                    b, q = b + 1, q + 1
-                seen[k, at - place] = b
+                other = self.words(k)
+                a = at - same_words(words, other, at, place, -1)
+                b = at + PHRASE + same_words(words, other, at + PHRASE, place + PHRASE, 1)
                 if b - a >= self.size:
                     yield start + a, b - a
+                    low, high = (min(low, a), max(high, b)) if a <= high and low <= b else (a, b)
+
+
+def same_words(a: list[str], b: list[str], i: int, j: int, way: int) -> int:
+    """How many words are equal from places i and j on (``way`` 1) or before them (-1); compares doubling slices."""
+    most = min(len(a) - i, len(b) - j) if way > 0 else min(i, j)
+    done, step = 0, 8
+    while done < most:
+        n = min(step, most - done)
+        s, t = (i + done, j + done) if way > 0 else (i - done - n, j - done - n)
+        if a[s : s + n] == b[t : t + n]:
+            done, step = done + n, step * 2
+        elif n == 1:
+            break
+        else:
+            step = max(1, n // 4)
+            most = min(most, done + n)
+    return done
 
 
 def located(segments: DataFrame, folder: str, shards: int, size: int) -> DataFrame:
