@@ -5,9 +5,10 @@
 2. Segments. The stretches of such windows, a small part of the texts, go on.
 3. Recurring passages are confirmed by counting whole windows; the runs of windows where each is met first in the
    corpus are the passages.
-4. Passages are dealt to shards of bounded size. A shard's Aho-Corasick automaton (pyahocorasick) holds phrases of
-   its passages so close together that every window holds one whole. All segments stream through
-   each shard; a phrase that is found is extended to both sides against the passage, which gives every occurrence.
+4. Passages are dealt to shards of bounded size, those of a document to one. A shard's Aho-Corasick automaton
+   (pyahocorasick) holds phrases of its passages so close together that every window holds one whole. A segment streams
+   through the shards whose passages have one of its anchors: equal windows have equal anchors, so no other shard can
+   match it. A phrase that is found is extended to both sides against the passage, which gives every occurrence.
 5. Words of occurrences of at least a window's length, but for the passage's own place, are removed.
 """
 
@@ -31,8 +32,6 @@ from barograph.llm.common import MIX_A, WordHashes, cut, gram_hashes, hash_filte
 ANCHOR, PHRASE = 8, 5
 #: Stands for a null id, which so is the smallest.
 NO_ID = -(1 << 63)
-#: Characters of segments that a task holds while shards pass by.
-HELD = 64 << 20
 
 
 def windows_of(words: np.ndarray, size: int) -> np.ndarray:
@@ -77,12 +76,12 @@ def recurring_anchors(texts: DataFrame, size: int) -> DataFrame:
 
 
 def candidate_segments(texts: DataFrame, size: int, passed: np.ndarray, bits: int) -> DataFrame:
-    """doc, th, start, text of the longest stretches of windows whose anchors may recur."""
+    """doc, th, start, text, anchors of the longest stretches of windows whose anchors may recur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for b in batches:
-            rows, starts, parts = [], [], []
+            rows, starts, parts, anchors = [], [], [], []
             for k, text in enumerate(b["text"].to_pylist()):
                 words = words_of(text)
                 if len(words) < size:
@@ -93,10 +92,11 @@ def candidate_segments(texts: DataFrame, size: int, passed: np.ndarray, bits: in
                     rows.append(k)
                     starts.append(first)
                     parts.append(b" ".join(words[first : stop + size - 1]).decode("utf-8", "surrogatepass"))
+                    anchors.append(np.unique(grams[at[first:stop]]).view(np.int64))
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b["doc"].take(at), b["th"].take(at), pa.array(starts, pa.int32()), pa.array(parts, pa.string())], ["doc", "th", "start", "text"])
+            yield pa.RecordBatch.from_arrays([b["doc"].take(at), b["th"].take(at), pa.array(starts, pa.int32()), pa.array(parts, pa.string()), pa.array(anchors, pa.list_(pa.int64()))], ["doc", "th", "start", "text", "anchors"])
 
-    return texts.mapInArrow(run, "doc long, th long, start int, text string")
+    return texts.mapInArrow(run, "doc long, th long, start int, text string, anchors array<long>")
 
 
 def first_places(segments: DataFrame, size: int) -> DataFrame:
@@ -145,11 +145,12 @@ def first_places(segments: DataFrame, size: int) -> DataFrame:
 
 
 def passages_of(segments: DataFrame, firsts: DataFrame, size: int) -> DataFrame:
-    """doc, start, text of each run of windows that all recur and are met here first."""
+    """doc, start, text, anchors of each run of windows that all recur and are met here first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
         for b in batches:
-            docs, starts, parts = [], [], []
+            docs, starts, parts, anchors = [], [], [], []
             for doc, begin, text, at in zip(*(b[c].to_pylist() for c in ("doc", "start", "text", "starts")), strict=True):
                 words = text.split(" ")
                 at = np.array(at, np.int64)
@@ -161,10 +162,12 @@ def passages_of(segments: DataFrame, firsts: DataFrame, size: int) -> DataFrame:
                     docs.append(doc)
                     starts.append(int(part[0]))
                     parts.append(" ".join(words[part[0] - begin : part[-1] - begin + size]))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(parts, pa.string())], ["doc", "start", "text"])
+                    grams, least = anchors_of(cache.of(words_of(parts[-1])), size)
+                    anchors.append(np.unique(grams[least]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(parts, pa.string()), pa.array(anchors, pa.list_(pa.int64()))], ["doc", "start", "text", "anchors"])
 
     held = firsts.groupBy("doc").agg(F.collect_list("start").alias("starts"))
-    return segments.select("doc", "start", "text").join(held, "doc").mapInArrow(run, "doc long, start int, text string")
+    return segments.select("doc", "start", "text").join(held, "doc").mapInArrow(run, "doc long, start int, text string, anchors array<long>")
 
 
 class Shard:
@@ -233,33 +236,40 @@ def same_words(a: list[str], b: list[str], i: int, j: int, way: int) -> int:
     return done
 
 
-def located(segments: DataFrame, folder: str, shards: int, size: int) -> DataFrame:
-    """doc, th, start, n of every occurrence of a passage but its own place; passages lie in ``folder`` by shard."""
+def routed(segments: DataFrame, passages: DataFrame) -> DataFrame:
+    """shard, doc, th, start, text of each segment and shard that have an anchor in common; passages: shard, anchors.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = fs.FileSystem.from_uri(folder)
+    Ids alone meet on anchors. A common anchor has one row a shard on the passages' side, so that AQE can split its
+    segments.
+    """
+    ids = ["doc", "th", "start"]
+    routes = passages.select(F.explode("anchors").alias("anchor"), "shard").distinct()
+    pairs = segments.select(*ids, F.explode("anchors").alias("anchor")).join(routes, "anchor").select(*ids, "shard").distinct()
+    return segments.select(*ids, "text").join(pairs, ids).select("shard", *ids, "text")
 
-        def through(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            for k in range(shards):
-                if store.get_file_info(f"{top}/shard={k}").type == fs.FileType.NotFound:
-                    continue
-                shard = Shard(ds.dataset(f"{top}/shard={k}", filesystem=store, format="parquet").to_table(["doc", "start", "text"]), size)
-                out = [(d, t, s, n) for d, t, start, text in rows for s, n in shard.occurrences(d, start, text)]
-                cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc", "th", "start", "n"])
 
-        held, chars = [], 0
+def located(parts: DataFrame, folder: str, size: int) -> DataFrame:
+    """doc, th, start, n of every occurrence of a passage but its own place; passages lie in ``folder`` by shard.
+
+    ``parts`` (of routed()) are dealt by ranges of shard and place, so that several tasks share a shard that many
+    segments go to, and a task makes one automaton after the other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = fs.FileSystem.from_uri(folder)
+        now, shard = None, None
         for b in batches:
-            rows = list(zip(*(b[c].to_pylist() for c in ("doc", "th", "start", "text")), strict=True))
-            held += rows
-            chars += sum(len(r[3]) for r in rows)
-            if chars >= HELD:
-                yield from through(held)
-                held, chars = [], 0
-        if held:
-            yield from through(held)
+            out = []
+            for k, d, t, start, text in zip(*(b[c].to_pylist() for c in ("shard", "doc", "th", "start", "text")), strict=True):
+                if k != now:
+                    now, shard = k, None  # the last one is freed first
+                    shard = Shard(ds.dataset(f"{top}/shard={k}", filesystem=store, format="parquet").to_table(["doc", "start", "text"]), size)
+                out += [(d, t, s, n) for s, n in shard.occurrences(d, start, text)]
+            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc", "th", "start", "n"])
 
-    return segments.mapInArrow(run, "doc long, th long, start int, n int")
+    dealt = parts.repartitionByRange("shard", "doc", "th", "start").sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, "doc long, th long, start int, n int")
 
 
 def dedup_passages(docs: DataFrame, size: int = 20, filter_bits: int = 1 << 27, shard_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,12 +288,14 @@ def dedup_passages(docs: DataFrame, size: int = 20, filter_bits: int = 1 << 27,
     texts = _texts(docs, id_col, text_col)
     passed = hash_filter(recurring_anchors(texts, size), filter_bits)
     segments = cut(candidate_segments(texts, size, passed, filter_bits), "segments")
-    found = cut(passages_of(segments, first_places(segments, size), size), "passages")
-    chars = found.agg(F.sum(F.length("text"))).first()[0] or 0
+    passages = cut(passages_of(segments, first_places(segments, size), size), "passages")
+    chars = passages.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-chars * PHRASE // (max(1, size - PHRASE + 1) * shard_chars)))
     folder = shared_path(spark, "shards")
-    found.withColumn("shard", F.pmod(F.xxhash64("doc", "start"), F.lit(shards)).cast("int")).repartition("shard").write.partitionBy("shard").parquet(folder)
-    spots = located(segments, folder, shards, size).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "n")).alias("_pd_spots"))
+    passages = passages.withColumn("shard", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int"))
+    passages.drop("anchors").repartition("shard").write.partitionBy("shard").parquet(folder)
+    parts = cut(routed(segments, passages), "routed")
+    spots = located(parts, folder, size).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "n")).alias("_pd_spots"))
 
     kept = docs.drop("n_words", "n_removed")
     keyed = kept.withColumns({"_pd_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_pd_th": F.xxhash64(text_col)})
