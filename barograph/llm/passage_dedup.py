@@ -200,6 +200,7 @@ class Shard:
         """
         if not len(self.automaton):
             return
+        half = max(0, -(-(self.size - PHRASE) // 2))
         words, offsets, low, high = None, None, 0, 0  # [low, high): the stretch that is covered last
         for end, (long, places) in self.automaton.iter(f" {text} "):
             if words is None:
@@ -212,6 +213,9 @@ class Shard:
                 if self.docs[k] == doc and self.starts[k] + place == start + at:
                     continue  # the passage itself
                 other = self.words(k)
+                # a window needs half of its other words at least on one side
+                if words[max(0, at - half) : at] != other[max(0, place - half) : place] and words[at + PHRASE : at + PHRASE + half] != other[place + PHRASE : place + PHRASE + half]:
+                    continue
                 a = at - same_words(words, other, at, place, -1)
                 b = at + PHRASE + same_words(words, other, at + PHRASE, place + PHRASE, 1)
                 if b - a >= self.size:
