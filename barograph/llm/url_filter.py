@@ -7,6 +7,8 @@ index on each rule's rarest token.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from barograph.llm.common import LOWER, UPPER, cut, table
 
 #: The item that stands for the label in a transaction; no URL token has this form.
 LABEL = "#block"
+#: Labelled URLs that a rule of op5 needs (its tokens and the label together); doesn't grow with the corpus.
+MIN_COUNT = 5
 #: Rules of the op5 contract (fixed values): host and path, verdict.
 OP5_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
@@ -43,31 +47,47 @@ def url_tokens(url: Column) -> Column:
     host, path = host_and_path(url)
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
     named = lambda kind, parts: F.transform(parts, lambda x: F.concat(F.lit(kind), x))
-    labels = F.slice(F.split(host, r"\."), 1, 64)
+    labels = F.split(host, r"\.")
     tokens = F.concat(named("host:", F.array(host)), named("label:", labels), named("path:", F.split(path, r"[/.]+")), named("key:", F.regexp_extract_all(query, F.lit(r"([^&=]+)(?:=[^&]*)?"), 1)))
     return F.array_distinct(F.filter(tokens, lambda x: ~x.rlike(r"^[a-z]+:$")))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.5, max_share: float = 0.5, url_col: str = "url", label_col: str = "label") -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float | None = None, min_confidence: float = 0.5, max_share: float = 0.5, url_col: str = "url", label_col: str = "label") -> DataFrame:
     """Association rules ``tokens -> label`` of ``labelled`` (url, label boolean): antecedent, confidence, support, anchor.
 
+    With a ``min_support`` (share of the labelled URLs) all rules are returned. Without one a rule needs MIN_COUNT
+    URLs that have its tokens and the label, however many URLs there are; tokens that occur in just the same URLs are
+    then mined as one, and the rules name one of them each, in all choices: they fit the same URLs as all rules do,
+    and a long URL makes no power set. A rule's confidence is at least ``min_confidence`` and the labelled URLs' own rate.
+
     Tokens in more than ``max_share`` of the URLs say nothing and are left out. ``anchor`` is the
     antecedent's rarest token. Null urls or labels are left out; with no labelled rows there are no rules.
     """
-    rows = cut(labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).select(url_tokens(F.col(url_col)).alias("tokens"), F.col(label_col).cast("boolean").alias("label")), "labelled-urls")
-    total = rows.count()
+    told = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull())
+    rows = cut(told.select(F.monotonically_increasing_id().alias("id"), url_tokens(F.col(url_col)).alias("tokens"), F.col(label_col).cast("boolean").alias("label")), "labelled-urls")
+    total, blocked = rows.agg(F.count("*"), F.count_if("label")).first()
     schema = "antecedent array<string>, confidence double, support double, anchor string"
-    if not total:
+    least = MIN_COUNT if min_support is None else min_support * total
+    if not total or least > total:
         return labelled.sparkSession.createDataFrame([], schema)
-    counts = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    items = F.when(F.col("label"), F.concat(F.col("tokens"), F.array(F.lit(LABEL)))).otherwise(F.col("tokens"))
-    # Few: each is in over max_share of the URLs, and a URL has few tokens.
-    stop = [r.token for r in counts.where(F.col("df") > max_share * total).select("token").collect()]
-    told = F.array_except(items, F.array(*map(F.lit, stop)).cast("array<string>"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows.select(told.alias("items")))
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(LABEL))).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
-    ranked = rules.select("*", F.explode("antecedent").alias("token")).join(counts, "token")
-    return ranked.groupBy("antecedent", "confidence", "support").agg(F.min_by("token", F.struct("df", "token")).alias("anchor"))
+    each = rows.select("id", F.explode("tokens").alias("token"))
+    # Two 64-bit hashes of the set of URLs that have the token.
+    marks = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
+    counts = each.groupBy("token").agg(F.count("*").alias("df"), *marks).where((F.col("df") <= max_share * total) & (F.col("df") >= math.floor(least)))
+    alike = ["df", "mark1", "mark2"] + (["token"] if min_support is not None else [])
+    named = cut(counts.withColumn("own", F.col("token")).groupBy(*alike).agg(F.min("own").alias("item"), F.collect_list("own").alias("alike")), "url-items")
+    items = each.join(named.select("item", F.explode("alike").alias("token")), "token").groupBy("id").agg(F.collect_set("item").alias("items"))
+    labels = F.when(F.col("label"), F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>"))
+    baskets = rows.select("id", labels.alias("said")).join(items, "id", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), "said").alias("items"))
+    # FPGrowth rounds support * total up: half a row less meets the count whatever the rounding.
+    model = FPGrowth(itemsCol="items", minSupport=(MIN_COUNT - 0.5) / total if min_support is None else min_support, minConfidence=max(min_confidence, blocked / total)).fit(baskets)
+    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(LABEL))).select("antecedent", "confidence", "support")
+    ranked = rules.select("*", F.explode("antecedent").alias("item")).join(named.select("item", "df", "alike"), "item")
+    sets = ranked.groupBy("antecedent", "confidence", "support").agg(F.array_sort(F.collect_list(F.struct("df", "alike"))).alias("sets"))
+    none = F.array(F.array().cast("array<string>"))
+    chosen = F.aggregate("sets.alike", none, lambda done, one: F.flatten(F.transform(done, lambda x: F.transform(one, lambda t: F.concat(x, F.array(t))))))
+    # The rarest items come first, so the first token chosen is the anchor.
+    return sets.select("confidence", "support", F.explode(chosen).alias("chosen")).select(F.array_sort("chosen").alias("antecedent"), "confidence", "support", F.col("chosen")[0].alias("anchor"))
 
 
 def matches(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:

@@ -1,6 +1,9 @@
+import random
 import re
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from barograph.llm import url_filter as U
 
 
@@ -47,3 +50,40 @@ def test_query(spark, sf):
     for r in rows:
         host, path, rule, verdict = brute(pages[r.page_id])
         assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or r.verdict) and r.verdict in ("allow", "block")
+
+
+def brute_blocked(labelled, urls, confidence=0.5, max_share=0.5):
+    """URLs with a set of tokens that MIN_COUNT blocked URLs have, at the confidence and the base rate or more."""
+    total, blocked = len(labelled), {k for k, (_, y) in enumerate(labelled) if y}
+    rows = {}
+    for k, (tokens, _) in enumerate(labelled):
+        for t in tokens:
+            rows.setdefault(t, set()).add(k)
+    rows = {t: frozenset(x) for t, x in rows.items() if len(x) <= max_share * total}
+    out = set()
+    for url, tokens in urls.items():
+        have = set()
+        for one in {rows[t] for t in tokens if t in rows}:
+            have |= {one} | {one & x for x in have}
+        if any(len(x & blocked) >= U.MIN_COUNT and len(x & blocked) / len(x) >= max(confidence, len(blocked) / total) for x in have):
+            out.add(url)
+    return out
+
+
+def test_op5_mines_rare_hosts_and_long_urls_as_brute_force_does(spark, tmp_path):
+    rng = random.Random(5)
+    urls = [f"http://{rng.choice('abcdefgh')}.site{rng.randrange(12)}.info/{rng.choice(['x', 'y', 'z'])}/{n}" + rng.choice(["", "?k=1", "?k=1&j=2", ".html"]) for n in range(1200)]
+    bad = {n: rng.random() < 0.2 for n in range(1200)}
+    many = "&".join(f"q{k}={k}" for k in range(70))
+    deep = ".".join(f"d{k}" for k in range(80))
+    for n in range(6):
+        urls[n], bad[n] = f"http://rare.info/p{n}/{n}", True
+        urls[10 + n], bad[10 + n] = f"http://shop{n}.info/find/{10 + n}?{many}", True
+        urls[20 + n], bad[20 + n] = f"http://{deep}.s{n}.info/{20 + n}", True
+    urls += ["http://rare.info/new", "http://shop.info/other?q69=1", "http://d79.info/", "http://fine.info/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(n, 1, int(y)) for n, y in bad.items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    tokens = {r.url: set(r.t) for r in spark.createDataFrame([(u,) for u in urls], "url string").select("url", U.url_tokens(F.col("url")).alias("t")).collect()}
+    want = brute_blocked([(tokens[urls[n]], bad[n]) for n in range(1200)], tokens)
+    got = {r.url for r in U.op5_url_filter(spark, str(tmp_path)).join(spark.read.parquet(f"{tmp_path}/pages.parquet"), "page_id").where("rule IS NULL AND verdict = 'block'").collect()}
+    assert got == want and {"http://rare.info/new", "http://shop.info/other?q69=1", "http://d79.info/"} <= got and "http://fine.info/" not in got
