@@ -149,6 +149,12 @@ def utc_offset_infer(spark, d):
     return quality.utc_offset(t.where(F.weekday(F.timestamp_millis("ms")) < 5))
 
 
+@query()
+def utc_offset_all(spark, d):
+    """Of all ticks; ``utc_offset_infer`` and its SQL read weekdays only. Null for a symbol that is never still for a day."""
+    return quality.utc_offset(ticks_raw(spark, d))
+
+
 # --- windows and recursions
 @query(H1 + "SELECT symbol, i, round(CASE WHEN count(*) OVER w = 20 THEN avg(close) OVER w END, 6) AS sma FROM h1 WINDOW w AS (ORDER BY i ROWS 19 PRECEDING)")
 def sma_20(spark, d):
@@ -241,9 +247,22 @@ def subbar_alignment(spark, d):
     FROM (SELECT *, CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END AS direction FROM h1 WHERE i % 5 = 0) e"""
 )
 def first_touch(spark, d):
+    """Every fifth bar as an entry, as its SQL has it; ``first_touch_all`` judges all bars."""
     b = walk_bars(spark, d)
+    return touches(b, b.where(F.col("i") % 5 == 0))
+
+
+@query()
+def first_touch_all(spark, d):
+    """Every bar as an entry; tests hold it against a plain loop."""
+    b = walk_bars(spark, d)
+    return touches(b, b)
+
+
+def touches(b: DataFrame, at: DataFrame) -> DataFrame:
+    """Entries at the close of the bars ``at``, long on even and short on odd ones: stop 2 and target 3 away."""
     side = F.when(F.col("i") % 2 == 0, 1).otherwise(-1)
-    e = b.where(F.col("i") % 5 == 0).select("symbol", F.col("i").alias("entry_i"), side.alias("direction"), (F.col("close") - 2 * side).alias("stop"), (F.col("close") + 3 * side).alias("target"))
+    e = at.select("symbol", F.col("i").alias("entry_i"), side.alias("direction"), (F.col("close") - 2 * side).alias("stop"), (F.col("close") + 3 * side).alias("target"))
     return fills.first_touch(b, e).select("symbol", "entry_i", "direction", "exit_i")
 
 

@@ -1,10 +1,13 @@
 import glob
 import os
+import statistics
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from barograph.plans.queries import walk_bars
+from barograph.sources.ticks import ticks_raw
 
 
 @pytest.fixture(scope="module")
@@ -33,3 +36,30 @@ def test_query_is_its_sql(spark, sf, con, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_first_touch_all_judges_every_bar(spark, sf):
+    bars = sorted(walk_bars(spark, sf).collect(), key=lambda r: r.i)
+    want = {}
+    for b in bars:
+        side = 1 if b.i % 2 == 0 else -1
+        low, high = sorted((b.close - 2 * side, b.close + 3 * side))
+        want[b.i] = (side, next((x.i for x in bars if x.i > b.i and (x.low <= low or x.high >= high)), None))
+    got = entry.queries()["first_touch_all"](spark, sf).collect()
+    assert {r.entry_i: (r.direction, r.exit_i) for r in got} == want and len(got) == len(bars) > 5
+
+
+def test_utc_offset_all_reads_weekends(spark, sf):
+    ticks = {}
+    for r in ticks_raw(spark, sf).collect():
+        ticks.setdefault(r.symbol, []).append(r.ms)
+    want = {}
+    for symbol, ms in ticks.items():
+        ms.sort()
+        longest = sorted(((b - a, b) for a, b in zip(ms, ms[1:], strict=False)), reverse=True)[:12]
+        ends = [(b % 86_400_000) / 3_600_000 for gap, b in longest if gap > 86_400_000]
+        hour = statistics.median(ends) - 22 if ends else None
+        want[symbol] = None if hour is None else round((hour - 24 if hour > 12 else hour + 24 if hour < -12 else hour) * 4) / 4
+    got = entry.queries()["utc_offset_all"](spark, sf).collect()
+    assert {r.symbol: r.utc_offset_hours for r in got} == want
+    assert want != {r.symbol: r.utc_offset_hours for r in entry.queries()["utc_offset_infer"](spark, sf).collect()}
