@@ -9,7 +9,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +22,7 @@ from barograph.llm.common import table
 # Element names of the HTML standard by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
-UNSEEN = frozenset("head script style title template iframe noembed noframes object audio video canvas svg math datalist".split())
+UNSEEN = frozenset("head script style title template iframe noembed noframes object audio video canvas datalist".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset form article section aside header footer nav main details hr menu".split())
 BLOCKS = SPACED | frozenset("html body address div li dt dd center figcaption legend hgroup dir search summary caption tr thead tbody tfoot td th option optgroup select".split())
 CLOSES_P = SPACED | frozenset("address div center dir hgroup li dt dd search summary".split())
@@ -34,10 +36,22 @@ ENDS = {
 HEADS = frozenset("base link meta title style script noscript template head html".split())
 #: Elements inside which a closing tag finds no opening tag further out.
 WALLS = frozenset("table td th caption html body template".split())
+#: Elements inside which neither </p> nor a block's opening tag finds a <p> further out.
+P_WALLS = frozenset("table td th caption button template object marquee applet html mi mo mn ms mtext foreignobject".split())
+#: SVG elements that draw nothing where they stand, and MathML elements that hold text or set parts apart.
+UNDRAWN = frozenset("title desc defs metadata symbol clippath mask pattern marker".split())
+TOKENS = frozenset("mi mo mn ms mtext".split())
+APART = frozenset("mfrac msup msub msubsup munder mover munderover mmultiscripts mroot mtable mtr mlabeledtr".split())
+#: HTML may stand inside these elements of SVG and MathML; elsewhere in them the tags of BREAKS end the drawing.
+HOSTS = TOKENS | {"foreignobject", "desc", "title", "annotation-xml"}
+BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Columns and rows that a cell can take by the HTML standard.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 #: Deeper elements are put beside the deepest one, as browsers do.
 DEPTH = 400
 TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*)((?>(?:"[^"]*"|'[^']*'|[^"'>])*))>|!--(?:>|->|.*?(?:--!?>|\Z))|[!?/][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))""", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+UNQUOTED = re.compile(r"""=\s*[^\s"'=]*/$""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)", re.I)
 
@@ -70,7 +84,13 @@ def build(page: str) -> Node:
                 del open_[k:]
                 return end(names, walls)
 
-    at = 0
+    def drawing() -> bool:
+        for x in reversed(open_):
+            if x.tag in HOSTS or x.tag in ("svg", "math"):
+                return x.tag not in HOSTS
+        return False
+
+    at, drawings = 0, False
     while True:
         m = TAG.search(page, at)
         if not m:
@@ -80,10 +100,18 @@ def build(page: str) -> Node:
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
+            if drawings and page.startswith("<![CDATA[", m.start()) and drawing():
+                stop = page.find("]]>", m.start())
+                open_[-1].kids.append(page[m.start() + 9 : stop if stop >= 0 else len(page)])
+                at = stop + 3 if stop >= 0 else len(page)
             continue
         if m[1] or m[4]:
-            if name == "p" and not any(x.tag == "p" for x in open_[-8:]):
-                open_[-1].kids.append(Node("p", {}))  # a lone </p> is an empty paragraph
+            if name == "p":
+                k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k].tag == "p" or open_[k].tag in P_WALLS), 0)
+                if open_[k].tag == "p":
+                    del open_[k:]
+                else:
+                    open_[-1].kids.append(Node("p", {}))  # a lone </p> is an empty paragraph
                 continue
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k].tag == name:
@@ -103,8 +131,19 @@ def build(page: str) -> Node:
             continue
         if open_[-1].tag == "head" and name not in HEADS:
             open_.pop()
+        drawn = drawings and drawing()
+        if drawn and name in BREAKS:
+            while drawing():
+                open_.pop()
+            drawn = False
+        if drawn:
+            node = Node(name, attrs)
+            open_[-1].kids.append(node)
+            if len(open_) < DEPTH and not (text.endswith("/") and not UNQUOTED.search(text)):
+                open_.append(node)
+            continue
         if name in CLOSES_P:
-            end({"p"}, {"table", "td", "th", "caption", "button"})
+            end({"p"}, P_WALLS)
         if name in ENDS:
             end(*ENDS[name])
         if name in ("td", "th") and open_[-1].tag in ("table", "tbody", "thead", "tfoot"):
@@ -112,6 +151,10 @@ def build(page: str) -> Node:
             open_.append(row)
         node = Node(name, attrs)
         open_[-1].kids.append(node)
+        if name in ("svg", "math"):
+            drawings = True
+            if text.endswith("/") and not UNQUOTED.search(text):
+                continue
         if name in RAW:
             stop = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             raw = page[at : stop.start() if stop else len(page)]
@@ -232,6 +275,13 @@ def inside(node: Node, out: Lines, visible: bool) -> None:
         elif tag == "input":
             if kid.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url", "tel", "number") and sees:
                 out.text(" " + kid.attrs.get("value", "") + " ")
+        elif tag == "svg":
+            svg_text(kid, out.text, lambda x, y: inside(x, out, y), sees)
+        elif tag == "math":
+            apart = kid.attrs.get("display", "").lower() == "block"
+            out.flush() if apart else None
+            math_text(kid, out.text, lambda x, y: inside(x, out, y), sees)
+            out.flush() if apart else None
         elif tag not in VOID:
             if tag == "q" and sees:
                 out.text('"')
@@ -251,16 +301,68 @@ def inside_pre(node: Node, out: list[str], visible: bool) -> None:
             out.append("\n")
         else:
             shown, sees = seen(kid, visible)
-            if shown:
+            if shown and kid.tag in ("svg", "math"):
+                (svg_text if kid.tag == "svg" else math_text)(kid, out.append, lambda x, y: inside_pre(x, out, y), sees)
+            elif shown:
                 inside_pre(kid, out, sees)
 
 
+def svg_text(node: Node, put: Callable[[str], None], flow: Callable[[Node, bool], None], visible: bool, label: bool = False) -> None:
+    """The labels of a drawing in their order, each set off by spaces, and the HTML in it; copies by <use> aren't made."""
+    for kid in node.kids:
+        if isinstance(kid, str):
+            if label and visible:
+                put(kid)
+            continue
+        shows = kid.attrs.get("visibility", "").lower()
+        shown, sees = seen(kid, visible if shows in ("", "inherit") else shows == "visible")
+        if not shown or kid.tag in UNDRAWN or kid.attrs.get("display", "").lower() == "none":
+            continue
+        own = kid.tag in ("text", "foreignobject")
+        put(" ") if own else None
+        if kid.tag == "foreignobject":
+            flow(kid, sees)
+        else:
+            svg_text(kid, put, flow, sees, label or kid.tag == "text")
+        put(" ") if own else None
+
+
+def math_text(node: Node, put: Callable[[str], None], flow: Callable[[Node, bool], None], visible: bool) -> None:
+    """A formula's text in its order; the parts of fractions, scripts and tables stand apart, annotations are unseen."""
+    first = True
+    for kid in node.kids:
+        if isinstance(kid, str):
+            if visible:
+                put(kid)
+            continue
+        shown, sees = seen(kid, visible)
+        if not first and node.tag in APART:
+            put(" ")
+        if not first and node.tag in ("semantics", "maction"):
+            continue
+        first = False
+        if not shown or kid.tag in ("annotation", "annotation-xml"):
+            continue
+        if kid.tag in TOKENS:
+            flow(kid, sees)
+        elif kid.tag == "mspace":
+            put(" ")
+        else:
+            math_text(kid, put, flow, sees and kid.tag != "mphantom")
+
+
+def spanned(text: str | None, least: int, most: int) -> int:
+    """A colspan or rowspan as browsers read it: 1 where it is no number."""
+    m = re.match(r"[ \t\n\r\f]*\+?([0-9]+)", text or "")
+    return min(max(int(m[1][:9]), least), most) if m else 1
+
+
 def table_lines(node: Node, visible: bool) -> list[str]:
     """Caption, then a line for each line of a row's cells, columns padded to one width."""
-    out, head, body, foot = Lines(), [], [], []
+    out, groups = Lines(), {"thead": [], "tbody": [], "tfoot": []}
 
     def collect(n: Node, sees: bool, rows: list) -> None:
-        cells: list[tuple[list[str], int]] = []
+        cells: list[tuple[list[str], int, int]] = []
         for kid in n.kids:
             if isinstance(kid, str):
                 if kid.strip() and sees:
@@ -272,37 +374,66 @@ def table_lines(node: Node, visible: bool) -> list[str]:
             if kid.tag in ("td", "th"):
                 own = Lines()
                 inside(kid, own, seen_)
-                span = kid.attrs.get("colspan", "1")
-                cells.append((own.take(), min(max(int(span), 1), 100) if span.isdecimal() and len(span) < 6 else 1))
-            elif kid.tag in ("tr", "thead", "tbody", "tfoot"):
-                collect(kid, seen_, head if kid.tag == "thead" else foot if kid.tag == "tfoot" else rows)
+                cells.append((own.take(), spanned(kid.attrs.get("colspan"), 1, MOST_COLUMNS), spanned(kid.attrs.get("rowspan"), 0, MOST_ROWS)))
+            elif kid.tag == "tr":
+                collect(kid, seen_, rows)
+            elif kid.tag in groups:
+                groups[kid.tag].append([])
+                collect(kid, seen_, groups[kid.tag][-1])
+                rows = rows if n.tag != "table" else fresh()
             else:
                 holder = Node("div", {})
                 holder.kids.append(kid)
                 out.flush()
                 inside(holder, out, sees)
                 out.flush()
-        if cells:
+        if cells or n.tag == "tr":
             rows.append(cells)
 
-    collect(node, visible, body)
-    rows = [r for r in head + body + foot if any(c for c, _ in r)]
-    wide: list[int] = []
-    for r in rows:
-        col = 0
-        for lines, span in r:
-            wide += [0] * (col + span - len(wide))
-            if span == 1:
-                wide[col] = max([wide[col], *map(width, lines)])
-            col += span
+    def fresh() -> list:
+        groups["tbody"].append([])
+        return groups["tbody"][-1]
+
+    collect(node, visible, fresh())
+    # Cells at their columns; a cell of several rows takes its columns in the rows below, up to the end of their group.
+    rows: list[list[tuple[int, int, list[str]]]] = []
+    for group in groups["thead"] + groups["tbody"] + groups["tfoot"]:
+        held: list[tuple[int, int, int]] = []
+        for k, cells in enumerate(group):
+            held = [x for x in held if x[2] > k]
+            taken, col = sorted(held), 0
+            row = [(start, stop, []) for start, stop, _ in taken]
+            at = 0
+            for lines, span, down in cells:
+                while at < len(taken) and taken[at][0] <= col:
+                    col, at = max(col, taken[at][1]), at + 1
+                row.append((col, col + span, lines))
+                if down != 1:
+                    held.append((col, col + span, k + down if down else len(group)))
+                col += span
+            if any(lines for _, _, lines in row):
+                rows.append(sorted(row, key=lambda x: x[:2]))
+    starts = sorted({start for r in rows for start, _, _ in r})
+    wide = [0] * len(starts)
+    # Columns in which no cell begins have no width of their own.
+    rows_at = [[(bisect_left(starts, start), bisect_left(starts, stop), lines) for start, stop, lines in r] for r in rows]
+    for r in rows_at:
+        for start, stop, lines in r:
+            if stop - start == 1:
+                wide[start] = max([wide[start], *map(width, lines)])
+    # before[k]: the width of the columns left of k, with a bar after each
+    before = [0, *accumulate(w + 3 for w in wide)]
     set_: list[str] = []
-    for r in rows:
-        for k in range(max(len(c) for c, _ in r)):
+    for r in rows_at:
+        for k in range(max(len(lines) for _, _, lines in r)):
             parts, col = [], 0
-            for lines, span in r:
+            for start, stop, lines in r:
+                parts += [" " * wide[c] for c in range(col, start)]
+                if start < col and not lines:
+                    continue  # overlapped by a wider cell
                 text = lines[k] if k < len(lines) else ""
-                parts.append(text + " " * max(0, sum(wide[col : col + span]) + 3 * (span - 1) - width(text)))
-                col += span
+                parts.append(text + " " * max(0, before[stop] - before[max(start, col)] - 3 - width(text)))
+                col = max(col, stop)
             set_.append(" | ".join(parts).rstrip())
     return out.take() + set_
 

@@ -39,3 +39,32 @@ def test_columns(spark):
     df = spark.createDataFrame([(1, "<p>x", "old"), (None, None, None), (1, "<p>x", "old")], "page_id long, html string, text string")
     assert [tuple(r) for r in extract(df).collect()] == [(1, "x"), (None, ""), (1, "x")]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_drawings_and_formulas():
+    assert visible_text('<p>a<svg viewBox="0"><title/><defs/><path d="M"/><g>no<text>Label <tspan>one</tspan></text></g><text visibility="hidden">no</text><text><![CDATA[x > y]]></text></svg>b') == "a Label one x > y b"
+    assert visible_text("<svg><title>no</title><desc>no<p>no</p></desc><defs><text>no</text></defs><metadata>no</metadata><foreignObject><p>yes</p></foreignObject></svg>") == "yes"
+    assert visible_text("<svg><g><text>in</text><div>out</div>after") == "in\nout\nafter"
+    assert visible_text("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation>no</annotation></semantics></math>.") == "so x=1 2."
+    assert visible_text("<pre>a<svg><text>b</text></svg><math><mi>c</mi></math></pre>") == "a b c"
+
+
+def test_rowspans_hold_their_columns():
+    page = "<table><tr><th>A<th>B<th>C<tr><td rowspan=2>a<td>b1<td>c1<tr><td>b2<td>c2<tr><td>a3<td>b3<td>c3</table>"
+    assert visible_text(page) == "A  | B  | C\na  | b1 | c1\n   | b2 | c2\na3 | b3 | c3"
+    assert visible_text("<table><tr><td>1<td rowspan=0 colspan=2>2<td>3<tr><td>4<td>5<tbody><tr><td>6<td>7<td>8<td>9</table>") == "1 | 2     | 3\n4 |       | 5\n6 | 7 | 8 | 9"
+    # a row without text of its own uses up a row, and a span ends with its group
+    assert visible_text("<table><tbody><tr><td rowspan=2>a<td>b<tr><tr><td>c<td>d<tbody><tr><td rowspan=9>e<td>f<tbody><tr><td>g<td>h</table>") == "a | b\nc | d\ne | f\ng | h"
+
+
+def test_colspans_up_to_1000():
+    cells = "".join(f"<td>{k % 10}" for k in range(151))
+    assert visible_text(f"<table><tr><td colspan=150>wide<td>end<tr>{cells}</table>").split("\n")[0] == "wide".ljust(150 * 4 - 3) + " | end"
+    assert visible_text("<table><tr><td colspan=1000>a<td>b<tr><td colspan=5000>c<td>d</table>") == "a | b\nc | d"
+    assert len(visible_text("<table>" + ("<tr>" + "<td colspan=1000 rowspan=65534>x" * 300) * 20 + "</table>")) < 20_000_000
+
+
+def test_a_closing_p_finds_its_p_under_deep_inline_tags():
+    deep = "<i>" * 20
+    assert visible_text(f"<p>a{deep}b</p>c") == "ab\n\nc"
+    assert visible_text(f"<p>a<button>{deep}b</p>c</button>") == "ab\n\nc"
