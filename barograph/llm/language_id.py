@@ -57,36 +57,31 @@ def ranked(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return codes[np.lexsort((codes, -counts))[:size]]
 
 
-def learn(docs: DataFrame, size: int = 300, sample_docs: int = 2000, max_languages: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
+def learn(docs: DataFrame, size: int = 300, sample_docs: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """Profiles of the languages of ``docs``: their ``size`` most frequent grams in order.
 
-    Learns from a bounded sample of labelled rows: about ``sample_docs`` documents of each of the
-    ``max_languages`` most frequent labels, chosen by a hash of the id. Rows without text or label
-    are left out. What reaches the driver is ``size`` grams a language.
+    Learns every label, from a bounded sample of its rows: about ``sample_docs`` documents, chosen by a
+    hash of the id. Rows without text or label are left out. What reaches the driver is ``size`` grams
+    a language, and all tasks get the number of rows of each label.
     """
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    share = rows.groupBy("lang").agg((sample_docs / F.count("*")).alias("share")).orderBy("share", "lang").limit(max_languages)
-    shares = {r.lang: float(r.share) for r in share.collect()}
-    if not shares:
-        return {}
-    part = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])
-    taken = rows.where("text is not null").where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.try_element_at(part, F.col("lang")) * 1_000_003)
+    share = rows.groupBy("lang").agg((sample_docs / F.count("*")).alias("share"))
+    taken = rows.where("text is not null").join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lang in dict.fromkeys(b["lang"].to_pylist()):
-                each = [gram_counts(t) for t, x in zip(b["text"].to_pylist(), b["lang"].to_pylist(), strict=True) if x == lang]
+            of: dict[str, list] = {}
+            for t, lang in zip(b["text"].to_pylist(), b["lang"].to_pylist(), strict=True):
+                of.setdefault(lang, []).append(gram_counts(t))
+            for lang, each in of.items():
                 codes, at = np.unique(np.concatenate([c for c, _ in each]), return_inverse=True)
                 n = np.bincount(at, np.concatenate([k for _, k in each])).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "gram", "n"])
 
     grams = taken.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    best = grams.withColumn("place", place).where(F.col("place") <= size).select("lang", "gram", "place").collect()
-    profiles: dict[str, list] = {}
-    for r in sorted(best, key=lambda r: (r.lang, r.place)):
-        profiles.setdefault(r.lang, []).append(r.gram)
-    return {k: np.array(v, np.int64) for k, v in profiles.items()}
+    best = grams.withColumn("place", place).where(F.col("place") <= size).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "gram"))).alias("best"))
+    return {r.lang: np.array(r.grams, np.int64) for r in best.select("lang", F.col("best.gram").alias("grams")).orderBy("lang").collect()}
 
 
 class Judge:
@@ -94,10 +89,13 @@ class Judge:
 
     def __init__(self, profiles: dict[str, np.ndarray], size: int):
         self.langs, self.size = sorted(profiles), size
-        self.grams = np.unique(np.concatenate(list(profiles.values()))) if profiles else np.zeros(0, np.int64)
-        self.place = np.full((len(self.grams) + 1, len(self.langs)), -1, np.int64)
-        for j, lang in enumerate(self.langs):
-            self.place[np.searchsorted(self.grams, profiles[lang]), j] = np.arange(len(profiles[lang]))
+        each = [profiles[x] for x in self.langs]
+        grams = np.concatenate(each) if each else np.zeros(0, np.int64)
+        order = np.argsort(grams, kind="stable")
+        # a row for each gram of each profile, so that memory grows with the profiles only
+        self.grams = grams[order]
+        self.lang = np.repeat(np.arange(len(each)), [len(x) for x in each])[order]
+        self.place = np.concatenate([np.arange(len(x)) for x in each])[order] if each else grams
 
     def judge(self, text: str | None) -> tuple[str, float]:
         """Language and score: 1 if the text's ranks are the profile's, 0 if no gram of it is there."""
@@ -107,10 +105,11 @@ class Judge:
         top = ranked(codes, counts, self.size)
         if not len(top):
             return UNKNOWN, 0.0
-        at = np.searchsorted(self.grams, top)
-        known = self.grams[np.minimum(at, len(self.grams) - 1)] == top
-        place = self.place[np.where(known, at, len(self.grams))]
-        out = np.where(place < 0, self.size, np.minimum(self.size, np.abs(place - np.arange(len(top))[:, None]))).sum(0)
+        first = np.searchsorted(self.grams, top)
+        n = np.searchsorted(self.grams, top, "right") - first
+        at = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+        near = np.maximum(0, self.size - np.abs(self.place[at] - np.repeat(np.arange(len(top)), n)))
+        out = self.size * len(top) - np.bincount(self.lang[at], near, len(self.langs))
         best = int(np.argmin(out))  # of equals the first by name
         return self.langs[best], 1.0 - float(out[best]) / (self.size * len(top))
 
@@ -147,6 +146,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reject_unknown(docs: DataFrame) -> DataFrame:
-    """Documents less those whose language cannot be told: null texts and texts without a letter."""
+    """Documents less those whose language cannot be told.
+
+    These are null texts, texts without a letter, and texts at the greatest distance from all profiles (score 0):
+    no gram of theirs is where a profile has it, as in a script that was never learned.
+    """
     said = identify(docs, learn(training_fold(docs)), pred_col="_li_lang", score_col="_li_score")
-    return said.where(F.col("_li_lang") != UNKNOWN).select(*docs.columns)
+    return said.where((F.col("_li_lang") != UNKNOWN) & (F.col("_li_score") > 0)).select(*docs.columns)

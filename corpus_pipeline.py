@@ -20,7 +20,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text or without a letter go: no language can be told."""
+    """Documents without text, without a letter or like no learned language go: no language can be told."""
     return reject_unknown(docs.select(*COLUMNS))
 
 

@@ -60,3 +60,29 @@ def test_nothing_to_learn_from(spark):
     assert L.learn(one) == {} and {r.lang_pred for r in L.identify(one, {}).collect()} == {"und"}
     assert L.reject_unknown(one).count() == 0
     assert [(p, r) for p, r in [L.Judge({"b": np.array([97]), "a": np.array([97])}, 300).judge("a")]][0][0] == "a"
+
+
+def test_every_label_is_learned(spark):
+    names = [f"l{k:03}" for k in range(520)]
+    word = lambda k: "".join(chr(ord("a") + int(d)) for d in f"{k:03}") * 3
+    rows = [(k, word(k), x, None, None) for k, x in enumerate(names)] + [(1000 + k, word(k), names[k], None, None) for k in range(500)]
+    profiles = L.learn(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(profiles) == names
+    assert L.Judge(profiles, 300).judge(word(519)) == ("l519", 1.0)
+
+
+def test_judge_is_its_definition():
+    draw = np.random.default_rng(1)
+    profiles = {x: draw.permutation(400)[:n] + 97 for x, n in (("b", 300), ("a", 300), ("c", 7))}
+    text = "".join(chr(97 + int(i)) for i in draw.integers(0, 400, 900))
+    top = L.ranked(*L.gram_counts(text), 300).tolist()
+    far = {x: sum(min(300, abs(p.tolist().index(g) - k)) if g in p else 300 for k, g in enumerate(top)) for x, p in profiles.items()}
+    best = min(sorted(far), key=far.get)
+    assert L.Judge(profiles, 300).judge(text) == (best, 1.0 - far[best] / (300 * len(top)))
+
+
+def test_texts_like_no_profile_are_rejected(spark):
+    rows = [(i, t, x, None, None) for i, (t, x) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 20)]
+    odd = [(100, "東京都は日本の首都", None, None, None), (101, "Привет, мир", None, None, None), (102, "the dog", None, None, None), (103, "1 2", None, None, None)]
+    got = {r.doc_id for r in L.reject_unknown(spark.createDataFrame(rows + odd, SCHEMA)).collect()}
+    assert got == {*range(40), 102}
