@@ -2,8 +2,8 @@
 
 A size-partitioned min-hash containment search. Items are partitioned by the number of their shingles, and each
 partition has its own number ``k`` of minima: an item of at most ``u`` shingles whose share ``t`` is in a document
-can lack ``u - t u`` of them, so that one of its ``k = u - t u + 1`` smallest hashes must be there. Documents that
-hold none of an item's minima are never looked at further; the rest are verified by exact containment of the shingle set.
+can lack ``u - t u`` of them, so that one of its ``k = u - t u + 1`` smallest hashes must be there. A document is
+held against an item only if it has one of the item's minima; such pairs are verified by exact containment of the shingle set.
 """
 
 from __future__ import annotations
@@ -56,6 +56,12 @@ def item_index(items: DataFrame, words: int, percent: int, id_col: str, text_col
     return distinct.select("item_id", "copies", F.size("each").alias("n"), "width", "k", F.posexplode("each").alias("place", "hash")).select("item_id", "copies", "n", "width", "hash", (F.col("place") < F.col("k")).alias("minimum"))
 
 
+def candidates(hits: DataFrame, index: DataFrame) -> DataFrame:
+    """Distinct id, text_hash, item_id of documents (rows id, text_hash, hash) that have one of an item's minima."""
+    minima = index.where("minimum").select("hash", "item_id")
+    return hits.join(minima, "hash").select("id", "text_hash", "item_id").distinct()
+
+
 def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80, filter_bits: int = 1 << 24, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of a document and a test item of whose shingles it holds at least ``percent`` hundredths.
 
@@ -63,7 +69,8 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, percent: int
     stands for them), n, shared, containment. Whole texts are read. Null and empty texts and items match nothing; a
     null document id is reported as null; repeated rows are reported once.
 
-    What is sent to all tasks is a filter of ``filter_bits`` bits; its hits are joined with the items' shingles.
+    What is sent to all tasks is a filter of ``filter_bits`` bits. Its hits are joined with the items' minima, and only
+    the pairs found there with all of an item's shingles.
     """
     index = cut(item_index(items, words, percent, item_id, item_text), "items")
     passed = hash_filter(index.select("hash"), filter_bits)
@@ -85,9 +92,12 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, percent: int
             at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([b["id"].take(at), b["text_hash"].take(at), pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64))], ["id", "text_hash", "hash"])
 
-    hits = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, schema)
-    met = hits.join(index, "hash").groupBy("id", "text_hash", "item_id", "copies", "n").agg(F.count_distinct("hash").alias("shared"), F.max("minimum").alias("candidate"))
-    return met.where("candidate").where(F.col("shared") * 100 >= F.col("n") * percent).select("id", "text_hash", "item_id", "copies", "n", "shared", (F.col("shared") / F.col("n")).alias("containment"))
+    hits = cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, schema), "hits")
+    asked = candidates(hits, index).join(index.drop("minimum"), "item_id")
+    had = hits.select(F.col("id").alias("_id"), F.col("text_hash").alias("_text_hash"), F.col("hash").alias("_hash"))
+    met = asked.join(had, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_text_hash")) & (F.col("hash") == F.col("_hash")))
+    found = met.groupBy("id", "text_hash", "item_id", "copies", "n").agg(F.count_distinct("hash").alias("shared"))
+    return found.where(F.col("shared") * 100 >= F.col("n") * percent).select("id", "text_hash", "item_id", "copies", "n", "shared", (F.col("shared") / F.col("n")).alias("containment"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

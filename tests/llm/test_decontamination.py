@@ -1,6 +1,6 @@
 import re
 
-from barograph.llm.decontamination import contaminated, drop_contaminated, minima_of, op2_decontamination
+from barograph.llm.decontamination import candidates, contaminated, drop_contaminated, item_index, minima_of, op2_decontamination
 
 ITEM = " ".join(f"q{i}" for i in range(30))
 LONG = " ".join(f"z{i}" for i in range(20_000))
@@ -50,3 +50,17 @@ def test_edge_cases(spark):
     kept = drop_contaminated(docs, items)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 9]
     assert drop_contaminated(docs, items.limit(0)).count() == len(rows) and contaminated(docs.limit(0), items).count() == 0
+
+
+def test_only_pairs_with_a_minimum_are_candidates(spark):
+    phrase = "a phrase that all of these items have"
+    items = spark.createDataFrame([(i, " ".join(f"i{i}w{j}" for j in range(40)) + " " + phrase) for i in range(30)], "item_id long, text string")
+    index = item_index(items, 5, 80, "item_id", "text").cache()
+    rows = index.collect()
+    # a document of the phrase only has shingles of every item, but minima of some
+    common = {r.hash for r in rows if sum(x.hash == r.hash for x in rows) == 30}
+    hits = spark.createDataFrame([(1, 7, h) for h in common], "id long, text_hash long, hash long")
+    want = {r.item_id for r in rows if r.minimum and r.hash in common}
+    assert {(r.id, r.item_id) for r in candidates(hits, index).collect()} == {(1, i) for i in want} and len(common) == 4 and len(want) < 30
+    docs = spark.createDataFrame([(1, phrase), (None, items.first().text)], "doc_id long, text string")
+    assert [(r.id, r.item_id, r.shared) for r in contaminated(docs, items).collect()] == [(None, 0, 44)]
