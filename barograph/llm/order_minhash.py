@@ -4,6 +4,9 @@ Every k-mer of a text is numbered among its equals. For each of ``m`` hash funct
 numbered k-mers with the smallest hashes are put back in text order and hashed as a tuple. Two
 texts agree in a component if they share those k-mers in the same order, so that the share
 of equal components follows edit distance and not only the set of k-mers.
+
+A share ``p`` of equal components is told with a standard error of ``sqrt(p (1 - p) / m)``: 0.031 at most with the
+256 functions taken here.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from barograph.llm.common import MIX_A, MIX_B, MIX_C, mixed, table
 
 #: k-mers hashed at a time for all functions, which bounds the memory of a task.
 BLOCK = 4096
+#: Functions taken at a time, so that a block of hashes stays in a core's cache.
+ROWS = 32
 
 
 class OrderMinHash:
-    def __init__(self, k: int = 5, ell: int = 2, m: int = 32, seed: int = 1):
+    def __init__(self, k: int = 5, ell: int = 2, m: int = 256, seed: int = 1):
         self.k, self.ell, self.m = k, ell, m
         draw = np.random.default_rng(seed)
         self.flip = draw.integers(0, 1 << 32, (m, 1), np.uint32)
@@ -62,19 +67,23 @@ class OrderMinHash:
 
     def smallest(self, each: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
         """Of the k-mers ``start`` to ``stop``, for each function the ``ell`` smallest hashes and their places."""
-        rows = np.arange(self.m)
-        best, place = np.empty((self.m, 0), np.uint32), np.empty((self.m, 0), np.int64)
         low = (each[start:stop] >> np.uint64(32)).astype(np.uint32)
+        parts = [self.smallest_of(low, start, self.flip[j : j + ROWS], self.times[j : j + ROWS]) for j in range(0, self.m, ROWS)]
+        return np.concatenate([b for b, _ in parts]), np.concatenate([p for _, p in parts])
+
+    def smallest_of(self, low: np.ndarray, start: int, flip: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.arange(len(flip))
+        best, place = np.empty((len(flip), 0), np.uint32), np.empty((len(flip), 0), np.int64)
         for at in range(0, len(low), BLOCK):
-            h = low[None, at : at + BLOCK] ^ self.flip
-            h *= self.times
+            h = low[None, at : at + BLOCK] ^ flip
+            h *= times
             for _ in range(min(self.ell, h.shape[1])):
                 least = h.argmin(1)
                 best, place = np.concatenate((best, h[rows, least][:, None]), 1), np.concatenate((place, least[:, None] + (start + at)), 1)
                 h[rows, least] = 0xFFFFFFFF
             if best.shape[1] > 8 * self.ell:
                 best, place = self.least(best, place, self.ell)
-        return best, place
+        return (best, place) if best.shape[1] <= self.ell else self.least(best, place, self.ell)
 
     def components(self, each: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """``m`` components of 16 bits, from the smallest of each part of a text's k-mers; none for an empty text."""

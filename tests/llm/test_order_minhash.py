@@ -82,3 +82,16 @@ def test_edge_cases(spark, tmp_path):
     assert run(spark, tmp_path, [], "c") == {}
     tied = run(spark, tmp_path, [(None, "no id"), (1, "x y z"), (1, "x y z")], "d")
     assert set(tied) == {None, 1} and O.fingerprints(spark.createDataFrame([(1, None, 3)], "a long, text string, fingerprint int")).first().fingerprint == ""
+
+
+def test_half_a_text_is_seen_within_the_stated_error():
+    omh, draw = O.OrderMinHash(), random.Random(3)
+    text = lambda n: "".join(chr(draw.randrange(0x4E00, 0x9000)) for _ in range(n))
+    near = []
+    for _ in range(60):
+        half = text(200)
+        near.append(O.likeness(omh.sketch(half + text(200)), omh.sketch(half + text(200))))
+    # both smallest k-mers must lie in the common half, which is a third of all k-mers of the two texts
+    error = (1 / 9 * 8 / 9 / omh.m) ** 0.5
+    assert 0.5 / omh.m**0.5 <= 0.032 and min(near) > 0
+    assert abs(np.mean(near) - 1 / 9) < 0.03 and np.std(near) < 2 * error
