@@ -8,6 +8,8 @@ plan says how many bins have which lengths; each piece then finds its place by i
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -21,34 +23,90 @@ from pyspark.sql import functions as F
 from barograph.llm.common import cut, table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Words whose ids a worker remembers, some 200 bytes each, before it starts afresh.
+CACHE_WORDS = 1_500_000
 
 
 def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of each document's ids and a final ``end_id``: PIECES. Only longer documents are cut.
+def packed_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit values."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class WordIds(dict):
+    """Ids of words (UTF-8 without white space), which are remembered.
 
-    A null text counts as empty: one piece of one id. Rows that repeat an id are documents of their own.
-    Strings of special tokens in a text are ordinary text.
+    For tokenizers as word_bpe_49k: they drop white space, lower-case, part letters from all else, and let no token,
+    rule or marker reach across white space, so that a text's ids are those of its words. A word of Latin letters (up to
+    U+00FF) goes to the tokenizer's model as it is, and a full stop or comma behind one is a word of its own.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+    def __init__(self, coder):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.coder, self.model, self.spelt = coder, coder.model, ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        stem = text[:-1] if text[-1] in ".," else text
+        if stem.isalpha() and (stem.isascii() or max(stem) <= "\u00ff"):
+            low = stem.lower()
+            if stem != text:
+                ids = self[stem.encode()] + self[word[-1:]]
+            elif low != text:
+                ids = self[low.encode()]
+            else:
+                ids = packed_ids([t.id for t in self.model.tokenize(text if text.isascii() else self.spelt(text)[0][0])])
+        else:
+            ids = packed_ids(self.coder.encode(text, add_special_tokens=False).ids)
+        self[word] = ids
+        return ids
+
+
+class Coder:
+    """Ids of whole texts. ``by_word`` is for tokenizers that WordIds is right for; with others texts go in whole."""
+
+    def __init__(self, path: str, by_word: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        coder = Tokenizer.from_file(path)
-        coder.encode_special_tokens = True
+        self.coder = Tokenizer.from_file(path)
+        self.known = WordIds(self.coder) if by_word else None
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        if self.known is None:
+            return [packed_ids(e.ids) for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+        if len(self.known) >= CACHE_WORDS:
+            self.known.clear()
+        # words end at \x20 and \x09 to \x0D; other white space stays inside of a word
+        return [b"".join(map(self.known.__getitem__, text.encode().split())) for text in texts]
+
+
+#: Coders of this worker: what they remember serves all of its tasks.
+_coders: dict[tuple[str, bool], Coder] = {}
+
+
+def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, by_word: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pieces of each document's ids and a final ``end_id``: PIECES. Only longer documents are cut.
+
+    A null text counts as empty: one piece of one id. Rows that repeat an id are documents of their own. Ids must be
+    whole numbers or null. A special token's string in a text is that token, as tokenizers has it. ``by_word``: see WordIds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (path, by_word) not in _coders:
+            _coders[path, by_word] = Coder(path, by_word)
+        coder, end = _coders[path, by_word], struct.pack("<I", end_id)
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for i, text in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                ids = np.array([*coder.encode(text or "", add_special_tokens=False).ids, end_id], "<u4")
-                for k, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    for column, x in zip(out, (i, k, start, len(part), zlib.crc32(part.tobytes())), strict=True):
+            for i, ids in zip(b["id"].to_pylist(), coder.of([t or "" for t in b["text"].to_pylist()]), strict=True):
+                ids += end
+                for k, start in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[start : start + 4 * capacity]
+                    for column, x in zip(out, (i, k, start // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(x)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -125,17 +183,18 @@ def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length") ->
     the driver; both are bounded by the capacity.
     """
     spark = pieces.sparkSession
-    kept = pieces.drop("sequence_id", "offset", "_pk_bucket", "_pk_rank", "_pk_before")
+    kept = pieces.drop("sequence_id", "offset", "_pk_row", "_pk_bucket", "_pk_rank", "_pk_before")
     columns = kept.columns
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     fits = F.when(F.col(length_col).between(1, capacity), F.col(length_col)).otherwise(F.raise_error(F.lit("a piece's length is not from 1 to the capacity")).cast("long"))
-    kept = cut(kept.withColumns({length_col: fits, "_pk_bucket": F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")}), "pieces")
+    # a row's number is written once, so that equal rows, too, keep their order and are dealt to many buckets
+    kept = cut(kept.withColumns({length_col: fits, "_pk_row": F.monotonically_increasing_id()}), "pieces").withColumn("_pk_bucket", F.pmod(F.xxhash64("_pk_row"), F.lit(buckets)).cast("int"))
     counts = kept.groupBy(length_col, "_pk_bucket").agg(F.count("*").alias("n"))
     total = {r[0]: r.n for r in counts.groupBy(length_col).agg(F.sum("n").alias("n")).collect()}
     where = places(plan_bins(total, capacity))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(length_col).orderBy("_pk_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = counts.select(length_col, "_pk_bucket", before.alias("_pk_before"))
-    rank = F.row_number().over(Window.partitionBy(length_col, "_pk_bucket").orderBy(*columns)) - 1
+    rank = F.row_number().over(Window.partitionBy(length_col, "_pk_bucket").orderBy("_pk_row")) - 1
     ranked = kept.withColumn("_pk_rank", rank).join(start, [length_col, "_pk_bucket"]).select(*columns, (F.col("_pk_rank") + F.col("_pk_before")).alias("_pk_rank"))
     schema = ranked.select(*columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
 
@@ -156,4 +215,4 @@ def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length") ->
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(token_pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return pack(token_pieces(table(spark, sf_dir, "documents"), tokenizer_path(), by_word=True))

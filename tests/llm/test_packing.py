@@ -59,6 +59,26 @@ def test_plan_holds_every_piece_and_is_tight(seed):
     assert sum(n for n, _ in plan) <= 1.05 * len(free) + 1
 
 
+HARD = [None, "", "hi <|endoftext|> there", "a<|startoftext|>b <|ENDOFTEXT|>", "it's the dog's, we'll see...\t\n\x0b\x0c\r x", "J\u030c e\u0301 \u0301x A\u030a", "a\u2000b\u00a0c\u3000d\x1ce", "\u03a3\u03a3 \u0130x 1,234.5 [[[] !!\n!!", "\u0000 \ud7ff \U0001f600", "x" * 3000]
+
+
+@pytest.mark.parametrize("by_word", [True, False])
+def test_ids_are_those_of_whole_texts(spark, by_word):
+    rows = list(enumerate(HARD))
+    got = token_pieces(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path(), by_word=by_word).collect()
+    coder = Tokenizer.from_file(tokenizer_path())
+    for i, text in rows:
+        ids = [*coder.encode(text or "", add_special_tokens=False).ids, 0]
+        assert [(r.start, r.length, r.ids_crc32) for r in got if r.doc_id == i] == [(0, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids)))]
+    assert 49407 in coder.encode(HARD[2], add_special_tokens=False).ids
+
+
+def test_rows_that_are_equal_in_all_columns(spark):
+    rows = spark.range(5000).selectExpr("7L as length", "map('a', 1) as tag")
+    got = [r.asDict() for r in pack(rows, 100).collect()]
+    assert len(got) == 5000 and check_places(got, 100) == -(-5000 // 14)
+
+
 def test_edge_cases(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (2, ""), (3, "w " * 30_000), (None, "a b")], "doc_id long, text string")
     rows = [r.asDict() for r in pack(token_pieces(docs, tokenizer_path())).collect()]
