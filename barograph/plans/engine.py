@@ -67,13 +67,19 @@ class Engine:
             base = normal(name_of(source.resolution_ms))
         default = normal(timeframe) if timeframe else base
         if stream:
-            from barograph.streaming.bars import finish, read_ticks, run_to_end, stream_bars
+            from barograph.streaming.bars import finish, read_ticks, run_to_end, short_bars, stream_bars
 
             at = f"{self.root}/streams/{hashlib.sha256(f'{name}{path}'.encode()).hexdigest()[:16]}-{self.spark.sparkContext.applicationId}"
-            source.rows.write.mode("overwrite").parquet(f"{at}/ticks")
+            # parts by time, so that few ticks are late; finish() makes up for those that are
+            source.rows.repartitionByRange("ms").sortWithinPartitions("ms", "seq").write.mode("overwrite").parquet(f"{at}/ticks")
             run_to_end(self.spark, stream_bars(read_ticks(self.spark, f"{at}/ticks"), base), f"{at}/bars", f"{at}/checkpoint")
-            made = finish(self.spark, self.spark.read.parquet(f"{at}/ticks"), f"{at}/bars", base)
+            ticks = self.spark.read.parquet(f"{at}/ticks")
+            made = finish(self.spark, ticks, f"{at}/bars", base)
+            written = self.spark.read.schema(B.BARS).parquet(f"{at}/bars")
+            # of bars that are not the last ones: those were held back, these were late
+            late = short_bars(ticks, written, base).join(written.groupBy("symbol").agg(F.max("ms").alias("_last")), "symbol").where("ms <= _last").agg(F.sum("lacking")).first()[0] or 0
         else:
+            late = None
             made = B.build_bars(source.rows, base, source.resolution_ms)
         sha = self.artifacts.put_table(made)
         made = self.artifacts.get_table(sha)
@@ -82,7 +88,7 @@ class Engine:
         instrument = instrument or Instrument(tick_size=source.tick_size)
         self.catalog.put_source(
             name=name, path=path, digest=fingerprint(self.spark, path), kind=source.kind, base_timeframe=base, default_timeframe=default, utc_offset_hours=float(spec.utc_offset_hours),
-            default_bars=bars if default == base else B.roll_up(made, default).count(), rows=quality["rows"], bars=bars, first_ms=quality["first_ms"], last_ms=quality["last_ms"], tick_size=source.tick_size,
+            default_bars=bars if default == base else B.roll_up(made, default).count(), rows=quality["rows"], late_rows=late, bars=bars, first_ms=quality["first_ms"], last_ms=quality["last_ms"], tick_size=source.tick_size,
             instrument_json=json.dumps(asdict(instrument)), quality_json=json.dumps(quality), bars_sha=sha, ingest="stream" if stream else "whole",
         )
         return self.catalog.source(name) | {"quality": quality, "serves": served_by(base)}

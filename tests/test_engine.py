@@ -71,11 +71,16 @@ def test_catalogue(spark, tmp_path):
     c = Catalog(spark, str(tmp_path))
     for parent in (None, 1, 2, 1):
         c.save_version("s", "x", "y", {}, parent_version=parent)
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="1 to 4"):
         c.save_version("s", "x", "y", {}, parent_version=9)
+    assert [c.save_version("t", "x", "y", {}, parent_version=p) for p in (None, None, None, 0)] == [1, 2, 3, 4]
+    assert [r.parent_version for r in c.table("strategy_version").where("strategy_id = 't'").orderBy("version").collect()] == [None, 1, 2, None]
+    # a writer that saw only three versions adds a row of its own, and no version is lost
+    c._put("strategy_version", version_pk="t@other", strategy_id="t", parent_version=3)
+    assert [r.version for r in c.table("strategy_version").where("strategy_id = 't'").orderBy("version").collect()] == [1, 2, 3, 4, 5]
     from barograph.sources.catalog import version_tree
 
-    assert {r.version: r.path for r in version_tree(c.table("strategy_version")).collect()} == {1: "1", 2: "1/2", 3: "1/2/3", 4: "1/4"}
+    assert {r.version: r.path for r in version_tree(c.table("strategy_version").where("strategy_id = 's'")).collect()} == {1: "1", 2: "1/2", 3: "1/2/3", 4: "1/4"}
     c.put_source(name="d", path="p", digest="x", kind="tick", rows=1)
     first = c.source("d")["created_at"]
     c.put_source(name="d", path="q", digest="x", kind="tick", rows=2)
@@ -83,11 +88,8 @@ def test_catalogue(spark, tmp_path):
     c.delete_source("d")
     with pytest.raises(KeyError):
         c.source("d")
-    c.record_session("k", surface="cli")
-    c.record_session("k", surface="api")
-    assert [r.surface for r in c.table("agent_session").collect()] == ["api"]
-    for v in ("s@1", "s@2"):
-        run = c.start_run(v, "d", "optimize", {}, "H1")
+    for n in (1, 2):
+        run = c.start_run(c.version("s", n)["version_pk"], "d", "optimize", {}, "H1")
         c.record_optimization(run, mode="grid", objective="sqn", comparisons=250)
     assert c.comparisons("s") == 500 and c.comparisons("none") == 0
 
