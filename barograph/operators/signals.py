@@ -21,10 +21,19 @@ from barograph.operators import indicators as ind
 
 #: What a signal must return, and what its source may not name.
 SIGNALS = ("long_entry", "short_entry", "stop_distance", "target_distance")
-BARRED_NAMES = frozenset("exec eval compile open input breakpoint globals locals vars getattr setattr delattr __import__ memoryview".split())
-BARRED_MODULES = frozenset("os sys subprocess socket shutil pathlib importlib requests urllib http pickle marshal ctypes builtins".split())
-SERIES = frozenset("open high low close volume spread ms".split())
-ALLOWED = {k: v for k, v in (__builtins__ if isinstance(__builtins__, dict) else vars(__builtins__)).items() if k in "abs all any bool dict divmod enumerate filter float int isinstance len list map max min pow print range reversed round set sorted str sum tuple zip True False None".split()}
+BARRED_NAMES = {
+    "__import__", "breakpoint", "compile", "delattr", "eval", "exec", "getattr", "globals", "input", "locals", "memoryview", "open", "setattr", "vars",
+}
+BARRED_MODULES = {"builtins", "ctypes", "http", "importlib", "marshal", "os", "pathlib", "pickle", "requests", "shutil", "socket", "subprocess", "sys", "urllib"}
+SERIES = {"open", "high", "low", "close", "volume", "spread", "ms"}
+#: Built-ins that a signal's source sees.
+ALLOWED = {
+    f.__name__: f
+    for f in (
+        abs, all, any, bool, dict, divmod, enumerate, filter, float, hasattr, int, isinstance, len, list, map, max, min, pow, print, range, reversed, round, set,
+        sorted, str, sum, tuple, type, zip, ArithmeticError, Exception, IndexError, KeyError, TypeError, ValueError, ZeroDivisionError,
+    )
+} | {"True": True, "False": False, "None": None}
 
 
 def ema_cross(bars: DataFrame, p: dict[str, Any]) -> DataFrame:

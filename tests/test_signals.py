@@ -52,3 +52,9 @@ def test_columns_and_arrays_agree(spark, sf, build, arrays, p):
     ok = got["long_entry"] | got["short_entry"]
     for c in ("stop_distance", "target_distance"):
         assert np.allclose(got[c][ok], want[c][ok.to_numpy()])
+
+
+def test_errors_and_types_are_known():
+    source = 'def signal(bars, p):\n    if not hasattr(bars, "close") or type(p) is not dict:\n        raise TypeError("t")\n    try:\n        return p["none"]\n    except KeyError:\n        raise ValueError("no n") from None\n    except Exception:\n        pass\n    ' + RETURN
+    with pytest.raises(ValueError, match="no n"):
+        S.compile_source(source)(SimpleNamespace(close=np.zeros(3)), {})
