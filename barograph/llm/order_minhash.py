@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -131,35 +132,46 @@ def fingerprints(docs: DataFrame, hasher: OrderMinHash | None = None, text_col:
     return kept.mapInArrow(run, StructType([*kept.schema.fields]).add(to, "string"))
 
 
+def how_many_up_to(bounds: list[int], x: Column) -> Column:
+    """How many of the sorted ``bounds`` are ``x`` at most, by binary search; the bounds are one value in the plan."""
+    known = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
+    low, high = F.lit(0), F.lit(len(bounds))
+
+    def step(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        right = F.get(known, middle) <= x
+        going = s["low"] < s["high"]
+        return F.struct(F.when(going & right, middle + 1).otherwise(s["low"]).alias("low"), F.when(going & ~right, middle).otherwise(s["high"]).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), F.struct(low.alias("low"), high.alias("high")), step)["low"] if bounds else F.lit(0)
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents sorted by id in buckets, each followed by the first document after its bucket.
 
     Columns id, text, bucket, ahead (0: the bucket's own, 1: the one that only follows). Buckets are ranges
     of ids, some to a partition and sorted within it; after the last document comes the first. A text is shuffled
-    once, and no task sees more than its ranges. Null ids come first; of equal ids the smaller text.
+    once, and no task sees more than its ranges. Null ids come first; of equal ids the smaller text. Ids must be whole numbers.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     buckets = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    bounds = sorted(set(rows.approxQuantile("id", [i / buckets for i in range(1, buckets)], 1 / (8 * buckets)) or []))
-    bounds = [int(x) for x in bounds]
-    bucket = F.when(F.col("id").isNull(), 0).otherwise(F.aggregate(F.array(*map(F.lit, bounds)).cast("array<long>"), F.lit(0), lambda n, x: n + F.when(F.col("id") >= x, 1).otherwise(0)))
+    bounds = sorted({int(x) for x in rows.approxQuantile("id", [i / buckets for i in range(1, buckets)], 1 / (8 * buckets)) or []})
+    bucket = F.when(F.col("id").isNull(), 0).otherwise(how_many_up_to(bounds, F.col("id"))).cast("int")
     # one row a bucket: at most ``buckets`` of them reach the driver
     heads = sorted((r.bucket, r.null_ids, r.head) for r in rows.select("id", bucket.alias("bucket")).groupBy("bucket").agg(F.min("id").alias("head"), F.max(F.col("id").isNull()).alias("null_ids")).collect())
     if not heads:
         return rows.select("id", "text", F.lit(0).alias("bucket"), F.lit(0).alias("ahead"))
-    before = {}  # id of a bucket's first document -> the bucket before
+    # by bucket: its first id (null: a null, or no document), and the bucket before
+    first, before = [None] * (len(bounds) + 1), [None] * (len(bounds) + 1)
     for k, (b, null_ids, head) in enumerate(heads):
-        before[None if null_ids else head] = heads[k - 1][0]
-    goes = F.lit(None).cast("int")
-    known = [(h, b) for h, b in before.items() if h is not None]
-    if known:
-        goes = F.try_element_at(F.create_map(*[F.lit(x) for kv in known for x in kv]), F.col("id"))
-    if None in before:
-        goes = F.when(F.col("id").isNull(), F.lit(before[None])).otherwise(goes)
-    own = F.struct(bucket.cast("int").alias("bucket"), F.lit(0).alias("ahead"))
-    also = F.struct(goes.cast("int").alias("bucket"), F.lit(1).alias("ahead"))
-    placed = rows.select("id", "text", F.explode(F.filter(F.array(own, also), lambda x: x["bucket"].isNotNull())).alias("at")).select("id", "text", "at.*")
+        first[b], before[b] = None if null_ids else head, heads[k - 1][0]
+    listed = lambda x, kind: F.from_json(F.lit(json.dumps(x)), f"array<{kind}>")
+    placed = rows.withColumn("own", bucket)
+    leads = F.col("id").eqNullSafe(F.get(listed(first, "bigint"), F.col("own")))
+    own = F.struct(F.col("own").alias("bucket"), F.lit(0).alias("ahead"))
+    also = F.struct(F.get(listed(before, "int"), F.col("own")).alias("bucket"), F.lit(1).alias("ahead"))
+    placed = placed.select("id", "text", F.explode(F.when(leads, F.array(own, also)).otherwise(F.array(own))).alias("at")).select("id", "text", "at.*")
     return placed.repartition("bucket").sortWithinPartitions("bucket", "ahead", F.asc_nulls_first("id"), "text")
 
 
