@@ -34,7 +34,8 @@ TAIL = 22 + 65535
 #: Ranges that lie this close together are read at once, up to READ bytes.
 READ = 8 << 20
 RECORD_ID = "urn:barograph:page:"
-RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string"
+RECORD_TYPES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("refers_to_id", pa.string())])
 
 
 def safe(url: str) -> str:
@@ -57,19 +58,48 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     return ("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
 
+def header_fields(lines: list[str]) -> dict[str, str]:
+    """Header fields by lower-case name; a line that begins with a blank goes on the one before."""
+    fields, last = {}, None
+    for line in lines:
+        if line[:1] in (" ", "\t") and last:
+            fields[last] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            last = name.strip().lower()
+            fields[last] = value.strip()
+    return fields
+
+
 def parse_record(raw: bytes) -> dict[str, Any]:
-    """A record of RECORDS. A payload that doesn't have the digest its header names raises an error."""
+    """A record of RECORDS, of any type and from any writer.
+
+    The payload is what follows the HTTP header, if the block is an HTTP message, or else the block; a revisit has none,
+    and its size is that of its HTTP header or else null. A digest that the header doesn't name is computed. A
+    payload that doesn't have the SHA-1 its header names raises an error. ``page_id`` and ``refers_to`` are numbers for
+    records that write_archives named, and null for others; ``record_id`` and ``refers_to_id`` are the whole names.
+    """
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = int(re.search(rb"(?im)^content-length:\s*(\d+)", http)[1])
-    number = lambda x: int(x) if (x := (x or "").strip("<>").removeprefix(RECORD_ID)) else None
-    kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    if kind == "response":
-        if len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-            raise ValueError(f"{fields['WARC-Record-ID']}: the payload is damaged")
-    return {"page_id": number(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "payload": payload if kind == "response" else None, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": number(fields.get("WARC-Refers-To"))}
+    fields = header_fields(head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
+    block, kind = rest[: int(fields["content-length"])], fields["warc-type"]
+    payload, size = block, len(block)
+    if block.startswith(b"HTTP/") or fields.get("content-type", "").startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        said = header_fields(http.decode("latin-1").split("\r\n")[1:]).get("content-length", "")
+        size = len(payload) if kind != "revisit" else int(said) if said.isdecimal() else None
+    elif kind == "revisit":
+        size = None
+    named = fields.get("warc-payload-digest", "")
+    digest = named.partition(":")[2] if ":" in named else named or None
+    if kind != "revisit" and (not digest or named.lower().startswith("sha1:")):
+        own = hashlib.sha1(payload).digest()
+        if digest and digest.upper() != base64.b32encode(own).decode() and digest.lower() != own.hex():
+            raise ValueError(f"{fields.get('warc-record-id')}: the payload is damaged")
+        digest = base64.b32encode(own).decode()
+    name = lambda key: fields[key].strip("<>") if key in fields else None
+    number = lambda x: int(found[1]) if (found := re.fullmatch(RECORD_ID + r"(-?\d{1,19})", x or "")) else None
+    own_id, other = name("warc-record-id"), name("warc-refers-to")
+    return {"page_id": number(own_id), "url": fields.get("warc-target-uri"), "payload": None if kind == "revisit" else payload, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": number(other), "record_id": own_id, "refers_to_id": other}
 
 
 def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", level: int = 5, archive_bytes: int = 256 << 20) -> DataFrame:
@@ -204,11 +234,16 @@ def locate_records(archives: DataFrame, path_col: str = "path") -> DataFrame:
 
 
 def read_records(ranges: DataFrame) -> DataFrame:
-    """The records at the given ranges (path, start, length): RECORDS. Ranges of a package are spread over tasks, near ones read at once."""
+    """The records at the given ranges (path, start, length): RECORDS.
+
+    Blocks of READ bytes of a package are dealt to as many tasks as there are blocks, by the ranges' own lengths and not
+    by the size of their rows; near ranges are read at once.
+    """
+    ranges = cut(ranges, "ranges")
     block = F.floor(F.col("start") / READ)
+    tasks = max(1, ranges.select("path", block.alias("block")).distinct().count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
         for b in batches:
             run_, each = [], sorted(zip(*(b[c].to_pylist() for c in ("path", "start", "length")), strict=True))
             for k, (path, start, length) in enumerate(each):
@@ -220,10 +255,10 @@ def read_records(ranges: DataFrame) -> DataFrame:
                         low = run_[0][0]
                         raw = read_at(file, low, max(s + n for s, n in run_) - low)
                     found = [parse_record(gzip.decompress(raw[s - low : s - low + n])) for s, n in run_]
-                    yield pa.RecordBatch.from_pylist(found, kinds)
+                    yield pa.RecordBatch.from_pylist(found, RECORD_TYPES)
                     run_ = []
 
-    return ranges.repartition("path", block).sortWithinPartitions("path", "start").mapInArrow(run, RECORDS)
+    return ranges.repartition(tasks, "path", block).sortWithinPartitions("path", "start").mapInArrow(run, RECORDS)
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

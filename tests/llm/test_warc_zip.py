@@ -1,6 +1,9 @@
 import base64
+import gzip
 import hashlib
 import io
+import json
+import os
 import struct
 import zipfile
 
@@ -42,6 +45,42 @@ def test_edge_cases(spark):
     assert [f.name for f in read_records(locate_records(archives)).schema] == [x.split()[0] for x in RECORDS.split(", ")]
 
 
+def test_packages_of_other_writers(spark):
+    body = b"<p>hi</p>"
+    sha1 = hashlib.sha1(body).digest()
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body
+    rows = [
+        ("warcinfo", "urn:uuid:1", "application/warc-fields", [], b"software: other\r\n"),
+        ("request", "urn:uuid:2", "application/http; msgtype=request", [], b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        ("response", "urn:uuid:3", "application/http; msgtype=response", ["WARC-Payload-Digest: sha1:" + base64.b32encode(sha1).decode(), "WARC-Target-URI: http://a/"], http),
+        ("response", "urn:uuid:4", "application/http", ["warc-payload-digest: sha256:abc"], http),
+        ("resource", "urn:uuid:5", "text/plain", [], b"plain\r\n\r\ntext"),
+        ("metadata", "urn:uuid:6", "application/warc-fields", ["X-Long: one", " two"], b""),
+        ("revisit", "urn:uuid:7", "application/http", ["WARC-Refers-To: <urn:uuid:3>"], b"HTTP/1.1 304 Not Modified\r\n\r\n"),
+    ]
+    data, index = b"", ""
+    for kind, name, content, more, block in rows:
+        head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", "WARC-Date: 2020-01-01T00:00:00Z", f"Content-Type: {content}", f"Content-Length: {len(block)}", *more]
+        raw = gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+        index += "com,a)/ 20200101000000 " + json.dumps({"offset": str(len(data)), "length": str(len(raw)), "filename": "data.warc.gz"}) + "\n"
+        data += raw
+    folder = shared_path(spark, "foreign").removeprefix("file://")
+    os.makedirs(folder)
+    with zipfile.ZipFile(f"{folder}/other.wacz", "w") as z:
+        z.writestr("archive/data.warc.gz", data)
+        z.writestr("indexes/index.cdxj", index, zipfile.ZIP_DEFLATED)
+        z.writestr("datapackage.json", "{}")
+    ranges = locate_records(spark.createDataFrame([(f"file://{folder}/other.wacz",), (None,)], "path string"))
+    got = {r.record_id: r for r in read_records(ranges).collect()}
+    assert {k: r.record_type for k, r in got.items()} == {name: kind for kind, name, *_ in rows}
+    assert all(r.page_id is None and r.refers_to is None for r in got.values())
+    assert bytes(got["urn:uuid:3"].payload) == body == bytes(got["urn:uuid:4"].payload) and got["urn:uuid:3"].url == "http://a/"
+    assert got["urn:uuid:3"].payload_digest == base64.b32encode(sha1).decode() and got["urn:uuid:4"].payload_digest == "abc"
+    assert bytes(got["urn:uuid:5"].payload) == b"plain\r\n\r\ntext" and got["urn:uuid:6"].payload_bytes == 0
+    last = got["urn:uuid:7"]
+    assert (last.payload, last.payload_bytes, last.refers_to_id) == (None, None, "urn:uuid:3")
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_members_of_any_zip(wide):
     raw = io.BytesIO()
