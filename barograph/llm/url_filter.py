@@ -114,10 +114,15 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], mined: DataFrame,
     return judged.withColumn("verdict", verdict).drop("_uf_url", "_uf_hit")
 
 
+def page_number(url: Column) -> Column:
+    """The last of the path's parts that is a number, an extension behind it or not; empty if there is none."""
+    return F.regexp_extract(host_and_path(url)[1], r"^(?s:.*)/(\d{1,18})(?:[/.](?s:.*))?$", 1)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A url's last number names the document that the page shows; that document's label is the page's."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("label"))
-    numbered = pages.select("url", F.regexp_extract(host_and_path(F.col("url"))[1], r"/(\d{1,18})(?:[/.].*)?$", 1).alias("n"))
+    numbered = pages.select("url", page_number(F.col("url")).alias("n"))
     labelled = numbered.where("n <> ''").select("url", F.col("n").cast("long").alias("doc_id")).join(labels, "doc_id")
     return judge_urls(pages, OP5_RULES, mine_rules(labelled)).select("page_id", "host", "path", "rule", "verdict")

@@ -87,3 +87,9 @@ def test_op5_mines_rare_hosts_and_long_urls_as_brute_force_does(spark, tmp_path)
     want = brute_blocked([(tokens[urls[n]], bad[n]) for n in range(1200)], tokens)
     got = {r.url for r in U.op5_url_filter(spark, str(tmp_path)).join(spark.read.parquet(f"{tmp_path}/pages.parquet"), "page_id").where("rule IS NULL AND verdict = 'block'").collect()}
     assert got == want and {"http://rare.info/new", "http://shop.info/other?q69=1", "http://d79.info/"} <= got and "http://fine.info/" not in got
+
+
+def test_the_last_number_names_the_document(spark):
+    urls = {"https://a/2020/01/5.html": "5", "https://a/en/17": "17", "https://a/3/x": "3", "https://a/x9": "", "https://a/": "", "a/7": "", None: "", "https://a/1?p=/2": "1", "https://a/1/22/#/3": "22"}
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", U.page_number(F.col("url")).alias("n")).collect()
+    assert {r.url: r.n for r in rows} == urls
