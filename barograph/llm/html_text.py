@@ -10,8 +10,9 @@ import html
 import re
 import unicodedata
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 from itertools import accumulate
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -215,7 +216,24 @@ def seen(node: Node, visible: bool) -> tuple[bool, bool]:
     return True, visible
 
 
-def inside(node: Node, out: Lines, visible: bool) -> None:
+#: Work on an element: it yields the work on others that it waits for.
+type Task = Generator[Task, Any, Any]
+
+
+def finished(task: Task) -> Any:
+    """Run a task and those it waits for, on a list of its own: no page is nested too deeply for Python's stack."""
+    tasks, value = [task], None
+    while tasks:
+        try:
+            tasks.append(tasks[-1].send(value))
+            value = None
+        except StopIteration as e:
+            tasks.pop()
+            value = e.value
+    return value
+
+
+def inside(node: Node, out: Lines, visible: bool) -> Task:
     number = int(node.attrs["start"]) if node.tag == "ol" and re.fullmatch(r"-?\d{1,9}", node.attrs.get("start", "")) else 1
     closed, summary = node.tag == "details" and "open" not in node.attrs, False
     for kid in node.kids:
@@ -233,14 +251,15 @@ def inside(node: Node, out: Lines, visible: bool) -> None:
         elif tag == "pre" or tag == "textarea":
             out.gap()
             raw = Lines()
-            inside_pre(kid, raw.open, sees)
+            yield inside_pre(kid, raw.open, sees)
             lines = "".join(raw.open).replace("\r\n", "\n").removeprefix("\n").rstrip("\n").split("\n")
             if any(x.strip() for x in lines):
                 out.put([x.rstrip() for x in lines])
             out.gap()
         elif tag == "table":
             out.gap()
-            if lines := table_lines(kid, sees):
+            lines = yield table_lines(kid, sees)
+            if lines:
                 out.put(lines)
             out.gap()
         elif tag == "li":
@@ -250,49 +269,49 @@ def inside(node: Node, out: Lines, visible: bool) -> None:
                 number = int(kid.attrs["value"]) if re.fullmatch(r"-?\d{1,9}", kid.attrs.get("value", "")) else number
                 mark, number = f"{number}. ", number + 1
             own = Lines()
-            inside(kid, own, sees)
+            yield inside(kid, own, sees)
             if lines := own.take():
                 out.put([mark + lines[0], *((" " * len(mark) + x).rstrip() for x in lines[1:])])
         elif tag in ("dd", "blockquote"):
             out.gap() if tag == "blockquote" else out.flush()
             own = Lines()
-            inside(kid, own, sees)
+            yield inside(kid, own, sees)
             if lines := own.take():
                 out.put([("    " + x).rstrip() for x in lines])
             out.gap() if tag == "blockquote" else out.flush()
         elif tag in ("ul", "ol", "menu", "dir") and node.tag in ("li", "ul", "ol"):
             out.flush()
-            inside(kid, out, sees)
+            yield inside(kid, out, sees)
             out.flush()
         elif tag in SPACED:
             out.gap()
-            inside(kid, out, sees)
+            yield inside(kid, out, sees)
             out.gap()
         elif tag in BLOCKS:
             out.flush()
-            inside(kid, out, sees)
+            yield inside(kid, out, sees)
             out.flush()
         elif tag == "input":
             if kid.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url", "tel", "number") and sees:
                 out.text(" " + kid.attrs.get("value", "") + " ")
         elif tag == "svg":
-            svg_text(kid, out.text, lambda x, y: inside(x, out, y), sees)
+            yield svg_text(kid, out.text, lambda x, y: inside(x, out, y), sees)
         elif tag == "math":
             apart = kid.attrs.get("display", "").lower() == "block"
             out.flush() if apart else None
-            math_text(kid, out.text, lambda x, y: inside(x, out, y), sees)
+            yield math_text(kid, out.text, lambda x, y: inside(x, out, y), sees)
             out.flush() if apart else None
         elif tag not in VOID:
             if tag == "q" and sees:
                 out.text('"')
-            inside(kid, out, sees)
+            yield inside(kid, out, sees)
             if tag == "q" and sees:
                 out.text('"')
             if tag == "button":
                 out.text(" ")
 
 
-def inside_pre(node: Node, out: list[str], visible: bool) -> None:
+def inside_pre(node: Node, out: list[str], visible: bool) -> Task:
     for kid in node.kids:
         if isinstance(kid, str):
             if visible:
@@ -302,12 +321,12 @@ def inside_pre(node: Node, out: list[str], visible: bool) -> None:
         else:
             shown, sees = seen(kid, visible)
             if shown and kid.tag in ("svg", "math"):
-                (svg_text if kid.tag == "svg" else math_text)(kid, out.append, lambda x, y: inside_pre(x, out, y), sees)
+                yield (svg_text if kid.tag == "svg" else math_text)(kid, out.append, lambda x, y: inside_pre(x, out, y), sees)
             elif shown:
-                inside_pre(kid, out, sees)
+                yield inside_pre(kid, out, sees)
 
 
-def svg_text(node: Node, put: Callable[[str], None], flow: Callable[[Node, bool], None], visible: bool, label: bool = False) -> None:
+def svg_text(node: Node, put: Callable[[str], None], flow: Callable[[Node, bool], Task], visible: bool, label: bool = False) -> Task:
     """The labels of a drawing in their order, each set off by spaces, and the HTML in it; copies by <use> aren't made."""
     for kid in node.kids:
         if isinstance(kid, str):
@@ -321,13 +340,13 @@ def svg_text(node: Node, put: Callable[[str], None], flow: Callable[[Node, bool]
         own = kid.tag in ("text", "foreignobject")
         put(" ") if own else None
         if kid.tag == "foreignobject":
-            flow(kid, sees)
+            yield flow(kid, sees)
         else:
-            svg_text(kid, put, flow, sees, label or kid.tag == "text")
+            yield svg_text(kid, put, flow, sees, label or kid.tag == "text")
         put(" ") if own else None
 
 
-def math_text(node: Node, put: Callable[[str], None], flow: Callable[[Node, bool], None], visible: bool) -> None:
+def math_text(node: Node, put: Callable[[str], None], flow: Callable[[Node, bool], Task], visible: bool) -> Task:
     """A formula's text in its order; the parts of fractions, scripts and tables stand apart, annotations are unseen."""
     first = True
     for kid in node.kids:
@@ -344,11 +363,11 @@ def math_text(node: Node, put: Callable[[str], None], flow: Callable[[Node, bool
         if not shown or kid.tag in ("annotation", "annotation-xml"):
             continue
         if kid.tag in TOKENS:
-            flow(kid, sees)
+            yield flow(kid, sees)
         elif kid.tag == "mspace":
             put(" ")
         else:
-            math_text(kid, put, flow, sees and kid.tag != "mphantom")
+            yield math_text(kid, put, flow, sees and kid.tag != "mphantom")
 
 
 def spanned(text: str | None, least: int, most: int) -> int:
@@ -357,11 +376,11 @@ def spanned(text: str | None, least: int, most: int) -> int:
     return min(max(int(m[1][:9]), least), most) if m else 1
 
 
-def table_lines(node: Node, visible: bool) -> list[str]:
+def table_lines(node: Node, visible: bool) -> Task:
     """Caption, then a line for each line of a row's cells, columns padded to one width."""
     out, groups = Lines(), {"thead": [], "tbody": [], "tfoot": []}
 
-    def collect(n: Node, sees: bool, rows: list) -> None:
+    def collect(n: Node, sees: bool, rows: list) -> Task:
         cells: list[tuple[list[str], int, int]] = []
         for kid in n.kids:
             if isinstance(kid, str):
@@ -373,19 +392,19 @@ def table_lines(node: Node, visible: bool) -> list[str]:
                 continue
             if kid.tag in ("td", "th"):
                 own = Lines()
-                inside(kid, own, seen_)
+                yield inside(kid, own, seen_)
                 cells.append((own.take(), spanned(kid.attrs.get("colspan"), 1, MOST_COLUMNS), spanned(kid.attrs.get("rowspan"), 0, MOST_ROWS)))
             elif kid.tag == "tr":
-                collect(kid, seen_, rows)
+                yield collect(kid, seen_, rows)
             elif kid.tag in groups:
                 groups[kid.tag].append([])
-                collect(kid, seen_, groups[kid.tag][-1])
+                yield collect(kid, seen_, groups[kid.tag][-1])
                 rows = rows if n.tag != "table" else fresh()
             else:
                 holder = Node("div", {})
                 holder.kids.append(kid)
                 out.flush()
-                inside(holder, out, sees)
+                yield inside(holder, out, sees)
                 out.flush()
         if cells or n.tag == "tr":
             rows.append(cells)
@@ -394,7 +413,7 @@ def table_lines(node: Node, visible: bool) -> list[str]:
         groups["tbody"].append([])
         return groups["tbody"][-1]
 
-    collect(node, visible, fresh())
+    yield collect(node, visible, fresh())
     # Cells at their columns; a cell of several rows takes its columns in the rows below, up to the end of their group.
     rows: list[list[tuple[int, int, list[str]]]] = []
     for group in groups["thead"] + groups["tbody"] + groups["tfoot"]:
@@ -445,7 +464,7 @@ def visible_text(page: str | None) -> str:
     out, root = Lines(), build(page)
     holder = Node("div", {})
     holder.kids.append(root)
-    inside(holder, out, True)
+    finished(inside(holder, out, True))
     return "\n".join(out.take()).strip("\n")
 
 

@@ -68,3 +68,12 @@ def test_a_closing_p_finds_its_p_under_deep_inline_tags():
     deep = "<i>" * 20
     assert visible_text(f"<p>a{deep}b</p>c") == "ab\n\nc"
     assert visible_text(f"<p>a<button>{deep}b</p>c</button>") == "ab\n\nc"
+
+
+def test_deep_nesting_and_row_spans():
+    assert visible_text("<table>" * 350) == "" and visible_text("<table><tr><td>" * 350 + "x") == "x"
+    assert visible_text("<div>" * 5000 + "x" + "<b>" * 5000 + "y") == "xy"
+    assert visible_text("<ul><li>" * 600 + "x").endswith("- x") and visible_text("<math><mrow>" * 600 + "<mi>x") == "x"
+    assert visible_text("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>") == "A | B\n  | C"
+    outer = "<table><tr><td>a<td><table><tr><td>b<td>c<tr><td>dd<td>e</table><td>f</table>"
+    assert visible_text(outer) == "a | b  | c | f\n  | dd | e |"
