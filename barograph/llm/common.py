@@ -16,6 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\f\r"
 #: Entries that a task's word cache holds before it starts afresh.
 CACHE_WORDS = 1_000_000
+#: Spark's setting that removes shuffle files at the end of a query.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Odd multipliers and mixers of the 64-bit hashes (fixed values).
 MIX_A, MIX_B, MIX_C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -43,11 +45,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df``: write it in the shared folder and read it again.
 
-    The files outlive a lost executor, and a plan that reads them twice computes once.
+    The files outlive a lost executor, and a plan that reads them twice computes once. Shuffle files of the write go
+    when it is done, since nothing reads them any more; else they stay until the driver's garbage is collected.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -78,6 +86,56 @@ def in_filter(packed: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
     return (packed[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit values."""
+    h = (h ^ (h >> np.uint64(30))) * MIX_B
+    h = (h ^ (h >> np.uint64(27))) * MIX_C
+    return h ^ (h >> np.uint64(31))
+
+
+#: Bytes of a text whose words are hashed at once, and the longest word that is hashed so.
+STRETCH, LONG_WORD = 1 << 16, 64
+_BLANK = np.zeros(256, bool)
+_BLANK[list(BLANKS.encode())] = True
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * MIX_A)
+_POWER = np.full(STRETCH + LONG_WORD, MIX_A).cumprod()
+_INVERSE = np.full(STRETCH + LONG_WORD, pow(int(MIX_A), -1, 1 << 64), np.uint64).cumprod()
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hash of each run of other bytes than \\x20 and \\x09-\\x0D.
+
+    A word is a polynomial in its bytes: a difference of running sums over the text, put back to power 0.
+    Longer words than LONG_WORD are hashed one by one.
+    """
+    text = np.frombuffer(raw, np.uint8)
+    blank = np.ones(len(text) + 2, bool)
+    np.take(_BLANK, text, out=blank[1:-1], mode="clip")
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, stops = edge[::2], edge[1::2]
+    out, long = np.empty(len(starts), np.uint64), stops - starts > LONG_WORD
+    # stretches of short words, so that the tables of powers are long enough
+    part = starts // STRETCH + np.cumsum(long) * 2
+    part[long] -= 1
+    bounds = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(starts)] if len(starts) else [0]
+    for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+        if long[i]:
+            for k in range(i, j):
+                out[k] = xxhash.xxh64_intdigest(raw[starts[k] : stops[k]])
+            continue
+        low, n = starts[i], stops[j - 1] - starts[i]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE.take(text[low : low + n], mode="clip") * _POWER[:n], out=sums[1:])
+        out[i:j] = (sums[stops[i:j] - low] - sums[starts[i:j] - low]) * _INVERSE[starts[i:j] - low]
+    return mixed(out)
+
+
+def text_hashes(text: str | None, lower: bool = False) -> np.ndarray:
+    """Hashes of the words of a text; ``lower`` lower-cases A-Z."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return word_hashes(raw.lower() if lower else raw)
+
+
 class WordHashes(dict):
     """64-bit hash of a word; remembers up to CACHE_WORDS words."""
 
@@ -97,22 +155,19 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit values."""
-    h = (h ^ (h >> np.uint64(30))) * MIX_B
-    h = (h ^ (h >> np.uint64(27))) * MIX_C
-    return h ^ (h >> np.uint64(31))
-
-
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of ``n`` neighbouring word hashes."""
+    """Hash of each run of ``n`` neighbouring word hashes: their polynomial, of which each step doubles the run."""
     count = len(words) - n + 1
     if count <= 0:
         return np.zeros(0, np.uint64)
-    h = np.full(count, n, np.uint64)
-    for j in range(n):
-        h = h * MIX_A + words[j : j + count]
-    return mixed(h)
+    h, have = words, 1
+    for bit in bin(n)[3:]:
+        h = h[:-have] * np.uint64(pow(int(MIX_A), have, 1 << 64)) + h[have:]
+        have *= 2
+        if bit == "1":
+            h = h[:-1] * MIX_A + words[have:]
+            have += 1
+    return mixed(h + np.uint64(n))
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:

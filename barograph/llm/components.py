@@ -17,19 +17,18 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     edges = cut(edges, "links")
-    mark = F.xxhash64("u", "v").cast("decimal(38,0)")
-    state = lambda e: e.agg(F.count("*").alias("n"), F.sum(mark).alias("s")).first()
-    seen = state(edges)
-    while seen.n:
+
+    def stars() -> bool:
+        """Whether each id has one link upwards, to an id that has none: then all is done."""
+        ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("top")).union(edges.select("v", F.lit(0), F.lit(1)))
+        return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("top").alias("top")).where("up > 1 or up = 1 and top = 1").isEmpty()
+
+    while not stars():
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(small.select("u", "m")).distinct(), "links")
-        now = state(edges)
-        if now == seen:
-            break
-        seen = now
     roots = edges.groupBy("v").agg(F.count("*")).select(F.col("v").alias("id"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)

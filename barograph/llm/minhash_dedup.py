@@ -3,6 +3,10 @@
 Shingle sets get minima under ``bands * rows`` hash functions. Bands of minima bring candidates
 together; only the two low bits of each minimum are kept, packed into longs, and bit counts of two signatures
 estimate their similarity, corrected for chance collisions. What passes is confirmed on the full sets.
+
+A bucket's members are compared with leads and not pair by pair. What the leads leave apart is settled by the shingles that
+members have in common with other components: where those are too few, no link is possible, and the rest is paired by its
+rarest ones.
 """
 
 from __future__ import annotations
@@ -16,9 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructType
+from pyspark.sql.types import ArrayType, IntegralType, LongType, StructType
 
-from barograph.llm.common import MIX_A, WordHashes, cut, mixed, shingles, table, words_of
+from barograph.llm.common import MIX_A, cut, mixed, shingles, table, text_hashes
 from barograph.llm.components import connected_components
 
 #: Shingles hashed at a time under all functions, which bounds a task's memory.
@@ -80,136 +84,197 @@ class NearDup:
 
 
 def sketches(docs: DataFrame, how: NearDup, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, n (set size), set (128 bits that stand for the set), planes, bands."""
-    schema = StructType([docs.select(F.col(id_col).alias("id")).schema[0]]).add("n", "long").add("set", "binary").add("planes", ArrayType(LongType())).add("bands", ArrayType(LongType()))
+    """Per row: id, th (hash of the text), n (set size), set (128 bits that stand for the set), planes, bands."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    schema = StructType(rows.schema.fields[:2]).add("n", "long").add("set", "binary").add("planes", ArrayType(LongType())).add("bands", ArrayType(LongType()))
     longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, sign = WordHashes(), how.signer()
+        sign = how.signer()
         for b in batches:
             n, key, planes, bands = [], [], [], []
             for text in b["text"].to_pylist():
-                each = shingles(cache.of(words_of(text, lower=True)), how.words)
+                each = shingles(text_hashes(text, lower=True), how.words)
                 n.append(len(each))
                 key.append(xxhash.xxh3_128_digest(each.tobytes()) if len(each) else None)
                 p, q = sign(each) if len(each) else (None, None)
                 planes.append(p)
                 bands.append(q)
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(planes, longs), pa.array(bands, longs)], ["id", "n", "set", "planes", "bands"])
+            yield pa.RecordBatch.from_arrays([b["id"], b["th"], pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(planes, longs), pa.array(bands, longs)], ["id", "th", "n", "set", "planes", "bands"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def compared(pairs: DataFrame, texts: DataFrame, how: NearDup, extras: bool = False) -> DataFrame:
-    """Pairs (a, b) with linked: whether their full sets are similar enough; texts: id, text.
+def classes_of(made: DataFrame) -> DataFrame:
+    """A row for each distinct set: node, set, id and th of one of its rows (that of the smallest id), planes, bands.
 
-    With ``extras`` also n (size of b's set), o (how much of it a has) and extras (what of it a lacks).
+    ``node`` is the id where the id is a whole number and has one set only, or else a 64-bit hash of id and set.
     """
-    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("s")), texts.select(F.col("id").alias("b"), F.col("text").alias("t"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t")
-    schema = StructType([*pairs.select("a", "b").schema.fields]).add("linked", "boolean")
-    if extras:
-        schema = schema.add("n", "long").add("o", "long").add("extras", ArrayType(LongType()))
+    named = made.where("id is not null and set is not null")
+    one = named.groupBy("set").agg(F.min(F.struct("id", "th")).alias("row"), F.first("planes").alias("planes"), F.first("bands").alias("bands")).select("set", "row.*", "planes", "bands")
+    other = F.xxhash64("id", "set")
+    if not isinstance(made.schema["id"].dataType, IntegralType):
+        return one.withColumn("node", other)
+    mark = F.xxhash64("set")
+    several = cut(named.groupBy("id").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low < high").select(F.col("id").alias("several")), "ids-of-several")
+    return one.join(several, F.col("id") == F.col("several"), "left").withColumn("node", F.when(F.col("several").isNull(), F.col("id").cast("long")).otherwise(other)).drop("several")
+
+
+def compared(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are similar enough; texts: node, text."""
+    left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("s")), texts.select(F.col("node").alias("b"), F.col("text").alias("t"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "s", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         known: dict[str, np.ndarray] = {}
         for batch in batches:
-            linked, n, o, rest = [], [], [], []
+            linked = []
             for s, t in zip(batch["s"].to_pylist(), batch["t"].to_pylist(), strict=True):
                 sets = []
                 for text in (s, t):
                     if text not in known:
                         if len(known) > 64:
                             known.clear()
-                        known[text] = shingles(cache.of(words_of(text, lower=True)), how.words)
+                        known[text] = shingles(text_hashes(text, lower=True), how.words)
                     sets.append(known[text])
-                held = np.isin(sets[1], sets[0], assume_unique=True)
-                same = int(held.sum())
+                same = int(np.isin(sets[1], sets[0], assume_unique=True).sum())
                 linked.append(100 * same >= how.percent * (len(sets[0]) + len(sets[1]) - same))
-                n.append(len(sets[1]))
-                o.append(same)
-                if extras:
-                    rest.append(sets[1][~held].view(np.int64))
-            columns = [batch["a"], batch["b"], pa.array(linked, pa.bool_())]
-            if extras:
-                columns += [pa.array(n, pa.int64()), pa.array(o, pa.int64()), pa.array(rest, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "linked", "n", "o", "extras"][: len(columns)])
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
 
-    return both.mapInArrow(run, schema)
 
+def sets_of(nodes: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
+    """``nodes`` (node, component) with n and tokens, the hashes of the full set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [shingles(text_hashes(t, lower=True), how.words).view(np.int64) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["node"], b["component"], pa.array([len(x) for x in each], pa.int64()), pa.array(each, pa.list_(pa.int64()))], ["node", "component", "n", "tokens"])
+
+    return nodes.join(texts, "node").select("node", "component", "text").mapInArrow(run, "node long, component long, n long, tokens array<long>")
 
-def open_pairs(deltas: DataFrame, how: NearDup) -> DataFrame:
-    """Pairs (a, b) of members of one group, not yet in one component, that their overlap with the lead does not rule out.
 
-    ``deltas``: a (lead), b (member), linked, n, o, extras, component. Two sets of sizes n and m are similar enough
-    only if they share at least need(n, m) shingles. What two members share is at most the smaller of their overlaps
-    with the lead, and what they share outside of it. So either they have an extra shingle in common, or both overlap
-    the lead by need(n, m); all other pairs can't be linked. Each case is an equality join.
+def still_open(sets: DataFrame, how: NearDup) -> DataFrame:
+    """``sets`` less the tokens that no other component has, and less the sets that can't be linked without them.
+
+    A set of ``n`` tokens, of which other components have ``o``, shares at most ``o`` with any set of those. So a set of
+    size ``m`` can be linked with it only if ``(n + m) p / (100 + p) <= o``, and ``m`` is ``p n / 100`` at least.
     """
     p = how.percent
-    member = lambda side, *more: deltas.select(F.col("a").alias("lead"), F.col("b").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in ("linked", "n", "o", "component")], F.size("extras").alias(f"{side}_m"), *more)
-    need = F.ceil((F.col("x_n") + F.col("y_n")) * p / F.lit(100 + p))
-    overlap = F.least("x_o", "y_o")
-    # of two members that the lead is not linked with, one order is enough
-    apart = ~F.col("x_linked") & (F.col("x_component") != F.col("y_component")) & (F.col("y_linked") | (F.col("x_id") < F.col("y_id")))
-    x, y = (member(s, F.explode("extras").alias("extra")) for s in "xy")
-    shared = x.where("not x_linked").join(y, ["lead", "extra"]).where(apart & (overlap + F.least("x_m", "y_m") >= need))
-    sizes = F.sequence(F.ceil(F.col("n") * p / F.lit(100)), F.floor(F.col("o") * (100 + p) / F.lit(p)) - F.col("n"))
-    fits = F.floor(F.col("o") * (100 + p) / F.lit(p)) - F.col("n") >= F.ceil(F.col("n") * p / F.lit(100))
-    # the smaller of two sizes says which sizes the other may have; either side may be the one the lead isn't linked with
-    x = member("x", F.explode(F.when(fits, sizes)).alias("size")).where("not x_linked")
-    inside = x.join(member("y", F.col("n").alias("size")), ["lead", "size"]).where(apart & (overlap >= need))
-    pair = [F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")]
-    return shared.select(*pair).union(inside.select(*pair)).distinct()
+    each = sets.select("node", "component", "n", F.explode("tokens").alias("token"))
+    outside = each.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    left = each.join(outside, "token").groupBy("node", "component", "n").agg(F.collect_list("token").alias("tokens"))
+    o = F.size("tokens").cast("long")
+    return left.where(F.floor(o * (100 + p) / F.lit(p)) - F.col("n") >= F.ceil(F.col("n") * p / F.lit(100)))
 
 
-def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, n_shingles, component_id (the smallest id of its group) and kept.
-
-    Two documents are in one group if a chain of pairs that are confirmed on full sets joins them. Null and empty
-    texts, and texts of blanks, have no shingles and are linked with nothing. A null id is linked with nothing: it is
-    its own group (component_id null) and kept. Rows that repeat an id count as one document and all carry its verdict.
+def rare_pairs(sets: DataFrame, how: NearDup) -> DataFrame:
+    """Pairs (a, b) of sets of different components that may be linked, by the prefix principle.
 
-    Equal sets are one class, of which only the smallest id takes part in the search. In each bucket one member leads:
-    that which shares most buckets with most others. First each member is compared with one of its leads; then, in groups
-    that hold more than one component, with all of them; and last the pairs of members that these overlaps don't rule
-    out. So a group of near copies costs comparisons in proportion to its size, and no link that would join two
-    components is lost.
+    Tokens are put in one order, rarest first. Two sets that share ``need`` tokens have their first common one where at
+    least ``need`` tokens are left in both, itself included. The larger set must share ``p n / 100`` with any, and
+    the smaller one of ``m`` tokens ``2 p m / (100 + p)`` with any that is no smaller; only such beginnings are joined.
     """
-    made = cut(sketches(docs, how, id_col, text_col), "sketches")
-    named = made.where("id is not null and set is not null")
-    classes = cut(named.groupBy("set").agg(F.min("id").alias("id"), F.first("planes").alias("planes"), F.first("bands").alias("bands")), "classes")
-    signs = classes.select("id", "planes")
-    rows = classes.select("id", F.explode("bands").alias("bucket"))
-    shared = cut(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    members = cut(rows.join(shared, "bucket"), "members")  # of buckets with two classes at least
-    weights = cut(members.groupBy("id").agg(F.sum("size").alias("weight")), "weights")
-    texts = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(weights.select("id"), "id", "left_semi"), "texts")
+    p = how.percent
+    each = sets.select("node", "component", "n", F.explode("tokens").alias("token"))
+    found = each.join(each.groupBy("token").agg(F.count("*").alias("df")), "token").groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+    placed = found.select("node", "component", "n", F.size("tokens").cast("long").alias("o"), F.posexplode("tokens.token").alias("place", "token"))
+    side = lambda s, least: placed.where(F.col("o") - F.col("place") >= F.ceil(least)).select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "component", "n")], (F.col("o") - F.col("place")).alias(f"{s}_left"))
+    x, y = side("x", F.col("n") * p / F.lit(100)), side("y", F.col("n") * (2 * p) / F.lit(100 + p))
+    order = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") > F.col("y_node")))
+    need = F.ceil((F.col("x_n") + F.col("y_n")) * p / F.lit(100 + p))
+    fits = order & (F.col("x_component") != F.col("y_component")) & (F.col("y_n") * 100 >= F.col("x_n") * p) & (F.least("x_left", "y_left") >= need)
+    return x.join(y, "token").where(fits).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+
+
+def linked_nodes(members: DataFrame, signs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
+    """node and component of the nodes that are linked with another; members: bucket, node, size (of the bucket)."""
 
     def likely(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(signs.select(F.col("id").alias("a"), F.col("planes").alias("p")), "a").join(signs.select(F.col("id").alias("b"), F.col("planes").alias("q")), "b")
+        p = pairs.join(signs.select(F.col("node").alias("a"), F.col("planes").alias("p")), "a").join(signs.select(F.col("node").alias("b"), F.col("planes").alias("q")), "b")
         return p.where(how.estimate(F.col("p"), F.col("q")) >= how.least_estimate).select(*pairs.columns)
 
-    weighed = members.join(weights, "id")
-    leads = cut(weighed.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id")).alias("lead")), "leads")
-    stars = cut(members.join(leads, "bucket").where(F.col("id") != F.col("lead.id")).select(F.col("lead.id").alias("a"), F.col("id").alias("b"), F.col("lead.w").alias("w")).distinct(), "stars")
-    tried = likely(stars).groupBy("b").agg(F.min_by("a", F.struct("w", "a")).alias("a")).select("a", "b")
-    links = cut(compared(tried, texts, how).where("linked").select("a", "b"), "links")
+    def named(found: DataFrame, column: str, to: str) -> DataFrame:
+        return found.select(F.col("id").alias(column), F.col("component").alias(to))
+
+    weights = members.groupBy("node").agg((-F.sum("size")).alias("w"))
+    members = cut(members.join(weights, "node").select("bucket", "node", "w"), "weighed")
+    heaviest = F.min(F.struct("w", "node")).alias("lead")
+    leads = cut(members.groupBy("bucket").agg(heaviest).select("bucket", "lead.*"), "leads")
+    star = lambda rows, of: rows.join(of.select("bucket", F.col("node").alias("a"), F.col("w").alias("a_w")), "bucket").where("node <> a").select("a", F.col("node").alias("b"), "a_w").distinct()
+
+    # each member with one of its leads, and then with those that are in another component
+    stars = cut(star(members, leads), "stars")
+    tried = cut(likely(stars).groupBy("b").agg(F.min_by("a", F.struct("a_w", "a")).alias("a")).select("a", "b"), "tried")
+    links = cut(compared(tried, texts, how), "links")
+    # a member that is linked with a lead goes by that one's lead: names that are quick to make, if not yet whole components
+    first = links.select(F.col("b").alias("id"), F.col("a").alias("component"))
+    found = cut(first.join(first.select(F.col("id").alias("component"), F.col("component").alias("next")), "component", "left").select("id", F.coalesce("next", "component").alias("component")), "names")
+    apart = lambda pairs: pairs.join(named(found, "a", "of_a"), "a", "left").join(named(found, "b", "of_b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    more = cut(compared(likely(apart(stars.join(tried, ["a", "b"], "left_anti"))), texts, how), "links")
+    links = links.union(more)
     found = connected_components(links)
 
-    named_by = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
-    placed = stars.join(named_by("a"), "a", "left").join(named_by("b"), "b", "left").select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b"))
-    mixed_ = placed.groupBy("a").agg(F.max(F.col("of_a") != F.col("of_b")).alias("mixed")).where("mixed").select("a")
-    split = cut(placed.join(mixed_, "a", "left_semi"), "mixed-groups")
-    deltas = cut(compared(split.select("a", "b"), texts, how, extras=True).join(split.select("a", "b", F.col("of_b").alias("component")), ["a", "b"]), "deltas")
-    more = compared(likely(open_pairs(deltas, how)), texts, how).where("linked").select("a", "b")
-    groups = connected_components(links.union(deltas.where("linked").select("a", "b")).union(more))
-
-    of_class = classes.select("set", "id").join(groups, "id", "left").select("set", F.coalesce("component", "id").alias("component"))
-    out = made.select("id", "n", "set").join(of_class, "set", "left")
+    # in buckets that hold several components, new leads for the components that had none, as long as that links any
+    while True:
+        placed = members.join(named(found, "node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+        placed = cut(placed.join(split, "bucket", "left_semi"), "split-buckets")
+        led = leads.join(placed.select("bucket", "node", "component"), ["bucket", "node"]).select("bucket", "component").distinct()
+        rest = cut(placed.join(led, ["bucket", "component"], "left_anti"), "not-led")
+        chosen = cut(rest.groupBy("bucket").agg(heaviest).select("bucket", "lead.*"), "new-leads")
+        more = cut(compared(likely(apart(star(rest, chosen))), texts, how), "links")
+        if more.isEmpty():
+            break
+        members, leads, links = placed.drop("component"), leads.union(chosen), links.union(more)
+        found = connected_components(links)
+
+    sets = cut(sets_of(placed.select("node", "component").distinct(), texts, how), "open-sets")
+    n = sets.count()
+    while n:
+        sets = cut(still_open(sets, how), "open-sets")
+        n, before = sets.count(), n
+        if n > 0.9 * before:
+            break
+    last = cut(compared(likely(rare_pairs(sets, how)), texts, how), "links")
+    return connected_components(links.union(last)) if n and not last.isEmpty() else found
+
+
+def judged(docs: DataFrame, how: NearDup, id_col: str, text_col: str) -> DataFrame:
+    """id, th, n, component (the smallest id of the group; null for a null id) and kept of each row of ``docs``."""
+    made = cut(sketches(docs, how, id_col, text_col), "sketches")
+    classes = cut(classes_of(made), "classes")
+    rows = classes.select("node", F.explode("bands").alias("bucket"))
+    shared = cut(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    members = cut(rows.join(shared, "bucket"), "members")  # of buckets with two classes at least
+    asked = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("id").alias("_id"), F.col("th").alias("_th"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).join(asked, (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th")))
+    texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    groups = linked_nodes(members, classes.select("node", "planes"), texts, how)
+    of_node = groups.select(F.col("id").alias("node"), "component").join(classes.select("node", "set", "id"), "node")
+    least = of_node.groupBy("component").agg(F.min("id").alias("least"))
+    of_set = classes.select("set", "id").join(of_node.join(least, "component").select("set", "least"), "set", "left").select("set", F.coalesce("least", "id").alias("component"))
     whole = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), whole.alias("component_id"), F.coalesce(F.col("id") == whole, F.lit(True)).alias("kept"))
+    return made.select("id", "th", "n", "set").join(of_set, "set", "left").select("id", "th", "n", whole.alias("component"), F.coalesce(F.col("id") == whole, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, how: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: id, n_shingles, component_id (the smallest id of its group) and kept.
+
+    Two texts are in one group if a chain of pairs that are confirmed on full sets joins them. Null and empty
+    texts, and texts of blanks, have no shingles and are linked with nothing. A null id is linked with nothing: it is
+    its own group (component_id null) and kept. Rows that repeat an id are judged by their own texts, and those of
+    them that are in one group stay or go together.
+
+    Equal sets are one class, of which one row takes part in the search. In each bucket one member leads: that which shares
+    most buckets with most others. First each member is compared with one of its leads, then with those in
+    other components, and then with new leads of components that had none. A link between what is then still apart is
+    searched among the sets that can have one, by their tokens (still_open, rare_pairs). So a group of near copies costs
+    comparisons in proportion to its size, and no link that would join two components is lost.
+    """
+    out = judged(docs, how, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,5 +283,5 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, how: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` less all but one document, that of the smallest id, of each group of near-duplicates."""
-    gone = near_duplicates(docs, how, id_col, text_col).where("not kept").select(F.col(id_col).alias("_nd_id"))
-    return docs.join(gone, docs[id_col] == gone["_nd_id"], "left_anti")
+    gone = judged(docs, how, id_col, text_col).where("not kept").select(F.col("id").alias("_nd_id"), F.col("th").alias("_nd_th"))
+    return docs.join(gone, (docs[id_col] == gone["_nd_id"]) & (F.xxhash64(docs[text_col]) == gone["_nd_th"]), "left_anti")
