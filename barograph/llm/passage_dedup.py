@@ -1,39 +1,47 @@
 """Substring dedup with repeated-phrase automata.
 
-1. Anchors. Of the word n-grams inside each window the one with the smallest hash is its anchor, so that equal windows
-   have equal anchors. Anchors are counted over the corpus; only windows whose anchor recurs can recur.
-2. Segments. The stretches of such windows, a small part of the texts, go on.
+1. Anchors. Of the word n-grams inside each window the smallest hash is its anchor, so that equal windows have
+   equal anchors. Anchors are counted over the corpus; only windows whose anchor recurs can recur.
+2. Segments. The stretches of such windows, a part of the texts, go on.
 3. Recurring passages are confirmed by counting whole windows; the runs of windows where each is met first in the
-   corpus are the passages.
-4. Passages are dealt to shards of bounded size, those of a document to one. A shard's Aho-Corasick automaton
-   (pyahocorasick) holds phrases of its passages so close together that every window holds one whole. A segment streams
-   through the shards whose passages have one of its anchors: equal windows have equal anchors, so no other shard can
-   match it. A phrase that is found is extended to both sides against the passage, which gives every occurrence.
+   corpus are the passages. Long ones are cut so that each window lies whole in one piece.
+4. Passages are dealt to shards of bounded size. A shard's Aho-Corasick automaton (pyahocorasick) holds phrases of its
+   passages so close together that every window holds one whole. The windows of each segment stream through the
+   shards whose passages have their anchor: equal windows have equal anchors, so no other shard can match them. The
+   windows around a phrase that is found are looked up among the passages' and compared, which gives every occurrence.
 5. Words of occurrences of at least a window's length, but for the passage's own place, are removed.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from barograph.llm.common import MIX_A, WordHashes, cut, gram_hashes, hash_filter, in_filter, mixed, shared_path, table, words_of
+from barograph.llm.common import MIX_A, cut, gram_hashes, hash_filter, in_filter, mixed, shared_path, table, text_hashes, words_of
 
-#: Words of an anchor and of a phrase.
-ANCHOR, PHRASE = 8, 5
+#: Words of an anchor.
+ANCHOR = 8
+#: Windows of a passage; longer ones are cut.
+PASSAGE = 2000
 #: Stands for a null id, which so is the smallest.
 NO_ID = -(1 << 63)
 
 
+def phrase_words(size: int) -> tuple[int, int]:
+    """Words of a phrase, and how many words on the next one begins: each window of ``size`` words holds one whole."""
+    words = (size + 1) // 2
+    return words, size - words + 1
+
+
 def windows_of(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of each window of ``size`` words, made of grams of five."""
     part = min(5, size)
@@ -44,29 +52,59 @@ def windows_of(words: np.ndarray, size: int) -> np.ndarray:
     return mixed(h)
 
 
-def anchors_of(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Gram hashes, and for each window the place of its anchor."""
-    grams = gram_hashes(words, min(ANCHOR, size))
-    views = np.lib.stride_tricks.sliding_window_view(grams, size - min(ANCHOR, size) + 1)
-    return grams, views.argmin(1) + np.arange(len(views))
+def anchor_grams(words: np.ndarray, size: int) -> np.ndarray:
+    return gram_hashes(words, min(ANCHOR, size))
+
+
+def anchors_of(grams: np.ndarray, size: int) -> np.ndarray:
+    """Anchor of each window: the least of its gram hashes, by minima of doubling runs."""
+    least, have, want = grams, 1, size - min(ANCHOR, size) + 1
+    while have < want:
+        step = min(have, want - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    return least
+
+
+def runs_of(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal neighbours begin."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1])))
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+def several_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Ids that have several texts: as a rule none."""
+    th = F.xxhash64(text_col)
+    return cut(docs.groupBy(_id(id_col).alias("several")).agg(F.min(th).alias("low"), F.max(th).alias("high")).where("low < high").select("several"), "ids-of-several")
+
+
+def _id(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+
+
+def keyed(docs: DataFrame, several: DataFrame, doc: str, th: str, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with columns that name a text: its id and, for ids of several texts, the text's hash (0 else)."""
+    named = docs.withColumn(doc, _id(id_col))
+    if several.isEmpty():
+        return named.withColumn(th, F.lit(0).cast("long"))
+    return named.join(several, F.col(doc) == F.col("several"), "left").withColumn(th, F.when(F.col("several").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text_col))).drop("several")
 
 
 def recurring_anchors(texts: DataFrame, size: int) -> DataFrame:
     """Hashes of the anchors that the corpus has more than once; equal ones of a batch are summed before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for b in batches:
             found = []
             for text in b["text"].to_pylist():
-                w = cache.of(words_of(text))
+                w = text_hashes(text)
                 if len(w) >= size:
-                    grams, at = anchors_of(w, size)
-                    found.append(grams[np.unique(at)])
+                    grams = anchor_grams(w, size)
+                    least = anchors_of(grams, size)
+                    found.append(np.unique(least[runs_of(least)]))
+                    grams.sort()
+                    again = grams[1:][grams[1:] == grams[:-1]]
+                    if len(again):  # anchors that the text has at several places count twice
+                        found.append(np.intersect1d(found[-1], again))
             if found:
                 h, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n > 1)], ["hash", "many"])
@@ -75,181 +113,215 @@ def recurring_anchors(texts: DataFrame, size: int) -> DataFrame:
     return rows.groupBy("hash").agg(F.count("*").alias("n"), F.max("many").alias("many")).where("n > 1 or many").select("hash")
 
 
+SEGMENT = "doc long, th long, start int, text string, anchors array<long>, firsts array<int>, stops array<int>"
+
+
 def candidate_segments(texts: DataFrame, size: int, passed: np.ndarray, bits: int) -> DataFrame:
-    """doc, th, start, text, anchors of the longest stretches of windows whose anchors may recur."""
+    """SEGMENT rows: the longest stretches of windows whose anchors may recur.
+
+    Windows ``firsts[i]`` to ``stops[i]`` of a stretch, counted from its start, have the anchor ``anchors[i]``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
         for b in batches:
-            rows, starts, parts, anchors = [], [], [], []
+            rows, starts, parts, anchors, firsts, stops = [], [], [], [], [], []
             for k, text in enumerate(b["text"].to_pylist()):
-                words = words_of(text)
-                if len(words) < size:
+                hashes = text_hashes(text)
+                if len(hashes) < size:
                     continue
-                grams, at = anchors_of(cache.of(words), size)
-                edge = np.flatnonzero(np.diff(np.concatenate(([False], in_filter(passed, bits, grams)[at], [False]))))
+                least = anchors_of(anchor_grams(hashes, size), size)
+                runs = runs_of(least)
+                may = np.repeat(in_filter(passed, bits, least[runs]), np.diff(np.append(runs, len(least))))
+                edge = np.flatnonzero(np.diff(np.concatenate(([False], may, [False]))))
+                words = words_of(text) if len(edge) else []
                 for first, stop in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                     rows.append(k)
                     starts.append(first)
                     parts.append(b" ".join(words[first : stop + size - 1]).decode("utf-8", "surrogatepass"))
-                    anchors.append(np.unique(grams[at[first:stop]]).view(np.int64))
+                    own = runs_of(least[first:stop])
+                    anchors.append(least[first:stop][own].view(np.int64))
+                    firsts.append(own.astype(np.int32))
+                    stops.append(np.append(own[1:], stop - first).astype(np.int32))
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b["doc"].take(at), b["th"].take(at), pa.array(starts, pa.int32()), pa.array(parts, pa.string()), pa.array(anchors, pa.list_(pa.int64()))], ["doc", "th", "start", "text", "anchors"])
+            columns = [b["doc"].take(at), b["th"].take(at), pa.array(starts, pa.int32()), pa.array(parts, pa.string()), pa.array(anchors, longs), pa.array(firsts, ints), pa.array(stops, ints)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "th", "start", "text", "anchors", "firsts", "stops"])
 
-    return texts.mapInArrow(run, "doc long, th long, start int, text string, anchors array<long>")
+    return texts.mapInArrow(run, SEGMENT)
+
+
+def first_of_equal(hashes: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first of all equal hashes, in order, and whether there are more or one of them says so."""
+    order = np.argsort(hashes, kind="stable")
+    begins = runs_of(hashes[order])
+    recurs = (np.diff(np.append(begins, len(hashes))) > 1) | np.logical_or.reduceat(many[order], begins)
+    first = order[begins]
+    again = np.argsort(first)
+    return first[again], recurs[again]
 
 
 def first_places(segments: DataFrame, size: int) -> DataFrame:
-    """doc, start of the first of all equal windows, for windows that recur.
+    """doc, th, start of a segment and ``at``, windows in it: those that recur, where each is met first of all equal ones.
 
-    A batch passes on the first place of each of its windows only, so that a window that a third of the
-    documents hold reaches the task that orders its places once a batch.
+    Windows go in runs of one anchor, since equal windows have equal anchors. A batch passes on the first place of each
+    of its windows only, so that a window that a third of the documents hold reaches the task that orders its
+    places once a batch. That task carries from batch to batch what windows of one anchor it has met.
     """
+    runs = "anchor long, doc long, th long, start int, at array<int>, hash array<long>, many array<boolean>"
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for b in batches:
-            hashes, n = [], []
-            for text in b["text"].to_pylist():
-                hashes.append(windows_of(cache.of(words_of(text)), size))
-                n.append(len(hashes[-1]))
-            if not n:
+            if not len(b):
                 continue
-            h = np.concatenate(hashes)
-            doc = np.repeat(b["doc"].to_numpy(), n)
-            start = np.concatenate([np.arange(s, s + k) for s, k in zip(b["start"].to_pylist(), n, strict=True)])
-            order = np.lexsort((start, doc, h))
-            h, doc, start = h[order], doc[order], start[order]
-            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            many = np.diff(np.concatenate((first, [len(h)]))) > 1
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(doc[first]), pa.array(start[first].astype(np.int32)), pa.array(many)], ["hash", "doc", "start", "many"])
+            b = b.sort_by([("doc", "ascending"), ("th", "ascending"), ("start", "ascending")])
+            hashes = [windows_of(text_hashes(text), size) for text in b["text"].to_pylist()]
+            h, n = np.concatenate(hashes), [len(x) for x in hashes]
+            at = np.arange(len(h)) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
+            of_row = np.repeat(np.arange(len(b)), pc.list_value_length(b["anchors"]).to_numpy())
+            of_run = np.repeat(np.arange(len(of_row)), b["stops"].flatten().to_numpy() - b["firsts"].flatten().to_numpy())
+            first, many = first_of_equal(h, np.zeros(len(h), bool))
+            begins = runs_of(of_run[first])
+            run, lists = of_run[first][begins], pa.array(np.append(begins, len(first)).astype(np.int32))
+            rows = pa.array(of_row[run])
+            listed = lambda x: pa.ListArray.from_arrays(lists, pa.array(x))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([b["anchors"].flatten().take(pa.array(run)), *(b[c].take(rows) for c in ("doc", "th", "start")), listed(at[first].astype(np.int32)), listed(h[first].view(np.int64)), listed(many)], ["anchor", "doc", "th", "start", "at", "hash", "many"])
 
     def overall(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool))
-        names = ("hash", "doc", "start", "many")
+        last = None  # of the last anchor, the windows met so far: rows anchor, doc, th, start, hash, at, many
+
+        def placed(rows: pa.Table) -> pa.RecordBatch:
+            doc, th, start = (rows[c].to_numpy() for c in ("doc", "th", "start"))
+            begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(doc)), bool), (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (start[1:] != start[:-1]))))
+            lists = pa.array(np.append(begins, len(doc)).astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(doc[begins]), pa.array(th[begins]), pa.array(start[begins]), pa.ListArray.from_arrays(lists, pa.array(rows["at"].to_numpy()))], ["doc", "th", "start", "at"])
+
         for b in batches:
-            h, doc, start, many = (np.concatenate((x, b[c].to_numpy(zero_copy_only=False))) for x, c in zip(last, names, strict=True))
-            if not len(h):
+            if not len(b):
                 continue
-            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            n = np.diff(np.concatenate((first, [len(h)])))
-            recurs = (n > 1) | np.logical_or.reduceat(many, first)
-            last = (h[first[-1:]], doc[first[-1:]], start[first[-1:]], recurs[-1:])  # may go on in the next batch
-            out = first[:-1][recurs[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(start[out])], ["doc", "start"])
-        if len(last[0]) and last[3][0]:
-            yield pa.RecordBatch.from_arrays([pa.array(last[1]), pa.array(last[2])], ["doc", "start"])
+            of_row = pa.array(np.repeat(np.arange(len(b)), pc.list_value_length(b["hash"]).to_numpy()))
+            rows = pa.table([*(b[c].take(of_row) for c in ("anchor", "doc", "th", "start")), *(b[c].flatten() for c in ("hash", "at", "many"))], ["anchor", "doc", "th", "start", "hash", "at", "many"])
+            rows = pa.concat_tables([last, rows]).combine_chunks() if last else rows
+            first, recurs = first_of_equal(rows["hash"].to_numpy(), rows["many"].to_numpy())
+            rows = rows.take(pa.array(first)).drop(["many"]).append_column("many", pa.array(recurs))
+            open_ = rows["anchor"].to_numpy() == b["anchor"][len(b) - 1].as_py()  # may go on in the next batch
+            last = rows.filter(pa.array(open_))
+            yield placed(rows.filter(pa.array(~open_ & recurs)))
+        if last:
+            yield placed(last.filter(last["many"]))
 
-    rows = segments.select("doc", "start", "text").mapInArrow(local, "hash long, doc long, start int, many boolean")
-    return rows.repartition("hash").sortWithinPartitions("hash", "doc", "start").mapInArrow(overall, "doc long, start int")
+    made = segments.select("doc", "th", "start", "text", "anchors", "firsts", "stops").mapInArrow(local, runs)
+    return made.repartition("anchor").sortWithinPartitions("anchor", "doc", "th", "start", "at").mapInArrow(overall, "doc long, th long, start int, at array<int>")
 
 
 def passages_of(segments: DataFrame, firsts: DataFrame, size: int) -> DataFrame:
-    """doc, start, text, anchors of each run of windows that all recur and are met here first."""
+    """doc, th, start, text, anchors of each run of windows that all recur and are met here first; PASSAGE windows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for b in batches:
-            docs, starts, parts, anchors = [], [], [], []
-            for doc, begin, text, at in zip(*(b[c].to_pylist() for c in ("doc", "start", "text", "starts")), strict=True):
-                words = text.split(" ")
-                at = np.array(at, np.int64)
-                at = np.sort(at[(at >= begin) & (at <= begin + len(words) - size)])
-                if not len(at):
-                    continue
-                cuts = np.flatnonzero(np.diff(at) > 1) + 1
-                for part in np.split(at, cuts):
-                    docs.append(doc)
-                    starts.append(int(part[0]))
-                    parts.append(" ".join(words[part[0] - begin : part[-1] - begin + size]))
-                    grams, least = anchors_of(cache.of(words_of(parts[-1])), size)
-                    anchors.append(np.unique(grams[least]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(parts, pa.string()), pa.array(anchors, pa.list_(pa.int64()))], ["doc", "start", "text", "anchors"])
+            rows, starts, parts, anchors = [], [], [], []
+            for k, (begin, text, at) in enumerate(zip(b["start"].to_pylist(), b["text"].to_pylist(), b["at"], strict=True)):
+                words, at = text.split(" "), np.sort(at.values.to_numpy())
+                for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                    for first in range(int(part[0]), int(part[-1]) + 1, PASSAGE):
+                        stop = min(first + PASSAGE, int(part[-1]) + 1)
+                        rows.append(k)
+                        starts.append(begin + first)
+                        parts.append(" ".join(words[first : stop + size - 1]))
+                        anchors.append(np.unique(anchors_of(anchor_grams(text_hashes(parts[-1]), size), size)).view(np.int64))
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b["doc"].take(at), b["th"].take(at), pa.array(starts, pa.int32()), pa.array(parts, pa.string()), pa.array(anchors, pa.list_(pa.int64()))], ["doc", "th", "start", "text", "anchors"])
+
+    held = firsts.groupBy("doc", "th", "start").agg(F.flatten(F.collect_list("at")).alias("at"))
+    return segments.select("doc", "th", "start", "text").join(held, ["doc", "th", "start"]).mapInArrow(run, "doc long, th long, start int, text string, anchors array<long>")
 
-    held = firsts.groupBy("doc").agg(F.collect_list("start").alias("starts"))
-    return segments.select("doc", "start", "text").join(held, "doc").mapInArrow(run, "doc long, start int, text string, anchors array<long>")
+
+def bytes_as_text(text: str) -> str:
+    """A character for each byte of UTF-8, so that places in it are places in the bytes."""
+    return text.encode("utf-8", "surrogatepass").decode("latin-1")
 
 
 class Shard:
-    """Automaton over phrases of some passages."""
+    """Automaton over phrases of some passages, and where each of their windows is."""
 
     def __init__(self, passages: pa.Table, size: int):
-        self.size, self.step = size, max(1, size - PHRASE + 1)
-        self.docs, self.starts, self.texts = (passages[c].to_pylist() for c in ("doc", "start", "text"))
-        phrases: dict[str, list[tuple[int, int]]] = {}
-        for k, text in enumerate(self.texts):
-            words = text.split(" ")
-            for at in range(0, len(words) - min(PHRASE, size) + 1, self.step):
-                phrases.setdefault(f" {' '.join(words[at : at + PHRASE])} ", []).append((k, at))
-        self.split: dict[int, list[str]] = {}
+        self.size, (self.phrase, step) = size, phrase_words(size)
+        self.words = [bytes_as_text(t).split(" ") for t in passages["text"].to_pylist()]
+        self.doc, self.th, self.start = (passages[c].to_numpy() for c in ("doc", "th", "start"))
         self.automaton = ahocorasick.Automaton()
-        for phrase, places in phrases.items():
-            self.automaton.add_word(phrase, (len(phrase), places))
-        if phrases:
+        for words in self.words:
+            for at in range(0, len(words) - self.phrase + 1, step):
+                phrase = f" {' '.join(words[at : at + self.phrase])} "
+                self.automaton.add_word(phrase, len(phrase))
+        if len(self.automaton):
             self.automaton.make_automaton()
-
-    def words(self, k: int) -> list[str]:
-        if k not in self.split:
-            self.split[k] = self.texts[k].split(" ")
-        return self.split[k]
-
-    def occurrences(self, doc: int, start: int, text: str) -> Iterator[tuple[int, int]]:
+        hashes = [windows_of(text_hashes(t), size) for t in passages["text"].to_pylist()]
+        self.owner = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
+        self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.offset = np.arange(len(self.hash)) - np.concatenate(([0], np.cumsum([len(x) for x in hashes])))[self.owner].astype(np.int64)
+        order = np.argsort(self.hash)
+        self.hash, self.owner, self.offset = self.hash[order], self.owner[order], self.offset[order]
+
+    def occurrences(self, doc: int, th: int, start: int, text: str) -> Iterator[tuple[int, int]]:
         """Start and number of words of stretches of a segment that passages have elsewhere.
 
-        All words of such stretches are covered; a phrase whose windows are all covered already is passed over.
+        The automaton finds phrases; the windows that hold one whole are looked up among those of the passages, and
+        runs of them that go on in one passage are compared word by word.
         """
-        if not len(self.automaton):
+        raw = bytes_as_text(text)
+        found = [end - long + 1 for end, long in self.automaton.iter(f" {raw} ")] if len(self.automaton) else []
+        if not found:
             return
-        half = max(0, -(-(self.size - PHRASE) // 2))
-        words, offsets, low, high = None, None, 0, 0  # [low, high): the stretch that is covered last
-        for end, (long, places) in self.automaton.iter(f" {text} "):
-            if words is None:
-                words = text.split(" ")
-                offsets = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words]))).tolist()
-            at = bisect_left(offsets, end - long + 1)
-            for k, place in places:
-                if low <= max(0, at + PHRASE - self.size) and high >= min(at + self.size, len(words)):
-                    break
-                if self.docs[k] == doc and self.starts[k] + place == start + at:
-                    continue  # the passage itself
-                other = self.words(k)
-                # a window needs half of its other words at least on one side
-                if words[max(0, at - half) : at] != other[max(0, place - half) : place] and words[at + PHRASE : at + PHRASE + half] != other[place + PHRASE : place + PHRASE + half]:
-                    continue
-                a = at - same_words(words, other, at, place, -1)
-                b = at + PHRASE + same_words(words, other, at + PHRASE, place + PHRASE, 1)
-                if b - a >= self.size:
-                    yield start + a, b - a
-                    low, high = (min(low, a), max(high, b)) if a <= high and low <= b else (a, b)
-
-
-def same_words(a: list[str], b: list[str], i: int, j: int, way: int) -> int:
-    """How many words are equal from places i and j on (``way`` 1) or before them (-1); compares doubling slices."""
-    most = min(len(a) - i, len(b) - j) if way > 0 else min(i, j)
-    done, step = 0, 8
-    while done < most:
-        n = min(step, most - done)
-        s, t = (i + done, j + done) if way > 0 else (i - done - n, j - done - n)
-        if a[s : s + n] == b[t : t + n]:
-            done, step = done + n, step * 2
-        elif n == 1:
-            break
-        else:
-            step = max(1, n // 4)
-            most = min(most, done + n)
-    return done
-
-
-def routed(segments: DataFrame, passages: DataFrame) -> DataFrame:
-    """shard, doc, th, start, text of each segment and shard that have an anchor in common; passages: shard, anchors.
+        hashes = windows_of(text_hashes(text), self.size)
+        blanks = np.flatnonzero(np.frombuffer(raw.encode("latin-1"), np.uint8) == 32)
+        at = np.unique(np.searchsorted(blanks, found, "left"))  # words that a phrase begins with
+        near = np.zeros(len(hashes) + 1, np.int64)
+        np.add.at(near, np.clip(at - (self.size - self.phrase), 0, len(hashes)), 1)
+        np.add.at(near, np.minimum(at + 1, len(hashes)), -1)
+        mine = np.flatnonzero(near.cumsum()[:-1])
+        place = np.minimum(np.searchsorted(self.hash, hashes[mine]), len(self.hash) - 1)
+        held = self.hash[place] == hashes[mine]
+        owner, offset, mine = self.owner[place[held]], self.offset[place[held]], mine[held]
+        other = (self.doc[owner] != doc) | (self.th[owner] != th) | (self.start[owner] + offset != start + mine)  # not the passage itself
+        owner, offset, mine = owner[other], offset[other], mine[other]
+        if not len(mine):
+            return
+        words = raw.split(" ")
+        cuts = np.flatnonzero((np.diff(owner) != 0) | (np.diff(offset) != 1) | (np.diff(mine) != 1)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(mine)], strict=True):
+            a, k, n = int(mine[i]), int(offset[i]), j - i + self.size - 1
+            known = self.words[owner[i]]
+            if words[a : a + n] == known[k : k + n]:
+                yield start + a, n
+            else:  # windows of equal hashes that differ
+                yield from ((start + a + x, self.size) for x in range(j - i) if words[a + x : a + x + self.size] == known[k + x : k + x + self.size])
+
+
+def routed(segments: DataFrame, passages: DataFrame, size: int) -> DataFrame:
+    """shard, doc, th, start, text of the stretches of each segment whose anchors a shard has; passages: shard, anchors.
 
     Ids alone meet on anchors. A common anchor has one row a shard on the passages' side, so that AQE can split its
     segments.
     """
     ids = ["doc", "th", "start"]
     routes = passages.select(F.explode("anchors").alias("anchor"), "shard").distinct()
-    pairs = segments.select(*ids, F.explode("anchors").alias("anchor")).join(routes, "anchor").select(*ids, "shard").distinct()
-    return segments.select(*ids, "text").join(pairs, ids).select("shard", *ids, "text")
+    each = segments.select(*ids, F.explode(F.arrays_zip("anchors", "firsts", "stops")).alias("run")).select(*ids, F.col("run.anchors").alias("anchor"), F.struct("run.firsts", "run.stops").alias("run"))
+    parts = each.join(routes, "anchor").groupBy(*ids, "shard").agg(F.array_sort(F.collect_list("run")).alias("runs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, starts, texts = [], [], []
+            for k, (begin, text, runs) in enumerate(zip(b["start"].to_pylist(), b["text"].to_pylist(), b["runs"], strict=True)):
+                first, stop = (runs.values.field(c).to_numpy() for c in (0, 1))
+                new = np.flatnonzero(first[1:] >= stop[:-1] + size - 1) + 1  # no word in common with what is before
+                words = text.split(" ")
+                for i, j in zip([0, *new.tolist()], [*new.tolist(), len(first)], strict=True):
+                    rows.append(k)
+                    starts.append(begin + int(first[i]))
+                    texts.append(" ".join(words[first[i] : stop[j - 1] + size - 1]))
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b["shard"].take(at), b["doc"].take(at), b["th"].take(at), pa.array(starts, pa.int32()), pa.array(texts, pa.string())], ["shard", *ids, "text"])
+
+    return parts.join(segments.select(*ids, "text"), ids).mapInArrow(run, "shard int, doc long, th long, start int, text string")
 
 
 def located(parts: DataFrame, folder: str, size: int) -> DataFrame:
@@ -267,8 +339,8 @@ def located(parts: DataFrame, folder: str, size: int) -> DataFrame:
             for k, d, t, start, text in zip(*(b[c].to_pylist() for c in ("shard", "doc", "th", "start", "text")), strict=True):
                 if k != now:
                     now, shard = k, None  # the last one is freed first
-                    shard = Shard(ds.dataset(f"{top}/shard={k}", filesystem=store, format="parquet").to_table(["doc", "start", "text"]), size)
-                out += [(d, t, s, n) for s, n in shard.occurrences(d, start, text)]
+                    shard = Shard(ds.dataset(f"{top}/shard={k}", filesystem=store, format="parquet").to_table(["doc", "th", "start", "text"]), size)
+                out += [(d, t, s, n) for s, n in shard.occurrences(d, t, start, text)]
             cols = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc", "th", "start", "n"])
 
@@ -276,34 +348,38 @@ def located(parts: DataFrame, folder: str, size: int) -> DataFrame:
     return dealt.mapInArrow(run, "doc long, th long, start int, n int")
 
 
-def dedup_passages(docs: DataFrame, size: int = 20, filter_bits: int = 1 << 27, shard_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_passages(docs: DataFrame, size: int = 20, filter_bits: int = 1 << 24, shard_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``text`` less its repeated passages, and n_words, n_removed.
 
     A word goes if a window of ``size`` words covers it whose word sequence also starts earlier: in a
     document with a smaller id, or earlier in the same one. Windows are judged on the input. Words are runs of other
     characters than \\x20 and \\x09-\\x0D; those kept are joined by one blank. Null texts have no words and become empty.
-    A null id counts as the smallest. Rows that repeat id and text are one document. Input columns named
-    n_words or n_removed are replaced; all others pass through.
+    A null id counts as the smallest. Rows that repeat id and text are one document; texts that share an id are
+    documents in the order of a hash of theirs. Ids must be whole numbers. Input columns named n_words or n_removed
+    are replaced; all others pass through.
 
-    ``filter_bits``: size of the anchor filter, the only thing that is sent to all tasks. ``shard_chars``: bound of
-    the characters in one automaton's phrases.
+    ``filter_bits``: least size of the anchor filter, the only thing that is sent to all tasks; it grows with the number
+    of recurring anchors. ``shard_chars``: bound of the characters in one automaton's phrases.
     """
     spark = docs.sparkSession
-    texts = _texts(docs, id_col, text_col)
-    passed = hash_filter(recurring_anchors(texts, size), filter_bits)
-    segments = cut(candidate_segments(texts, size, passed, filter_bits), "segments")
+    several = several_texts(docs, id_col, text_col)
+    texts = keyed(docs.select(id_col, F.col(text_col).alias("text")), several, "doc", "th", id_col, "text").select("doc", "th", "text")
+    anchors = cut(recurring_anchors(texts, size), "anchors")
+    bits = max(filter_bits, 1 << (8 * anchors.count()).bit_length())
+    segments = cut(candidate_segments(texts, size, hash_filter(anchors, bits), bits), "segments")
     passages = cut(passages_of(segments, first_places(segments, size), size), "passages")
     chars = passages.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-chars * PHRASE // (max(1, size - PHRASE + 1) * shard_chars)))
+    words, step = phrase_words(size)
+    shards = max(1, -(-chars * words // (step * shard_chars)))
     folder = shared_path(spark, "shards")
-    passages = passages.withColumn("shard", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int"))
+    passages = passages.withColumn("shard", F.pmod(F.xxhash64("doc", "start"), F.lit(shards)).cast("int"))
     passages.drop("anchors").repartition("shard").write.partitionBy("shard").parquet(folder)
-    parts = cut(routed(segments, passages), "routed")
+    parts = cut(routed(segments, passages, size), "routed")
     spots = located(parts, folder, size).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "n")).alias("_pd_spots"))
 
     kept = docs.drop("n_words", "n_removed")
-    keyed = kept.withColumns({"_pd_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_pd_th": F.xxhash64(text_col)})
-    joined = keyed.join(spots.withColumnsRenamed({"doc": "_pd_doc", "th": "_pd_th"}), ["_pd_doc", "_pd_th"], "left").select(*kept.columns, "_pd_spots")
+    named = keyed(kept, several, "_pd_doc", "_pd_th", id_col, text_col)
+    joined = named.join(spots.withColumnsRenamed({"doc": "_pd_doc", "th": "_pd_th"}), ["_pd_doc", "_pd_th"], "left").select(*kept.columns, "_pd_spots")
     schema = StructType([*kept.schema.fields]).add("n_words", "long").add("n_removed", "long")
     held, names = kept.columns, schema.names
 

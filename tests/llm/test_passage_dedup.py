@@ -36,6 +36,13 @@ def test_small_shards_and_full_filters_change_nothing(spark, size, shard_chars,
     assert {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in got} == brute(rows, size)
 
 
+def test_long_passages_and_wide_gaps(spark):
+    w = [f"w{i}" for i in range(9000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:4100] + ["x"] + w[4100:])), (3, " ".join(w[1990:2030] + ["y"] * 30 + w[5000:5019] + ["z"] + w[5019:5060])), (4, " ".join(w[::-1])), (5, "w1 " * 5000)]
+    got = dedup_passages(spark.createDataFrame(rows, "doc_id long, text string"), shard_chars=4000).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in got} == brute(rows, 20)
+
+
 def test_edge_cases(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
     rows = [(4, f"{a} mid {b}"), (2, a), (9, f"x {b} y\n{b}\t z"), (5, None), (6, ""), (7, "w " * 100), (8, " \t\n"), (10, a.upper()), (11, f"{a[:100]} {b[40:]}"), (12, "v " * 30_000)]
@@ -44,5 +51,8 @@ def test_edge_cases(spark):
     assert got == brute(rows, 20)
     assert dedup_passages(docs).columns == [*docs.columns, "n_words", "n_removed"]
     assert dedup_passages(docs.limit(0)).count() == 0
+    rows = [(0, b), (1, a), (1, b), (2, a), (2, f"{a} c")]
+    got = dedup_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got.collect()) == [(0, 60, 0), (1, 60, 0), (1, 60, 60), (2, 60, 60), (2, 61, 60)]
     twice = spark.createDataFrame([(None, a, 1, "s"), (1, a, 1, "s"), (1, a, 1, "s")], SCHEMA)
     assert sorted((r.doc_id or 0, r.n_removed) for r in dedup_passages(twice).collect()) == [(0, 0), (1, 60), (1, 60)]
