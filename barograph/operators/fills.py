@@ -156,25 +156,35 @@ def counters(run: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
 
 
 def first_touch(bars: DataFrame, entries: DataFrame, block: int = 64) -> DataFrame:
-    """The first bar after each entry that touches its stop or target, by joins only.
+    """The first bar after each entry that touches its stop or target, by equality joins only.
 
     ``entries``: symbol, entry_i, direction, stop, target (prices); returns them with exit_i (null if nothing is
-    touched). The bars of the entry's own block come first; for the rest, later blocks are known by their
-    extremes, and only bars of the first block that reaches a level are looked at.
+    touched). Blocks of bars, of blocks and so on are known by their extremes. An entry climbs: it is held against what
+    follows it in its own block, then against the blocks that follow in the block above, until one reaches a level; from
+    there the search goes down again. So an entry meets ``block`` rows a step, and steps grow with the logarithm of the series.
     """
     down = F.when(F.col("direction") > 0, F.col("stop")).otherwise(F.col("target"))
     up = F.when(F.col("direction") > 0, F.col("target")).otherwise(F.col("stop"))
-    e = entries.withColumns({"_b": F.floor(F.col("entry_i") / block), "_down": down, "_up": up})
-    b = bars.select("symbol", "i", "low", "high", F.floor(F.col("i") / block).alias("_b"))
     hit = (F.col("low") <= F.col("_down")) | (F.col("high") >= F.col("_up"))
     key = ["symbol", "entry_i", "direction", "stop", "target"]
-    near = e.join(b, ["symbol", "_b"]).where((F.col("i") > F.col("entry_i")) & hit).groupBy(*key).agg(F.min("i").alias("exit_i"))
-    rest = e.join(near, key, "left_anti")
-    extremes = b.groupBy("symbol", "_b").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    # a series has 1/block as many blocks as bars: an entry meets the blocks after its own
-    later = rest.withColumnRenamed("_b", "_own").join(extremes, "symbol").where((F.col("_b") > F.col("_own")) & hit).groupBy(*key, "_down", "_up").agg(F.min("_b").alias("_b"))
-    far = later.join(b, ["symbol", "_b"]).where(hit).groupBy(*key).agg(F.min("i").alias("exit_i"))
-    return entries.join(near.unionByName(far), key, "left")
+    open_ = entries.select(*key, F.col("entry_i").cast("long").alias("_at"), down.alias("_down"), up.alias("_up")).distinct()
+    last = bars.agg(F.max("i")).first()[0] or 0
+    levels = [bars.select("symbol", F.col("i").cast("long").alias("at"), "low", "high")]
+    while last >= block:
+        last //= block
+        levels.append(levels[-1].groupBy("symbol", F.floor(F.col("at") / block).alias("up")).agg(F.min("low").alias("low"), F.max("high").alias("high")).withColumnRenamed("up", "at"))
+    inside = lambda rows: rows.withColumn("_in", F.floor(F.col("at") / block))
+    first = lambda met: met.where(hit).groupBy(*key, "_down", "_up").agg(F.min("at").alias("_at"))
+    found = []
+    for level in levels:
+        met = open_.withColumn("_in", F.floor(F.col("_at") / block)).join(inside(level), ["symbol", "_in"]).where(F.col("at") > F.col("_at"))
+        found.append(first(met))
+        open_ = open_.join(found[-1].select(*key), key, "left_anti").withColumn("_at", F.floor(F.col("_at") / block))
+    at = found.pop()
+    for level in reversed(levels[:-1]):
+        below = first(at.withColumnRenamed("_at", "_in").join(inside(level), ["symbol", "_in"]))
+        at = below.unionByName(found.pop())
+    return entries.join(at.select(*key, F.col("_at").alias("exit_i")), key, "left")
 
 
 def equity_of(bars: DataFrame, done: DataFrame, instrument: Instrument = Instrument(), capital: float = 10_000.0) -> DataFrame:

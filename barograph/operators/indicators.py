@@ -135,11 +135,30 @@ def recursive(bars: DataFrame, wanted: dict[str, tuple[str, int]]) -> DataFrame:
     return out.withColumns({name: F.when(~F.isnan(name), F.col(name)) for name in wanted})
 
 
+def carried(ends: DataFrame, beta: float, fan: int = 64) -> DataFrame:
+    """symbol, b, v, k of what comes before each block: a value ``y`` before the first becomes ``v + beta^k y``.
+
+    ``ends``: symbol, b, and v and k of each block alone. Groups of ``fan`` blocks are folded, and so are the groups, level by level.
+    """
+    pair = lambda v, k: F.struct(v.alias("v"), k.alias("k"))
+    then = lambda x, y: pair(y["v"] + F.pow(F.lit(beta), y["k"]) * x["v"], x["k"] + y["k"])
+    none = pair(F.lit(0.0), F.lit(0).cast("long"))
+    rows = F.array_sort(F.collect_list(F.struct("b", "v", "k")))
+    step = lambda s, r: F.struct(then(s["all"], r).alias("all"), F.array_append(s["out"], F.struct(r["b"].alias("b"), s["all"].alias("before"))).alias("out"))
+    start = F.struct(none.alias("all"), F.array().cast("array<struct<b:bigint,before:struct<v:double,k:bigint>>>").alias("out"))
+    folded = ends.groupBy("symbol", F.floor(F.col("b") / fan).alias("g")).agg(rows.alias("rows")).select("symbol", "g", F.aggregate("rows", start, step).alias("f"))
+    inner = folded.select("symbol", "g", F.explode("f.out").alias("o")).select("symbol", "g", "o.b", F.col("o.before").alias("inner"))
+    if (ends.agg(F.max("b")).first()[0] or 0) < fan:
+        return inner.select("symbol", "b", "inner.*")
+    above = carried(folded.select("symbol", F.col("g").alias("b"), "f.all.*"), beta, fan).select("symbol", F.col("b").alias("g"), F.struct("v", "k").alias("outer"))
+    return inner.join(above, ["symbol", "g"]).select("symbol", "b", then(F.col("outer"), F.col("inner")).alias("x")).select("symbol", "b", "x.*")
+
+
 def seeded_scan(bars: DataFrame, x: str, alpha: float, n: int, to: str, block: int = 32) -> DataFrame:
     """The recursion of ``seeded`` by joins and windows only, for a series of any length.
 
-    Blocks of ``block`` bars are solved on their own as a sum of fading terms; the block's last value is carried
-    over the short table of blocks; then the carry is added back.
+    Blocks of ``block`` bars are solved on their own as a sum of fading terms; the blocks' last values are carried on by
+    ``carried``; then the carry is added back.
     """
     n, beta = period(n), 1.0 - alpha
     if beta == 0:
@@ -149,15 +168,8 @@ def seeded_scan(bars: DataFrame, x: str, alpha: float, n: int, to: str, block: i
     b = bars.withColumns({"_b": F.when(after >= 0, F.floor(after / F.lit(block))), "_k": F.pmod(after, F.lit(block)) + 1})
     faded = F.sum(F.lit(alpha) * F.col(x) * F.pow(F.lit(beta), -F.col("_k"))).over(Window.partitionBy("symbol", "_b").orderBy("i"))
     b = b.withColumn("_local", F.when(F.col("_b").isNotNull(), faded * F.pow(F.lit(beta), F.col("_k"))))
-    ends = b.where("_b is not null").groupBy("symbol", "_b").agg(F.max_by("_local", "i").alias("v"), F.max("_k").alias("k"))
-    row = F.sort_array(F.collect_list(F.struct(F.col("_b").alias("b"), "v", "k")))
-    chain = ends.groupBy("symbol").agg(row.alias("blocks")).join(seed, "symbol")
-    start = F.struct(F.col("_seed").alias("y"), F.array().cast("array<struct<b:bigint,y:double>>").alias("out"))
-    folded = F.aggregate(
-        "blocks", start,
-        lambda s, r: F.struct((r["v"] + F.pow(F.lit(beta), r["k"]) * s["y"]).alias("y"), F.array_append(s["out"], F.struct(r["b"].alias("b"), s["y"].alias("y"))).alias("out")),
-    )
-    carry = chain.select("symbol", F.explode(folded["out"]).alias("c")).select("symbol", F.col("c.b").alias("_b"), F.col("c.y").alias("_carry"))
+    ends = b.where("_b is not null").groupBy("symbol", F.col("_b").alias("b")).agg(F.max_by("_local", "i").alias("v"), F.max("_k").cast("long").alias("k"))
+    carry = carried(ends, beta).join(seed, "symbol").select("symbol", F.col("b").alias("_b"), (F.col("v") + F.pow(F.lit(beta), F.col("k")) * F.col("_seed")).alias("_carry"))
     out = b.join(carry, ["symbol", "_b"], "left").join(seed, "symbol", "left")
     value = F.when(F.col("i") == n - 1, F.col("_seed")).when(F.col("_b").isNotNull(), F.col("_local") + F.pow(F.lit(beta), F.col("_k")) * F.col("_carry"))
     return out.select(*bars.columns, value.alias(to))

@@ -148,3 +148,20 @@ def test_frames_say_the_same(spark, sf):
     assert [none[c] for c in METRICS] == [0] * 16
     again = Fl.equity_of(b, trades).join(equity.withColumnRenamed("equity", "e"), ["symbol", "i"]).selectExpr("max(abs(equity - e)) d").first().d
     assert again < 1e-6
+
+
+def test_first_touch_climbs_any_number_of_blocks(spark):
+    draw = np.random.default_rng(5)
+    close = 100 + np.cumsum(draw.normal(0, 1, 300))
+    rows = [("X", i, float(c - 0.5), float(c + 0.5)) for i, c in enumerate(close)] + [("Y", i, 1.0, 2.0) for i in range(7)]
+    bars = spark.createDataFrame(rows, "symbol string, i long, low double, high double")
+    asked = [("X", i, d, float(close[i] - d * w), float(close[i] + d * w)) for i in range(0, 300, 3) for d, w in ((1, 1.0), (-1, 4.0), (1, 40.0))] + [("Y", 2, 1, 0.5, 3.0), ("Z", 0, 1, 0.0, 1.0)]
+    want = {}
+    for s, i, d, stop, target in asked:
+        down, up = (stop, target) if d > 0 else (target, stop)
+        want[s, i, d, stop, target] = next((k for t, k, low, high in rows if t == s and k > i and (low <= down or high >= up)), None)
+    entries = spark.createDataFrame(asked, "symbol string, entry_i long, direction int, stop double, target double")
+    for block in (3, 64):
+        got = {tuple(r)[:5]: r.exit_i for r in Fl.first_touch(bars, entries, block).collect()}
+        assert got == want
+    assert None in want.values() and len(set(want.values())) > 50

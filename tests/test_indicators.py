@@ -51,7 +51,7 @@ def test_forms_agree_and_first_values(spark):
     first = {c: next(r.i for r in rows if r[c] is not None) for c in ("ema", "rma", "rsi", "atr", "sma", "w", "tr")}
     assert first == {"ema": 19, "rma": 13, "rsi": 14, "atr": 13, "sma": 19, "w": 19, "tr": 0}
     same([r.sma for r in rows], [r.w for r in rows])
-    for n, alpha, block in ((20, 2 / 21, 32), (14, 1 / 14, 64), (1, 1.0, 32), (600, 0.1, 32)):
+    for n, alpha, block in ((20, 2 / 21, 32), (14, 1 / 14, 64), (1, 1.0, 32), (600, 0.1, 32), (20, 2 / 21, 2)):
         scan = I.seeded_scan(b, "close", alpha, n, "v", block).orderBy("i").collect()
         same([r.v for r in scan], loop(close.tolist(), alpha, n))
 
