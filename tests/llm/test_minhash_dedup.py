@@ -71,3 +71,13 @@ def test_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(500, 501), (501, 501), (None, 3)], "a long, b long")
     got = {r.id: r.component for r in connected_components(links).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 500: 500, 501: 500}
+
+
+def test_ids_of_any_type_and_texts_that_share_an_id(spark):
+    rows = [("b", A), ("a", B), ("c", None), ("d", "one two"), ("a", "one two"), ("e", A[::-1])]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect()), key=str)
+    assert got == [("a", 1, "a", True), ("a", 56, "a", True), ("b", 56, "a", False), ("c", 0, "c", True), ("d", 1, "a", False), ("e", 56, "e", True)]
+    other = A[::-1]
+    docs = spark.createDataFrame([(1, A), (2, A), (2, other), (3, other + " more")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in drop_near_duplicates(docs).collect()) == [(1, A), (2, other)]
