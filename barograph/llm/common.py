@@ -156,7 +156,7 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of ``n`` neighbouring word hashes: their polynomial, of which each step doubles the run."""
+    """Hash of each run of ``n`` neighbouring word hashes: their polynomial behind ``n``, of which each step doubles the run."""
     count = len(words) - n + 1
     if count <= 0:
         return np.zeros(0, np.uint64)
@@ -167,7 +167,7 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
         if bit == "1":
             h = h[:-1] * MIX_A + words[have:]
             have += 1
-    return mixed(h + np.uint64(n))
+    return mixed(h + np.uint64(n * pow(int(MIX_A), n, 1 << 64) % (1 << 64)))
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
