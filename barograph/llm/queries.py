@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from barograph.llm.cross_tokenizer import op11_cross_tokenizer
 from barograph.llm.decontamination import op2_decontamination
 from barograph.llm.html_text import op10_html_text
 from barograph.llm.language_id import op1_language_id
@@ -15,6 +16,9 @@ from barograph.llm.warc_zip import op3_warc_zip
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_decontamination, op3_warc_zip, op4_order_minhash, op5_url_filter, op6_packing, op7_minhash_dedup, op8_line_dedup, op9_passage_dedup, op10_html_text)
+    for f in (
+        op1_language_id, op2_decontamination, op3_warc_zip, op4_order_minhash, op5_url_filter, op6_packing, op7_minhash_dedup, op8_line_dedup, op9_passage_dedup, op10_html_text,
+        op11_cross_tokenizer,
+    )
 }
 SQL = {"op8_line_dedup": OP8_SQL}
