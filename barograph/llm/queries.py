@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from barograph.llm.conversation_repair import op12_conversation_repair
 from barograph.llm.cross_tokenizer import op11_cross_tokenizer
 from barograph.llm.decontamination import op2_decontamination
 from barograph.llm.html_text import op10_html_text
@@ -18,7 +19,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_decontamination, op3_warc_zip, op4_order_minhash, op5_url_filter, op6_packing, op7_minhash_dedup, op8_line_dedup, op9_passage_dedup, op10_html_text,
-        op11_cross_tokenizer,
+        op11_cross_tokenizer, op12_conversation_repair,
     )
 }
 SQL = {"op8_line_dedup": OP8_SQL}
