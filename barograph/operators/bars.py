@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barograph.functions.columns import bucket
-from barograph.functions.timeframes import assert_serves, timeframe_ms
+from barograph.functions.timeframes import DAY, assert_serves, timeframe_ms
+from barograph.operators.ordered import BLOCK, scan
 
 BARS = "symbol string, ms long, open double, high double, low double, close double, volume long, spread double, spread_max double"
 
@@ -64,9 +65,9 @@ def build_bars(data: DataFrame, tf: str, resolution_ms: int = 0) -> DataFrame:
     return full if timeframe_ms(tf) == resolution_ms else roll_up(full, tf)
 
 
-def with_index(bars: DataFrame) -> DataFrame:
-    """``i``: 0, 1, ... in time order within a symbol."""
-    return bars.withColumn("i", (F.row_number().over(Window.partitionBy("symbol").orderBy("ms")) - 1).cast("long"))
+def with_index(bars: DataFrame, width: int = 32 * DAY) -> DataFrame:
+    """``i``: 0, 1, ... in time order within a symbol. Rows are counted by blocks of ``width``, which are added up."""
+    return scan(bars, ["symbol"], ["ms"], width, {"i": ("sum", F.lit(1).cast("long"), False)}).drop(BLOCK)
 
 
 def slice_bars(bars: DataFrame, start: int, stop: int) -> DataFrame:

@@ -9,10 +9,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from barograph.operators.ordered import BLOCK, rolling, scan
+
 #: Values that one step of the recursion kernel takes at once.
 STRIDE = 64
 
@@ -28,15 +30,15 @@ def by_time() -> "Window":
     return Window.partitionBy("symbol").orderBy("i")
 
 
-def sma(x: Column, n: int) -> Column:
+def sma(x: Column, n: int, over: WindowSpec | None = None) -> Column:
     """Mean of the last n values; null until there are n, and while one of them is null."""
-    w = by_time().rowsBetween(1 - period(n), 0)
+    w = (over or by_time()).rowsBetween(1 - period(n), 0)
     return F.when(F.count(x).over(w) == n, F.avg(x).over(w))
 
 
-def true_range() -> Column:
+def true_range(over: WindowSpec | None = None) -> Column:
     """Reach of a bar together with the close before; the first bar has none before."""
-    before = F.lag("close").over(by_time())
+    before = F.lag("close").over(over or by_time())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
@@ -45,11 +47,33 @@ def drawdown(x: Column) -> Column:
     return F.max(x).over(by_time().rowsBetween(Window.unboundedPreceding, 0)) - x
 
 
-def per_bar_return(x: Column) -> Column:
-    before = F.lag(x).over(by_time())
+def per_bar_return(x: Column, over: WindowSpec | None = None) -> Column:
+    before = F.lag(x).over(over or by_time())
     return (x - before) / F.greatest(before, F.lit(1e-9))
 
 
+#: Bars of a block of the functions below, which give a long series to many tasks.
+BLOCK_BARS = 4096
+
+
+def with_sma(bars: DataFrame, n: int, to: str = "sma", x: str = "close", block: int = BLOCK_BARS) -> DataFrame:
+    """``sma`` by blocks: each has the n - 1 bars before it, whatever the length of a block."""
+    return rolling(bars, ["symbol"], "i", period(n), {to: lambda w: sma(F.col(x), n, w)}, block)
+
+
+def with_true_range(bars: DataFrame, to: str = "tr", block: int = BLOCK_BARS) -> DataFrame:
+    return rolling(bars, ["symbol"], "i", 2, {to: true_range}, block)
+
+
+def with_returns(bars: DataFrame, to: str = "ret", x: str = "close", block: int = BLOCK_BARS) -> DataFrame:
+    return rolling(bars, ["symbol"], "i", 2, {to: lambda w: per_bar_return(F.col(x), w)}, block)
+
+
+def with_drawdown(bars: DataFrame, to: str = "dd", x: str = "close", block: int = BLOCK_BARS) -> DataFrame:
+    """``drawdown`` by blocks: the highest value so far is carried from block to block."""
+    return scan(bars, ["symbol"], ["i"], block, {to: ("max", F.col(x), True)}).drop(BLOCK).withColumn(to, F.col(to) - F.col(x))
+
+
 def seeded(x: np.ndarray, alpha: float, n: int) -> np.ndarray:
     """``y[n-1] = mean(x[:n])``, then ``y[i] = alpha x[i] + (1 - alpha) y[i-1]``; NaN before.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import uuid
 from dataclasses import asdict
 from typing import Any
 
@@ -21,6 +22,7 @@ from barograph.operators.signals import SIGNALS, arrays_of, compile_source, eval
 from barograph.sources.artifacts import Artifacts, fingerprint
 from barograph.sources.catalog import Catalog
 from barograph.sources.csv_source import SourceSpec, read_csv
+from barograph.streaming.load import load_stream
 
 
 def number(x: Any) -> Any:
@@ -55,40 +57,31 @@ class Engine:
     def load_data(self, path: str, name: str, timeframe: str = "", base_timeframe: str = "", spec: SourceSpec = SourceSpec(), instrument: Instrument | None = None, stream: bool = False) -> dict[str, Any]:
         """Read a CSV source, store its bars at the base timeframe and register it; the last load of a name counts.
 
-        ``stream``: build the bars by Structured Streaming; ticks only. Either way the result is the same.
+        ``stream``: read the file once, as a stream of byte ranges; ticks only. Bars are the same either way. The streamed quality follows
+        the batches: quantiles are those of sketches (see ``streaming.load``), and a batch that goes back in time counts as one step out of order.
         """
-        source = read_csv(self.spark, path, spec, name)
-        if stream and source.kind != "tick":
-            raise NotImplementedError("only ticks can be streamed")
-        base = base_for(timeframe, base_timeframe)
-        if source.resolution_ms > timeframe_ms(base):
-            if timeframe:
-                assert_serves(source.resolution_ms, timeframe)
-            base = normal(name_of(source.resolution_ms))
-        default = normal(timeframe) if timeframe else base
         if stream:
-            from barograph.streaming.bars import finish, read_ticks, run_to_end, short_bars, stream_bars
-
-            at = f"{self.root}/streams/{hashlib.sha256(f'{name}{path}'.encode()).hexdigest()[:16]}-{self.spark.sparkContext.applicationId}"
-            # parts by time, so that few ticks are late; finish() makes up for those that are
-            source.rows.repartitionByRange("ms").sortWithinPartitions("ms", "seq").write.mode("overwrite").parquet(f"{at}/ticks")
-            run_to_end(self.spark, stream_bars(read_ticks(self.spark, f"{at}/ticks"), base), f"{at}/bars", f"{at}/checkpoint")
-            ticks = self.spark.read.parquet(f"{at}/ticks")
-            made = finish(self.spark, ticks, f"{at}/bars", base)
-            written = self.spark.read.schema(B.BARS).parquet(f"{at}/bars")
-            # of bars that are not the last ones: those were held back, these were late
-            late = short_bars(ticks, written, base).join(written.groupBy("symbol").agg(F.max("ms").alias("_last")), "symbol").where("ms <= _last").agg(F.sum("lacking")).first()[0] or 0
+            base = base_for(timeframe, base_timeframe)
+            # a load of its own each time, so that the last one counts and not what earlier ones have read
+            streamed = load_stream(self.spark, path, base, spec, name, f"{self.root}/streams/{uuid.uuid4().hex}")
+            kind, tick, late, made, told = "tick", spec.tick_size or 10.0**-streamed.decimals, streamed.late_rows, streamed.bars, streamed.quality
         else:
-            late = None
-            made = B.build_bars(source.rows, base, source.resolution_ms)
+            source = read_csv(self.spark, path, spec, name)
+            base = base_for(timeframe, base_timeframe)
+            if source.resolution_ms > timeframe_ms(base):
+                if timeframe:
+                    assert_serves(source.resolution_ms, timeframe)
+                base = normal(name_of(source.resolution_ms))
+            kind, tick, late, made, told = source.kind, source.tick_size, None, B.build_bars(source.rows, base, source.resolution_ms), quality_report(source.rows)
+        default = normal(timeframe) if timeframe else base
         sha = self.artifacts.put_table(made)
         made = self.artifacts.get_table(sha)
-        quality = {k: number(v) for k, v in quality_report(source.rows).drop("symbol").first().asDict().items()}
+        quality = {k: number(v) for k, v in told.drop("symbol").first().asDict().items()}
         bars = made.count()
-        instrument = instrument or Instrument(tick_size=source.tick_size)
+        instrument = instrument or Instrument(tick_size=tick)
         self.catalog.put_source(
-            name=name, path=path, digest=fingerprint(self.spark, path), kind=source.kind, base_timeframe=base, default_timeframe=default, utc_offset_hours=float(spec.utc_offset_hours),
-            default_bars=bars if default == base else B.roll_up(made, default).count(), rows=quality["rows"], late_rows=late, bars=bars, first_ms=quality["first_ms"], last_ms=quality["last_ms"], tick_size=source.tick_size,
+            name=name, path=path, digest=fingerprint(self.spark, path), kind=kind, base_timeframe=base, default_timeframe=default, utc_offset_hours=float(spec.utc_offset_hours),
+            default_bars=bars if default == base else B.roll_up(made, default).count(), rows=quality["rows"], late_rows=late, bars=bars, first_ms=quality["first_ms"], last_ms=quality["last_ms"], tick_size=tick,
             instrument_json=json.dumps(asdict(instrument)), quality_json=json.dumps(quality), bars_sha=sha, ingest="stream" if stream else "whole",
         )
         return self.catalog.source(name) | {"quality": quality, "serves": served_by(base)}

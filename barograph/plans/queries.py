@@ -12,10 +12,15 @@ from barograph.functions.instrument import REASONS
 from barograph.operators import bars as B
 from barograph.operators import charts, control, fills, folds, plateau, quality, search, signals
 from barograph.operators import indicators as I
+from barograph.operators.ordered import rolling
 from barograph.operators.metrics import METRICS, metrics, rates
 from barograph.plans import sql as S
 from barograph.sources import catalog
+from barograph.sources.csv_source import SourceSpec
+from barograph.sources.shared import shared_path
 from barograph.sources.ticks import ticks_raw, ticks_walk
+from barograph.streaming.bars import finish, read_ticks, run_to_end, stream_bars
+from barograph.streaming.load import RANK_ERROR, load_stream
 
 QUERIES: dict[str, Any] = {}
 SQL: dict[str, str] = {}
@@ -118,7 +123,7 @@ def quality_report(spark, d):
 @query(S.with_(S.RAW.replace("epoch_us(ts) // 1000 AS ms", "epoch_us(ts) // 1000 // 60000 * 60000 AS ms"), GAPS, ISLANDS) + "SELECT * FROM isl")
 def duplicate_runs(spark, d):
     t = ticks_raw(spark, d).withColumn("ms", C.bucket(F.col("ms"), "M1"))
-    return quality.quality_report(t).select("symbol", "max_duplicate_run")
+    return quality.repeats(t).select("symbol", F.col("n").alias("max_duplicate_run"))
 
 
 @query(S.with_(S.RAW, GAPS) + "SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY gap DESC) AS rank, gap FROM g WHERE gap IS NOT NULL QUALIFY rank <= 5")
@@ -134,51 +139,56 @@ def resolution_mode(spark, d):
     return quality.resolution(ticks_raw(spark, d).withColumn("ms", C.bucket(F.col("ms"), "M1")))
 
 
-WEEKLY = "extract(isodow FROM ts) < 6"
-
-
-@query(
-    S.with_(S.RAW.replace("FROM events", f"FROM events WHERE {WEEKLY}"), GAPS)
+#: A Monday's midnight, and a week, in milliseconds.
+MONDAY, WEEK_MS = 4 * 86_400_000, 7 * 86_400_000
+PRESSED = S.RAW.replace("epoch_us(ts) // 1000 AS ms", "e - (e - 345600000) % 604800000 + (e - 345600000) % 604800000 * 5 // 7 AS ms").replace("FROM events", "FROM (SELECT *, epoch_us(ts) // 1000 AS e FROM events)")
+OFFSET = lambda raw: (
+    S.with_(raw, GAPS)
     + """SELECT symbol, round_even((CASE WHEN h > 12 THEN h - 24 WHEN h < -12 THEN h + 24 ELSE h END) * 4, 0) / 4 AS utc_offset_hours
     FROM (SELECT symbol, quantile_cont((ms % 86400000) / 3600000.0::double, 0.5) FILTER (WHERE gap > 86400000) - 22 AS h
           FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY gap DESC, ms DESC) AS p FROM g WHERE gap IS NOT NULL) WHERE p <= 12 GROUP BY symbol)"""
 )
+
+
+@query(OFFSET(PRESSED))
 def utc_offset_infer(spark, d):
-    """Ticks of weekdays only, so that there are weekend gaps to tell the clock from."""
+    """All ticks, with each week pressed into its first five days, so that there are weekend gaps to tell the clock from."""
     t = ticks_raw(spark, d)
-    return quality.utc_offset(t.where(F.weekday(F.timestamp_millis("ms")) < 5))
+    into = F.pmod(F.col("ms") - MONDAY, F.lit(WEEK_MS))
+    return quality.utc_offset(t.withColumn("ms", F.col("ms") - into + F.floor(into * 5 / 7)))
 
 
-@query()
+@query(OFFSET(S.RAW))
 def utc_offset_all(spark, d):
-    """Of all ticks; ``utc_offset_infer`` and its SQL read weekdays only. Null for a symbol that is never still for a day."""
+    """The ticks as they are. Null for a symbol that is never still for a day."""
     return quality.utc_offset(ticks_raw(spark, d))
 
 
 # --- windows and recursions
 @query(H1 + "SELECT symbol, i, round(CASE WHEN count(*) OVER w = 20 THEN avg(close) OVER w END, 6) AS sma FROM h1 WINDOW w AS (ORDER BY i ROWS 19 PRECEDING)")
 def sma_20(spark, d):
-    return walk_bars(spark, d).select("symbol", "i", F.round(I.sma(F.col("close"), 20), 6).alias("sma"))
+    return I.with_sma(walk_bars(spark, d), 20).select("symbol", "i", F.round("sma", 6).alias("sma"))
 
 
 @query(H1 + "SELECT symbol, i, round(greatest(high - low, abs(high - pc), abs(low - pc)), 6) AS tr FROM (SELECT *, lag(close) OVER (ORDER BY i) AS pc FROM h1)")
 def true_range(spark, d):
-    return walk_bars(spark, d).select("symbol", "i", F.round(I.true_range(), 6).alias("tr"))
+    return I.with_true_range(walk_bars(spark, d)).select("symbol", "i", F.round("tr", 6).alias("tr"))
 
 
 @query(H1 + "SELECT symbol, i, round(max(close) OVER (ORDER BY i) - close, 6) AS dd FROM h1")
 def drawdown(spark, d):
-    return walk_bars(spark, d).select("symbol", "i", F.round(I.drawdown(F.col("close")), 6).alias("dd"))
+    return I.with_drawdown(walk_bars(spark, d)).select("symbol", "i", F.round("dd", 6).alias("dd"))
 
 
 @query(H1 + "SELECT symbol, i, round((close - p) / greatest(p, 1e-9), 9) AS ret FROM (SELECT *, lag(close) OVER (ORDER BY i) AS p FROM h1)")
 def bar_returns(spark, d):
-    return walk_bars(spark, d).select("symbol", "i", F.round(I.per_bar_return(F.col("close")), 9).alias("ret"))
+    return I.with_returns(walk_bars(spark, d)).select("symbol", "i", F.round("ret", 9).alias("ret"))
 
 
 @query(H1 + "SELECT round(corr(r, p), 6) AS autocorrelation FROM (SELECT r, lag(r) OVER (ORDER BY i) AS p FROM (SELECT i, ln(close) - ln(lag(close) OVER (ORDER BY i)) AS r FROM h1))")
 def lag1_autocorr(spark, d):
-    r = walk_bars(spark, d).withColumn("r", F.log("close") - F.log(F.lag("close").over(I.by_time()))).withColumn("p", F.lag("r").over(I.by_time()))
+    change = lambda k: lambda w: F.log(F.lag("close", k).over(w)) - F.log(F.lag("close", k + 1).over(w))
+    r = rolling(walk_bars(spark, d), ["symbol"], "i", 3, {"r": change(0), "p": change(1)})
     return r.agg(F.round(F.corr("r", "p"), 6).alias("autocorrelation"))
 
 
@@ -241,22 +251,24 @@ def subbar_alignment(spark, d):
     return r6(a.select("symbol", "i", F.col("ms").alias("sub_ms"), "close"), "close")
 
 
-@query(
+TOUCH = (
     H1
     + """SELECT e.symbol, e.i AS entry_i, e.direction, (SELECT min(b.i) FROM h1 b WHERE b.i > e.i AND (CASE WHEN e.direction > 0 THEN b.low <= e.close - 2 OR b.high >= e.close + 3 ELSE b.high >= e.close + 2 OR b.low <= e.close - 3 END)) AS exit_i
-    FROM (SELECT *, CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END AS direction FROM h1 WHERE i % 5 = 0) e"""
+    FROM (SELECT *, CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END AS direction FROM h1) e"""
 )
+
+
+@query(TOUCH)
 def first_touch(spark, d):
-    """Every fifth bar as an entry, as its SQL has it; ``first_touch_all`` judges all bars."""
+    """Every bar as an entry."""
     b = walk_bars(spark, d)
-    return touches(b, b.where(F.col("i") % 5 == 0))
+    return touches(b, b)
 
 
-@query()
+@query(TOUCH)
 def first_touch_all(spark, d):
-    """Every bar as an entry; tests hold it against a plain loop."""
-    b = walk_bars(spark, d)
-    return touches(b, b)
+    """The same under its earlier name, which tests hold against a plain loop, too."""
+    return first_touch(spark, d)
 
 
 def touches(b: DataFrame, at: DataFrame) -> DataFrame:
@@ -524,18 +536,45 @@ def equity_downsample(spark, d):
 @query(S.with_(S.RAW, S.bars("b", "ticks_raw", "H1")) + f"SELECT {S.BAR_OUT} FROM b")
 def stream_bars_h1(spark, d):
     """Ticks as a stream of files, bars in append mode, and what the watermark held back."""
-    import tempfile
-    import uuid
-
-    from barograph.streaming.bars import finish, read_ticks, run_to_end, stream_bars
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    at = f"{shared.rstrip('/')}/barograph-stream-{uuid.uuid4().hex}"
+    at = shared_path(spark, "stream")
     ticks_raw(spark, d).repartitionByRange(4, "ms").sortWithinPartitions("ms").write.parquet(f"{at}/ticks")
     run_to_end(spark, stream_bars(read_ticks(spark, f"{at}/ticks"), "H1", "1 hour"), f"{at}/bars", f"{at}/checkpoint")
     return bar_out(finish(spark, spark.read.parquet(f"{at}/ticks"), f"{at}/bars", "H1"))
 
 
+def csv_stream(spark, d):
+    """All ticks as CSV files in time order, loaded as a stream: see ``streaming.load``."""
+    at = shared_path(spark, "csv")
+    t = ticks_raw(spark, d).repartitionByRange(4, "ms").sortWithinPartitions("ms", "seq")
+    t.select(F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd HH:mm:ss.SSS").alias("timestamp"), "symbol", "bid", "ask").write.csv(f"{at}/ticks", header=True)
+    return load_stream(spark, f"{at}/ticks", "H1", SourceSpec(symbol_col="symbol"), at=f"{at}/load", range_bytes=1 << 18, batch_ranges=8)
+
+
+@query(S.with_(S.RAW, S.bars("b", "ticks_raw", "H1")) + f"SELECT {S.BAR_OUT} FROM b")
+def stream_csv_bars_h1(spark, d):
+    """Bars of a CSV stream whose batches end anywhere in the files."""
+    return bar_out(csv_stream(spark, d).bars)
+
+
+STREAM_COUNTS = "symbol, rows, first_ms, last_ms, out_of_order, duplicate_timestamps, negative_spread, zero_spread, bad_price, max_duplicate_run"
+
+
+@query(
+    S.with_(S.RAW, "g AS (SELECT *, ms - lag(ms) OVER (PARTITION BY symbol ORDER BY ms, seq) AS gap FROM ticks_raw)", ISLANDS)
+    + """SELECT symbol, count(*) AS rows, min(ms) AS first_ms, max(ms) AS last_ms, 0::bigint AS out_of_order, count(*) FILTER (WHERE gap = 0) AS duplicate_timestamps,
+    count(*) FILTER (WHERE ask < bid) AS negative_spread, count(*) FILTER (WHERE ask = bid) AS zero_spread, count(*) FILTER (WHERE bid <= 0) + count(*) FILTER (WHERE ask <= 0) AS bad_price,
+    any_value(max_duplicate_run) AS max_duplicate_run, round(avg(ask - bid), 6) AS spread_mean, max(gap) AS largest_gap_ms, true AS p50_near, true AS p99_near FROM g JOIN isl USING (symbol) GROUP BY symbol"""
+)
+def stream_csv_quality(spark, d):
+    """Quality of the same stream. The quantiles of its sketches are held against the ranks of all ticks: p50_near, p99_near."""
+    told = csv_stream(spark, d).quality
+    spreads = ticks_raw(spark, d).select("symbol", (F.col("ask") - F.col("bid")).alias("x"))
+    share = lambda c, below: F.avg((F.col("x") < F.col(c) if below else F.col("x") <= F.col(c)).cast("double"))
+    near = lambda c, q: (share(c, True) <= q + RANK_ERROR) & (share(c, False) >= q - RANK_ERROR)
+    held = spreads.join(told.select("symbol", "spread_p50", "spread_p99"), "symbol").groupBy("symbol").agg(near("spread_p50", 0.5).alias("p50_near"), near("spread_p99", 0.99).alias("p99_near"))
+    return r6(told.join(held, "symbol").select(*STREAM_COUNTS.split(", "), "spread_mean", F.get("largest_gaps_ms", F.lit(0)).alias("largest_gap_ms"), "p50_near", "p99_near"), "spread_mean")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """An EMA-cross backtest on hourly bars: its trades, each with the run's metrics."""
     run = cross_run(spark, d)

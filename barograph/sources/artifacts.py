@@ -69,12 +69,39 @@ class Artifacts:
         return count, int(fs.getContentSummary(p).getLength())
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and (Hadoop path, bytes) of the file or the files in the folder, by name."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f for f in system.listStatus(at) if f.isFile() and f.getPath().getName()[0] not in "_."]
+    return system, sorted(((f.getPath(), f.getLen()) for f in found), key=lambda f: f[0].getName())
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
-    """``fp:`` and a digest of a file's size and its first and last MiB; executors read no more than that."""
-    ends = spark.read.format("binaryFile").load(path).select("length", F.substring("content", 1, ENDS).alias("a"), F.expr(f"substring(content, greatest(length - {ENDS} + 1, 1), {ENDS})").alias("b"))
-    r = ends.select(F.sha2(F.concat(F.col("length").cast("string").cast("binary"), "a", "b"), 256).alias("d")).first()
-    return f"fp:{r.d}"
+    """``fp:`` and a digest of a file's size and its first and last MiB, of which no more is read; of a folder, that of its files' digests by name.
+
+    Of any size; a change that leaves the length and both ends alone isn't seen.
+    """
+    system, files = _files(spark, path)
+    jvm, digests = spark.sparkContext._jvm, []
+    for at, size in files:
+        stream = system.open(at)
+        try:
+            n = min(size, ENDS)
+            head = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n))
+            stream.seek(size - n)
+            tail = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n))
+        finally:
+            stream.close()
+        digests.append(hashlib.sha256(str(size).encode() + head + tail).hexdigest())
+    return f"fp:{digests[0] if len(digests) == 1 else hashlib.sha256(' '.join(digests).encode()).hexdigest()}"
 
 
 def file_digest(spark: SparkSession, path: str) -> str:
-    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("d")).first().d
+    """SHA-256 of a file of any size, which the JVM reads as a stream."""
+    system, files = _files(spark, path)
+    stream = system.open(files[0][0])
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()

@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from barograph.functions.timeframes import HOUR, timeframe_ms
 from barograph.operators.quality import decimals
+from barograph.sources.csv_stream import PLACE_BITS
 
 #: Names under which columns are found, lower-cased and without blanks and underscores.
 TIMES = ("timestamp", "time", "datetime", "gmttime", "date")
@@ -41,6 +42,7 @@ class SourceSpec:
     utc_offset_hours: float = 0.0
     tick_size: float | None = None
     timeframe: str | None = None
+    symbol_col: str | None = None
 
 
 @dataclass(frozen=True)
@@ -134,13 +136,49 @@ def read_text(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
     return spark.read.csv(path, header=True, schema=StructType([StructField(c, StringType()) for c in header]), mode="PERMISSIVE")
 
 
+def layout_of(raw: DataFrame, columns: dict[str, str], spec: SourceSpec, symbol: str, scale: int | None = None) -> DataFrame:
+    """symbol, seq, ms and prices of rows of text with their place ``_seq``; the clock is moved to UTC.
+
+    Prices are put on the grid of ``scale``; without one they are taken as they are written, which is the same if the grid has
+    all of their digits. One that isn't finite raises. ``digits`` is the most that a price of the row has after its point.
+    """
+    shift = round(spec.utc_offset_hours * HOUR)
+    text = lambda f: F.col(f"`{columns[f]}`")
+    price = lambda f: finite_price(text(f)) if scale is None else descaled(scaled(text(f).cast("double"), scale), scale)
+    prices = [f for f in columns if f not in ("timestamp", "volume")]
+    name = F.col(f"`{spec.symbol_col}`") if spec.symbol_col else F.lit(symbol)
+    digits = [F.length(F.regexp_extract(text(f), r"\.([^.]*)$", 1)) for f in prices]
+    return raw.select(
+        name.alias("symbol"), F.col("_seq").alias("seq"), (parse_ms(text("timestamp")) - shift).alias("ms"),
+        *(F.rint(text(f).cast("double")).cast("long").alias(f) if f == "volume" else price(f).alias(f) for f in columns if f != "timestamp"),
+        F.greatest(*digits).alias("digits"),
+    )
+
+
+def finite_price(text: Column) -> Column:
+    price = text.cast("double")
+    bad = price.isNull() | F.isnan(price) | (F.abs(price) == float("inf"))
+    return F.when(bad, F.raise_error(F.lit("a price is not finite")).cast("double")).otherwise(price)
+
+
+def placed(raw: DataFrame) -> DataFrame:
+    """``raw`` with ``_seq``, which grows in file order, files being taken by path.
+
+    Above the file's number stands the byte at which a row's block begins, plus the row's number in its task: a block that isn't a
+    file's last fills a task from its start, and has fewer rows than bytes.
+    """
+    files = sorted(raw.select(F.col("_metadata.file_path").alias("p")).distinct().toPandas()["p"]) if len(raw.inputFiles()) > 1 else []
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = raw.select(*(f"`{c}`" for c in raw.columns), F.col("_metadata.file_path").alias("_file"), (F.col("_metadata.file_block_start") + row).alias("_seq"))
+    if not files:
+        return rows.drop("_file")
+    numbers = raw.sparkSession.createDataFrame([(f, k << PLACE_BITS) for k, f in enumerate(files)], "_file string, _number long")
+    return rows.join(numbers, "_file").withColumn("_seq", F.col("_seq") + F.col("_number")).drop("_file", "_number")
+
+
 def typed(raw: DataFrame, columns: dict[str, str], kind: str, scale: int, spec: SourceSpec, symbol: str) -> DataFrame:
     """symbol, seq, ms and prices on the source's grid. ``seq`` grows in file order; the clock is moved to UTC."""
-    shift = round(spec.utc_offset_hours * HOUR)
-    price = lambda f: descaled(scaled(F.col(f"`{columns[f]}`").cast("double"), scale), scale).alias(f)
-    out = [F.lit(symbol).alias("symbol"), F.monotonically_increasing_id().alias("seq"), (parse_ms(F.col(f"`{columns['timestamp']}`")) - shift).alias("ms")]
-    out += [F.rint(F.col(f"`{columns[f]}`").cast("double")).cast("long").alias(f) if f == "volume" else price(f) for f in columns if f != "timestamp"]
-    return raw.select(*out)
+    return layout_of(placed(raw), columns, spec, symbol, scale).drop("digits")
 
 
 def read_csv(spark: SparkSession, path: str, spec: SourceSpec = SourceSpec(), symbol: str = "") -> Source:

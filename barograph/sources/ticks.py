@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barograph.functions.timeframes import HOUR
+from barograph.operators.ordered import scan
+
 TICKS = "symbol string, seq long, ms long, bid double, ask double"
 
 
@@ -18,23 +21,10 @@ def ticks_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select(F.col("event_type").alias("symbol"), F.col("event_id").alias("seq"), "ms", F.col("value").alias("bid"), ask.alias("ask"))
 
 
-def running_sum(rows: DataFrame, x: str, at: str, order: list[str], width: int, to: str) -> DataFrame:
-    """``rows`` with ``to``, the sum of ``x`` up to each row in ``order``, whose first column is the time ``at``.
-
-    In two levels: sums of stretches of ``width`` of time, a window over those few, and a window inside of each stretch.
-    """
-    part = F.floor(F.col(at) / F.lit(width))
-    totals = rows.groupBy(part.alias("_part")).agg(F.sum(x).alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    held = rows.withColumn("_part", part).join(totals.select("_part", before.alias("_before")), "_part")
-    own = F.sum(x).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return held.withColumn(to, own + F.col("_before")).drop("_part", "_before")
-
-
 def ticks_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One symbol whose bid walks by whole cents; the running sum is made by hours."""
+    """One symbol whose bid walks by whole cents; the running sum is made by blocks of an hour."""
     step = F.round(F.col("value") * 100).cast("long") % 41 - 20
-    walked = running_sum(_events(spark, sf_dir).withColumn("step", step), "step", "ms", ["ts", "event_id"], 3_600_000, "walk")
+    walked = scan(_events(spark, sf_dir).select("ms", "ts", "event_id", step.alias("step")), [], ["ms", "ts", "event_id"], HOUR, {"walk": ("sum", F.col("step"), True)})
     bid = (F.lit(100_000) + F.col("walk")) / F.lit(100.0)
     spread = (F.col("event_id") % 7 + 1) / F.lit(100.0)
     return walked.select(F.lit("WALK").alias("symbol"), F.col("event_id").alias("seq"), "ms", bid.alias("bid"), (bid + spread).alias("ask"))
