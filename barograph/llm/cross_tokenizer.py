@@ -15,14 +15,17 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyarrow import ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barograph.llm.common import BLANKS, cut, table
+from barograph.llm.common import BLANKS, cut, forget, table
 
 #: A block of documents ends when it has so many distinct segments, or so many segments in all.
 BLOCK_DISTINCT, BLOCK_SEGMENTS = 1 << 19, 1 << 22
+#: Segments of a block in a row.
+SLICE = 2048
 #: Segments that a task tokenises at once.
 BATCH = 20_000
 ALIGNED = "seg string, exact boolean, n_a long, n_b long, n_groups long, groups string, la array<int>, lb array<int>"
@@ -170,16 +173,19 @@ class _Numbers(dict):
 
 
 def _number_segments(path_a: str, path_b: str, id_type: pa.DataType) -> Callable:
-    """Rows of documents (block, id, codes) and, at the end of each block, one of its segments and how often each occurs."""
-    names = ["block", "id", "codes", "segs", "counts"]
-    kinds = [pa.int64(), id_type, pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
+    """Rows of documents (block, id, codes) and, at the end of each block, of its segments and how often each occurs, SLICE to a row."""
+    names = ["block", "id", "codes", "first", "segs", "counts"]
+    kinds = [pa.int64(), id_type, pa.binary(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = _aligner(path_a, path_b).cutter
         block, numbers, counts, total = TaskContext.get().partitionId() << 32, _Numbers(), np.zeros(0, np.int64), 0
 
-        def closed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, None, None, list(numbers), counts.tolist()), kinds, strict=True)], names)
+        def closed() -> Iterator[pa.RecordBatch]:
+            segments = list(numbers)
+            for i in range(0, len(segments), SLICE):
+                row = (block, None, None, i, segments[i : i + SLICE], counts[i : i + SLICE].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
@@ -187,25 +193,35 @@ def _number_segments(path_a: str, path_b: str, id_type: pa.DataType) -> Callable
                 codes, lot = [], []
                 for text in part["text"].to_pylist():
                     lot.append(np.fromiter(map(numbers.__getitem__, cutter.of(" " + text)), np.uint32) if text else None)
-                    codes.append(None if lot[-1] is None else lot[-1].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(codes), kinds[0]), part["id"], pa.array(codes, kinds[2]), pa.nulls(len(codes), kinds[3]), pa.nulls(len(codes), kinds[4])], names)
+                    codes.append(None if lot[-1] is None else packed(lot[-1]))
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(codes), kinds[0]), part["id"], pa.array(codes, kinds[2]), *(pa.nulls(len(codes), k) for k in kinds[3:])], names)
                 lot = [c for c in lot if c is not None]
                 if lot:
                     both = np.bincount(np.concatenate(lot), minlength=len(numbers))
                     both[: len(counts)] += counts
                     counts, total = both, total + sum(map(len, lot))
                 if len(numbers) >= BLOCK_DISTINCT or total >= BLOCK_SEGMENTS:
-                    yield closed()
+                    yield from closed()
                     block, numbers, counts, total = block + 1, _Numbers(), np.zeros(0, np.int64), 0
         if numbers:
-            yield closed()
+            yield from closed()
 
     return run
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """Segment numbers as their count and zstd of their lowest bytes, then of the next ones, and so on."""
+    return len(codes).to_bytes(8, "little") + pa.compress(codes.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd"), np.uint8).reshape(4, n).T.copy().view(np.uint32).ravel()
+
+
 def _codes(docs: pa.Table) -> Iterator[np.ndarray | None]:
     for c in docs["codes"]:
-        yield None if not c.is_valid else np.frombuffer(c.as_buffer(), np.uint32)
+        yield unpacked(c.as_py()) if c.is_valid else None
 
 
 def _uncounted(docs: pa.Table, bad: pa.Table) -> pa.Table:
@@ -221,8 +237,41 @@ def _uncounted(docs: pa.Table, bad: pa.Table) -> pa.Table:
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def _compose(docs: pa.Table, entries: pa.Table) -> pa.Table:
+#: Entries that a task holds before it parts them by block, and what a part of them is.
+PIECE_ROWS = 1 << 17
+PIECE = pa.schema([("code", pa.int32()), ("exact", pa.bool_()), *((c, pa.int64()) for c in SUMS), ("groups", pa.string())])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries as compressed tables by block, which shuffle for a third of what rows do."""
+
+    def dealt(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        blocks = np.concatenate([b["at"].to_numpy() for b in held])
+        order = np.argsort(blocks, kind="stable")
+        whole = pa.Table.from_batches([b.select(PIECE.names).cast(PIECE) for b in held]).take(order)
+        of, starts = np.unique(blocks[order], return_index=True)
+        pieces = []
+        for i, j in zip(starts, [*starts[1:], len(order)], strict=True):
+            sink = pa.BufferOutputStream()
+            with ipc.new_stream(sink, PIECE, options=ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(whole.slice(i, j - i).combine_chunks())
+            pieces.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(pieces, pa.binary())], ["at", "piece"])
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= PIECE_ROWS:
+            yield dealt(held)
+            held, n = [], 0
+    if n:
+        yield dealt(held)
+
+
+def _compose(docs: pa.Table, pieces: pa.Table) -> pa.Table:
     """Sums and groups of each document of a block from those of its segments."""
+    entries = pa.concat_tables([PIECE.empty_table(), *(ipc.open_stream(x.as_buffer()).read_all() for x in pieces["piece"])]).combine_chunks()
     order = np.argsort(entries["code"].to_numpy())
     of = {c: entries[c].to_numpy()[order] for c in ("exact", *SUMS)}
     groups = entries["groups"].to_numpy(zero_copy_only=False)[order]
@@ -256,10 +305,10 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     id_type = rows.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    schema = f"block long, id {id_type.simpleString()}, codes binary, segs array<string>, counts array<bigint>"
-    coded = cut(rows.mapInArrow(_number_segments(path_a, path_b, to_arrow_type(id_type)), schema), "coded")
+    schema = f"block long, id {id_type.simpleString()}, codes binary, first int, segs array<string>, counts array<bigint>"
+    coded = cut(rows.mapInArrow(_number_segments(path_a, path_b, to_arrow_type(id_type)), schema), "coded", "zstd")
     numbered = coded.where("segs is null").select("block", "id", "codes")
-    entries = coded.where("segs is not null").select(F.col("block").alias("at"), F.posexplode(F.arrays_zip("segs", "counts")).alias("code", "e")).select("at", "code", F.col("e.segs").alias("seg"), F.col("e.counts").alias("n"))
+    entries = coded.where("segs is not null").select(F.col("block").alias("at"), "first", F.posexplode(F.arrays_zip("segs", "counts")).alias("k", "e")).select("at", (F.col("first") + F.col("k")).alias("code"), F.col("e.segs").alias("seg"), F.col("e.counts").alias("n"))
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _aligner(path_a, path_b)
@@ -271,7 +320,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
                 columns = zip(*coder.aligned(part["seg"].to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(columns, kinds, strict=True)), part["n"]], names)
 
-    known = cut(entries.groupBy("seg").agg(F.sum("n").alias("n")).mapInArrow(aligned, ALIGNED + ", n long"), "aligned-segments")
+    known = entries.groupBy("seg").agg(F.sum("n").alias("n")).mapInArrow(aligned, ALIGNED + ", n long")
+    known = cut(known.withColumn("k", F.monotonically_increasing_id()), "aligned-segments", "zstd")
     counted = known
     wrong = known.where("not exact").select("seg")
     if not wrong.isEmpty():  # links of documents that hold such a segment don't count
@@ -281,16 +331,18 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
         less = less.join(entries.select("at", "code", "seg"), ["at", "code"]).groupBy("seg").agg(F.sum("n").alias("less"))
         counted = known.join(less, "seg", "left").withColumn("n", F.col("n") + F.coalesce("less", F.lit(0)))
 
-    links = counted.where("exact").select("seg", "n", F.explode(F.arrays_zip("la", "lb")).alias("p")).select("seg", "n", "p.la", "p.lb")
+    links = counted.where("exact").select("k", "n", F.explode(F.arrays_zip("la", "lb")).alias("p")).select("k", "n", "p.la", "p.lb")
     pairs = cut(links.groupBy("la", "lb").agg(F.sum("n").alias("c")), "id-pairs")
     top = pairs.groupBy("lb").agg(F.max("c").alias("top"))
     pairs = pairs.join(top, "lb").select("la", "lb", "c", (F.col("c") == F.col("top")).cast("long").alias("best"))
-    scored = links.drop("n").join(pairs, ["la", "lb"]).groupBy("seg").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("c").alias("count_sum"))
-    scored = known.select("seg", "exact", "n_a", "n_b", "n_groups", "groups").join(scored, "seg", "left").fillna(0, ["n_links", "n_best", "count_sum"])
-    entries = entries.drop("n").join(scored, "seg").drop("seg")
+    sums = links.drop("n").join(pairs, ["la", "lb"]).groupBy("k").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("c").alias("count_sum"))
+    scored = known.select("k", "seg", "exact", "n_a", "n_b", "n_groups", "groups").join(sums, "k", "left").drop("k").fillna(0, ["n_links", "n_best", "count_sum"])
+    scored = cut(scored, "scored-segments", "zstd")
+    forget(known)
+    pieces = entries.drop("n").join(scored, "seg").drop("seg").mapInArrow(_pieces, "at long, piece binary")
 
     out = f"id {id_type.simpleString()}, {', '.join(f'{c} long' for c in SUMS)}, groups string"
-    return numbered.groupBy("block").cogroup(entries.groupBy("at")).applyInArrow(_compose, out).withColumnRenamed("id", id_col)
+    return numbered.groupBy("block").cogroup(pieces.groupBy("at")).applyInArrow(_compose, out).withColumnRenamed("id", id_col)
 
 
 def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
