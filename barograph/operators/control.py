@@ -13,6 +13,7 @@ from barograph.functions.instrument import Instrument
 from barograph.operators.fills import simulate
 from barograph.operators.metrics import SCHEMA, metrics_of
 from barograph.operators.signals import arrays_of, evaluate_signal
+from barograph.sources.shared import written
 
 
 def shuffled_bars(bars: DataFrame, trials: int = 5, seed: int = 0) -> DataFrame:
@@ -34,6 +35,7 @@ def shuffled_bars(bars: DataFrame, trials: int = 5, seed: int = 0) -> DataFrame:
 
 def control_runs(bars: DataFrame, signal: Callable, params: dict[str, Any], tf: str, trials: int = 5, seed: int = 0, instrument: Instrument = Instrument(), capital: float = 10_000.0, risk_pct: float = 0.01) -> DataFrame:
     """Metrics by symbol and trial; trial -1 is the real order."""
+    bars = written(bars, "control-bars")
     real = bars.withColumn("trial", F.lit(-1)).select("trial", *bars.columns)
     rows = real.unionByName(shuffled_bars(bars, max(1, int(trials)), seed))
 

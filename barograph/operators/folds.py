@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barograph.functions.columns import finite, walk_forward_verdict
+from barograph.operators.intervals import interval_join
 from barograph.operators.search import ParamSpec, best, grid, run_all, score
+from barograph.sources.shared import written
 
 
 def _folds(spark: SparkSession, n_bars: int, train: int, test: int, step: int | None, embargo: int, anchored: bool) -> DataFrame:
@@ -45,11 +47,16 @@ def train_mask(i: Column, n_bars: Column, purge: int, embargo: int = 0) -> Colum
 
 
 def attribute(trades: DataFrame, folds: DataFrame, start: str = "test_start", stop: str = "test_end") -> DataFrame:
-    """Trades with the fold in whose range they were entered.
+    """Trades with each fold in whose range they were entered; an equality join on cells of ranges, however many folds there are."""
+    return interval_join(trades, folds, "entry_i", start, stop)
 
-    ``folds`` is a table of ranges; when it is short Spark sends it to the tasks, and entries are matched by range.
-    """
-    return trades.join(folds, (trades["entry_i"] >= folds[start]) & (trades["entry_i"] < folds[stop]))
+
+def trained_bars(bars: DataFrame, folds: DataFrame, n_bars: int, purge: int, embargo: int = 0) -> DataFrame:
+    """fold and bars, how many bars ``train_mask`` leaves to each fold: all but those in its barred range."""
+    low, high = F.greatest(F.lit(0).cast("long"), F.col("test_start") - purge), F.least(F.lit(n_bars).cast("long"), F.col("test_end") + embargo)
+    barred = folds.select("fold", low.alias("low"), high.alias("high"))
+    lost = interval_join(bars.select("i"), barred, "i", "low", "high").groupBy("fold").agg(F.count("*").alias("lost"))
+    return folds.select("fold").join(lost, "fold", "left").select("fold", (F.lit(n_bars) - F.coalesce("lost", F.lit(0))).cast("long").alias("bars"))
 
 
 def purge_width(trades: DataFrame, quantile: float = 0.99) -> DataFrame:
@@ -63,7 +70,7 @@ def walk_forward(bars: DataFrame, folds: DataFrame, spec: ParamSpec, signal: Cal
     All folds and configurations are one job. Runs see only the bars of their own range. Columns: fold, ranges,
     ord and parameters, train_score, test_score and the test's metrics.
     """
-    params = grid(bars.sparkSession, spec, most)
+    bars, params = written(bars, "walk-bars"), grid(bars.sparkSession, spec, most)
     names = params.columns
     train = folds.crossJoin(params).select("fold", F.col("train_start").alias("start"), F.col("train_end").alias("stop"), *names)
     scored = run_all(bars, train, signal, tf, **run).withColumn("score", score(min_trades=min_trades))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from barograph.functions.columns import finite, plateau_verdict
+from barograph.sources.shared import written
 
 
 def swept_axes(evaluations: DataFrame, names: list[str]) -> list[str]:
@@ -27,6 +28,7 @@ def plateau(evaluations: DataFrame, axes: list[str]) -> DataFrame:
     a finite score don't count. Robustness is their mean over the score, null unless the score is positive. One equality
     join an axis; configurations without axes have no neighbours.
     """
+    evaluations = written(evaluations, "evaluations")  # a sweep is read for each axis and not made again
     ranked = evaluations
     for a in axes:
         values = evaluations.select(a).distinct().withColumn(f"_r_{a}", F.row_number().over(Window.orderBy(a)))  # few: the values of one axis

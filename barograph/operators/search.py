@@ -17,6 +17,7 @@ from barograph.functions.instrument import Instrument
 from barograph.operators.fills import simulate
 from barograph.operators.metrics import METRICS, SCHEMA, metrics_of
 from barograph.operators.signals import arrays_of, evaluate_signal
+from barograph.sources.shared import written
 
 OBJECTIVES = ("net_profit", "profit_factor", "expectancy_r", "sharpe", "sortino", "calmar", "sqn", "return_over_maxdd")
 #: Bars of one series that are sent to all tasks at most (some 60 bytes each); longer ones are shuffled by run.
@@ -157,11 +158,11 @@ def grid_search(bars: DataFrame, spec: ParamSpec, signal: Callable, tf: str, obj
     """Every configuration of the grid (or its first ``max_evaluations``) with metrics and score."""
     params = grid(bars.sparkSession, spec, most)
     params = params if max_evaluations is None else params.where(F.col("ord") < max_evaluations)
-    return run_all(bars, params, signal, tf, **run).withColumn("score", score(objective, min_trades))
+    return run_all(written(bars, "swept-bars"), params, signal, tf, **run).withColumn("score", score(objective, min_trades))
 
 
 def random_search(bars: DataFrame, spec: ParamSpec, signal: Callable, tf: str, n: int = 100, seed: int = 0, objective: str = "return_over_maxdd", min_trades: int = 0, **run: Any) -> DataFrame:
-    return run_all(bars, sample(bars.sparkSession, spec, n, seed), signal, tf, **run).withColumn("score", score(objective, min_trades))
+    return run_all(written(bars, "swept-bars"), sample(bars.sparkSession, spec, n, seed), signal, tf, **run).withColumn("score", score(objective, min_trades))
 
 
 def best(evaluations: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

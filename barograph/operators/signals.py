@@ -26,6 +26,8 @@ BARRED_NAMES = {
 }
 BARRED_MODULES = {"builtins", "ctypes", "http", "importlib", "marshal", "os", "pathlib", "pickle", "requests", "shutil", "socket", "subprocess", "sys", "urllib"}
 SERIES = {"open", "high", "low", "close", "volume", "spread", "ms"}
+#: Names of numpy that reach files or the system.
+FILE_NAMES = {"DataSource", "ctypeslib", "dump", "f2py", "fromfile", "fromregex", "genfromtxt", "lib", "load", "loadtxt", "memmap", "open_memmap", "save", "savetxt", "savez", "savez_compressed", "testing", "tofile"}
 #: Built-ins that a signal's source sees.
 ALLOWED = {
     f.__name__: f
@@ -107,6 +109,7 @@ def validate_source(source: str) -> Verdict:
         tree = ast.parse(source)
     except SyntaxError as e:
         return Verdict([f"line {e.lineno}: {e.msg}"])
+    series = _series_names(tree)
     for node in ast.walk(tree):
         at = f"line {getattr(node, 'lineno', 0)}"
         if isinstance(node, ast.Import | ast.ImportFrom):
@@ -115,9 +118,13 @@ def validate_source(source: str) -> Verdict:
             out.errors.append(f"{at}: {node.id} is not allowed")
         elif isinstance(node, ast.Attribute) and node.attr.startswith("__"):
             out.errors.append(f"{at}: {node.attr} is not allowed")
-        elif isinstance(node, ast.Subscript) and isinstance(node.value, ast.Attribute) and node.value.attr in SERIES and isinstance(node.value.value, ast.Name) and node.value.value.id == "bars":
+        elif isinstance(node, ast.Attribute) and node.attr in FILE_NAMES:
+            out.errors.append(f"{at}: {node.attr} reads or writes files")
+        elif isinstance(node, ast.Call) and (getattr(node.func, "attr", None) or getattr(node.func, "id", None)) == "roll" and _rolls_ahead(node):
+            out.errors.append(f"{at}: {ast.unparse(node)} moves later bars to earlier places")
+        elif isinstance(node, ast.Subscript) and (isinstance(node.value, ast.Attribute) and node.value.attr in SERIES or isinstance(node.value, ast.Name) and node.value.id in series):
             if why := _ahead(node.slice):
-                out.errors.append(f"{at}: bars.{node.value.attr}[{ast.unparse(node.slice)}] {why}")
+                out.errors.append(f"{at}: {ast.unparse(node)} {why}")
     found = [n for n in tree.body if isinstance(n, ast.FunctionDef) and n.name == "signal"]
     if not found:
         out.errors.append("there is no function signal(bars, p)")
@@ -137,20 +144,47 @@ def validate_source(source: str) -> Verdict:
     return out
 
 
+def _series_names(tree: ast.AST) -> set[str]:
+    """Names that are given a series (``c = bars.close``), straight or by way of another such name."""
+    names: set[str] = set()
+    is_series = lambda e: isinstance(e, ast.Attribute) and e.attr in SERIES or isinstance(e, ast.Name) and e.id in names
+    while True:
+        found = set(names)
+        for node in ast.walk(tree):
+            targets = node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, ast.AnnAssign | ast.NamedExpr) and node.value else []
+            for target in targets:
+                sides = zip(target.elts, node.value.elts, strict=False) if isinstance(target, ast.Tuple | ast.List) and isinstance(node.value, ast.Tuple | ast.List) else [(target, node.value)]
+                found |= {t.id for t, v in sides if isinstance(t, ast.Name) and is_series(v)}
+        if found == names:
+            return names
+        names = found
+
+
 def _ahead(index: ast.expr) -> str:
-    """Why an index into a series reaches past the current bar; empty if it doesn't."""
-    number = lambda e: -number(e.operand) if isinstance(e, ast.UnaryOp) and isinstance(e.op, ast.USub) and isinstance(e.operand, ast.Constant) else e.value if isinstance(e, ast.Constant) and isinstance(e.value, int) else None
-    if isinstance(index, ast.Slice) and index.lower is not None:
-        n = number(index.lower)
-        if n is not None and n > 0:
-            return "shifts later bars to earlier places"
-        if n is not None and n < 0:
-            return "reads from the end"
-    if isinstance(index, ast.BinOp) and isinstance(index.op, ast.Add) and any((number(x) or 0) > 0 for x in (index.left, index.right)):
-        return "reads a later bar"
+    """Why an index into a series may reach past the current bar; empty if it can't. What can't be read as constant counts as reaching."""
+    if isinstance(index, ast.Slice):
+        if index.lower is not None and not (isinstance(index.lower, ast.Constant) and index.lower.value in (0, None)):
+            return "shifts later bars to earlier places, or reads from the end"
+        step = index.step
+        if step is not None and not (isinstance(step, ast.Constant) and isinstance(step.value, int) and step.value > 0):
+            return "reads backwards"
+        return ""
+    if isinstance(index, ast.Tuple):
+        return next((why for e in index.elts if (why := _ahead(e))), "")
+    for node in ast.walk(index):
+        if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add):
+            return "reads a later bar"
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub) or isinstance(node, ast.Constant) and isinstance(node.value, int) and node.value < 0:
+            return "reads a later bar, or from the end"
     return ""
 
 
+def _rolls_ahead(call: ast.Call) -> bool:
+    """Whether a call of roll moves values to earlier places, or may."""
+    shift = call.args[1] if len(call.args) > 1 else next((k.value for k in call.keywords if k.arg == "shift"), None)
+    return not (isinstance(shift, ast.Constant) and isinstance(shift.value, int) and shift.value >= 0)
+
+
 def compile_source(source: str):
     """``signal`` of a source that passes ``validate_source``; it sees numpy, the indicators and plain built-ins."""
     verdict = validate_source(source)

@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict
 from typing import Any
 
@@ -20,6 +21,7 @@ from barograph.operators.metrics import METRICS, metrics
 from barograph.operators.quality import quality_report
 from barograph.operators.signals import SIGNALS, arrays_of, compile_source, evaluate_signal, validate_source
 from barograph.sources.artifacts import Artifacts, fingerprint
+from barograph.sources.barstore import BarStore
 from barograph.sources.catalog import Catalog
 from barograph.sources.csv_source import SourceSpec, read_csv
 from barograph.streaming.load import load_stream
@@ -54,16 +56,16 @@ class Engine:
         self.catalog, self.artifacts = Catalog(spark, f"{self.root}/catalog"), Artifacts(spark, f"{self.root}/artifacts")
 
     # data
-    def load_data(self, path: str, name: str, timeframe: str = "", base_timeframe: str = "", spec: SourceSpec = SourceSpec(), instrument: Instrument | None = None, stream: bool = False) -> dict[str, Any]:
+    def load_data(self, path: str, name: str, timeframe: str = "", base_timeframe: str = "", spec: SourceSpec = SourceSpec(), instrument: Instrument | None = None, stream: bool = False, progress: Callable[[int, int, int], None] | None = None) -> dict[str, Any]:
         """Read a CSV source, store its bars at the base timeframe and register it; the last load of a name counts.
 
         ``stream``: read the file once, as a stream of byte ranges; ticks only. Bars are the same either way. The streamed quality follows
-        the batches: quantiles are those of sketches (see ``streaming.load``), and a batch that goes back in time counts as one step out of order.
+        the batches, of which ``progress`` is told (number, rows so far, milliseconds): quantiles are those of sketches (see ``streaming.load``), and a batch that goes back in time counts as one step out of order.
         """
         if stream:
             base = base_for(timeframe, base_timeframe)
             # a load of its own each time, so that the last one counts and not what earlier ones have read
-            streamed = load_stream(self.spark, path, base, spec, name, f"{self.root}/streams/{uuid.uuid4().hex}")
+            streamed = load_stream(self.spark, path, base, spec, name, f"{self.root}/streams/{uuid.uuid4().hex}", progress=progress)
             kind, tick, late, made, told = "tick", spec.tick_size or 10.0**-streamed.decimals, streamed.late_rows, streamed.bars, streamed.quality
         else:
             source = read_csv(self.spark, path, spec, name)
@@ -89,11 +91,18 @@ class Engine:
     def list_data(self) -> list[dict[str, Any]]:
         return [r.asDict() | {"serves": served_by(r.base_timeframe)} for r in self.catalog.table("data_source").orderBy(F.desc("created_at")).collect()]
 
-    def bars_for(self, name: str, timeframe: str = "") -> tuple[DataFrame, str]:
-        """Indexed bars of a source and their timeframe: as asked, or its default. A source without any spread has no spread column."""
+    def bars_for(self, name: str, timeframe: str = "", start: int | None = None, stop: int | None = None) -> tuple[DataFrame, str]:
+        """Indexed bars of a source and their timeframe: as asked, or its default. A source without any spread has no spread column.
+
+        A timeframe is rolled up when it is first asked for, and kept. ``start``, ``stop``: milliseconds of the bars that are read.
+        """
         row = self.catalog.source(name)
         tf = normal(timeframe or row["default_timeframe"] or row["base_timeframe"])
-        made = B.roll_up(self.artifacts.get_table(row["bars_sha"]), tf, row["base_timeframe"])
+        store, base = BarStore(self.spark, f"{self.root}/bars/{row['bars_sha']}"), row["base_timeframe"]
+        if not store.has(base):
+            store.put(self.artifacts.get_table(row["bars_sha"]), base)
+        store.derived(base, tf)
+        made = store.read(tf, start, stop)
         if not made.where("spread <> 0").head(1):
             made = made.drop("spread")
         return B.with_index(made), tf

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +11,16 @@ from pyspark.sql import functions as F
 from barograph.functions import columns as C
 from barograph.functions.instrument import REASONS
 from barograph.operators import bars as B
-from barograph.operators import charts, control, fills, folds, plateau, quality, search, signals
+from barograph.operators import charts, control, fills, folds, plateau, quality, search, signal_table, signals
 from barograph.operators import indicators as I
-from barograph.operators.ordered import rolling
+from barograph.operators.intervals import interval_join
 from barograph.operators.metrics import METRICS, metrics, rates
+from barograph.operators.ordered import rolling
 from barograph.plans import sql as S
 from barograph.sources import catalog
+from barograph.sources.barstore import BarStore
 from barograph.sources.csv_source import SourceSpec
-from barograph.sources.shared import shared_path
+from barograph.sources.shared import shared_path, written
 from barograph.sources.ticks import ticks_raw, ticks_walk
 from barograph.streaming.bars import finish, read_ticks, run_to_end, stream_bars
 from barograph.streaming.load import RANK_ERROR, load_stream
@@ -90,6 +93,30 @@ def bar_slice(spark, d):
     return r6(B.slice_bars(walk_bars(spark, d), 100, 200).select("symbol", "i", "ms", "close"), "close")
 
 
+FROM_MS, TO_MS = 1_704_672_000_000, 1_705_276_800_000
+
+
+@query(S.with_(S.RAW, S.bars("h1", "ticks_raw", "H1")) + f"SELECT {S.BAR_OUT} FROM h1 WHERE ms >= {FROM_MS} AND ms < {TO_MS} AND symbol <> 'view'")
+def stored_bars_slice(spark, d):
+    """A week of hourly bars of some symbols, from stored M15 bars and what is derived from them."""
+    store, symbols = BarStore(spark, shared_path(spark, "bars")), [r.symbol for r in ticks_raw(spark, d).where("symbol <> 'view'").select("symbol").distinct().collect()]
+    store.put(B.bars_from_ticks(ticks_raw(spark, d), "M15"), "M15")
+    store.derived("M15", "H1")
+    return bar_out(store.read("H1", FROM_MS, TO_MS, symbols))
+
+
+@query(
+    S.with_(S.RAW, "w AS (SELECT DISTINCT symbol, ms // 3600000 * 3600000 AS start_ms FROM ticks_raw)")
+    + "SELECT w.symbol, start_ms, count(*) AS ticks FROM w JOIN ticks_raw t ON t.symbol = w.symbol AND t.ms >= start_ms AND t.ms < start_ms + 21600000 + start_ms // 3600000 % 5 * 1000000 GROUP BY ALL"
+)
+def window_tick_counts(spark, d):
+    """Ticks in windows of several lengths that begin at each hour and overlap."""
+    t = ticks_raw(spark, d).select("symbol", "ms")
+    starts = t.select("symbol", C.bucket(F.col("ms"), "H1").alias("start_ms")).distinct()
+    windows = starts.withColumn("stop_ms", F.col("start_ms") + 21_600_000 + F.floor(F.col("start_ms") / 3_600_000) % 5 * 1_000_000)
+    return interval_join(t, windows, "ms", "start_ms", "stop_ms", ["symbol"]).groupBy("symbol", "start_ms").agg(F.count("*").alias("ticks"))
+
+
 @query(S.with_(S.WALK) + "SELECT max(length(regexp_extract(cast(bid AS varchar), '\\.([^.]*)$', 1)))::int AS decimals FROM ticks_walk")
 def detect_decimals(spark, d):
     return quality.decimals(ticks_walk(spark, d), ["bid"])
@@ -226,6 +253,14 @@ def ema_cross_signals(spark, d):
     return sig_out(signals.ema_cross(walk_bars(spark, d), CROSS))
 
 
+@query(REC(*CROSS_CTES) + f"SELECT {SIG_OUT} FROM sig")
+def ema_cross_udtf(spark, d):
+    """The same signals from SQL, by a table function over the bars."""
+    name = signal_table.register(spark)
+    walk_bars(spark, d).createOrReplaceTempView("barograph_bars")
+    return sig_out(spark.sql(f"SELECT * FROM {name}(TABLE(barograph_bars), 'ema_cross', '{json.dumps(CROSS)}')"))
+
+
 @query(
     REC(
         S.TR, S.atr(24),
@@ -423,10 +458,9 @@ def anchored_folds(spark, d):
     SELECT fold, count(*) AS bars FROM f JOIN h1 ON NOT (i >= greatest(0, a - 30) AND i < least(n, b + 10)) GROUP BY fold"""
 )
 def purged_mask(spark, d):
-    b = walk_bars(spark, d)
+    b = written(walk_bars(spark, d), "bars")
     n = b.count()
-    each = folds.purged_kfold(spark, n, 5).crossJoin(b.select("i"))
-    return each.where(folds.train_mask(F.col("i"), F.lit(n), 30, 10)).groupBy("fold").agg(F.count("*").alias("bars"))
+    return folds.trained_bars(b, folds.purged_kfold(spark, n, 5), n, 30, 10)
 
 
 @query(REC(*RUN_CTES, "fo AS (SELECT k::int AS fold, k * 100 + 300 AS a, k * 100 + 400 AS b FROM generate_series(0, 100) g(k) WHERE k * 100 + 400 <= (SELECT count(*) FROM h1))") + "SELECT fold, k FROM trades t JOIN fo ON t.entry_i >= fo.a AND t.entry_i < fo.b")
@@ -442,7 +476,7 @@ def purge_width(spark, d):
 
 @query()
 def walk_forward(spark, d):
-    b = walk_bars(spark, d)
+    b = written(walk_bars(spark, d), "bars")
     f = folds.rolling_folds(spark, b.count(), 300, 100)
     out = folds.walk_forward(b, f, SPEC, signals.ema_cross_arrays, "H1")
     return out.select("fold", "ord", C.plain(F.col("train_score")).alias("train_score"), C.plain(F.col("test_score")).alias("test_score"), "n_trades")
@@ -450,7 +484,7 @@ def walk_forward(spark, d):
 
 @query()
 def walk_forward_summary(spark, d):
-    b = walk_bars(spark, d)
+    b = written(walk_bars(spark, d), "bars")
     f = folds.rolling_folds(spark, b.count(), 300, 100)
     s = folds.summary(folds.walk_forward(b, f, SPEC, signals.ema_cross_arrays, "H1"))
     return s.withColumns({c: C.plain(F.col(c)) for c in ("mean_oos_score", "efficiency")})

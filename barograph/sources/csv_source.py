@@ -57,11 +57,22 @@ class Source:
     resolution_ms: int
 
 
-def header_of(spark: SparkSession, path: str) -> list[str]:
+def first_line(spark: SparkSession, path: str) -> str:
     first = spark.read.text(path).head()
-    if first is None or not first.value.strip("﻿ \t"):
+    line = first.value.removeprefix("\ufeff") if first else ""
+    if not line.strip(" \t"):
         raise ValueError(f"{path} is empty")
-    return [c.strip().strip('"') for c in first.value.removeprefix("﻿").split(",")]
+    return line
+
+
+def separator_of(line: str) -> str:
+    """A tab if the header has one, else a comma."""
+    return "\t" if "\t" in line else ","
+
+
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    line = first_line(spark, path)
+    return [c.strip().strip('"') for c in line.split(separator_of(line))]
 
 
 def resolve_columns(header: list[str], spec: SourceSpec, path: str = "") -> tuple[dict[str, str], str]:
@@ -133,7 +144,7 @@ def scale_of(raw: DataFrame, prices: list[str], spec: SourceSpec) -> tuple[int,
 
 def read_text(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
     """All columns as text, so that the written precision is still there."""
-    return spark.read.csv(path, header=True, schema=StructType([StructField(c, StringType()) for c in header]), mode="PERMISSIVE")
+    return spark.read.csv(path, header=True, sep=separator_of(first_line(spark, path)), schema=StructType([StructField(c, StringType()) for c in header]), mode="PERMISSIVE")
 
 
 def layout_of(raw: DataFrame, columns: dict[str, str], spec: SourceSpec, symbol: str, scale: int | None = None) -> DataFrame:

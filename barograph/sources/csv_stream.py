@@ -103,7 +103,7 @@ def lines_of(path: str, start: int, stop: int) -> tuple[bytes, int]:
         return b"".join(parts), first
 
 
-def rows_of(path: str, file_no: int, start: int, stop: int, header: list[str]) -> pa.RecordBatch | None:
+def rows_of(path: str, file_no: int, start: int, stop: int, header: list[str], sep: str = ",") -> pa.RecordBatch | None:
     """Columns of the range's lines as text, and seq, which grows with files and lines. The first line of a file is its header."""
     data, first = lines_of(path, start, stop)
     if not start:
@@ -119,6 +119,7 @@ def rows_of(path: str, file_no: int, start: int, stop: int, header: list[str]) -
     table = csv.read_csv(
         BytesIO(data),
         read_options=csv.ReadOptions(column_names=header, use_threads=False, block_size=max(len(data) + 1, 1 << 16)),
+        parse_options=csv.ParseOptions(delimiter=sep),
         convert_options=csv.ConvertOptions(column_types=dict.fromkeys(header, pa.string()), strings_can_be_null=False),
     )
     if table.num_rows != len(begins):
@@ -127,7 +128,7 @@ def rows_of(path: str, file_no: int, start: int, stop: int, header: list[str]) -
     return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in table.columns), seq], [*header, "_seq"])
 
 
-def stream_text(spark: SparkSession, path: str, header: list[str], range_bytes: int = 16 << 20, batch_ranges: int = 64) -> DataFrame:
+def stream_text(spark: SparkSession, path: str, header: list[str], range_bytes: int = 16 << 20, batch_ranges: int = 64, sep: str = ",") -> DataFrame:
     """A stream of the rows of a CSV file or folder: all columns as text and ``_seq``, which grows in file order.
 
     A micro-batch has at most ``batch_ranges`` ranges of ``range_bytes``; a task holds one range at a time. A file's last line
@@ -139,7 +140,7 @@ def stream_text(spark: SparkSession, path: str, header: list[str], range_bytes:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                rows = rows_of(r["path"], r["file_no"], r["start"], r["stop"], header)
+                rows = rows_of(r["path"], r["file_no"], r["start"], r["stop"], header, sep)
                 if rows is not None:
                     yield rows
 

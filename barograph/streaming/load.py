@@ -6,6 +6,8 @@ written under the batch's number, so that a batch that is run again replaces wha
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from barograph.functions.columns import bucket
 from barograph.operators.ordered import largest
 from barograph.operators.quality import ordered
-from barograph.sources.csv_source import SourceSpec, header_of, layout_of, resolve_columns, scale_of
+from barograph.sources.csv_source import SourceSpec, first_line, header_of, layout_of, resolve_columns, scale_of, separator_of
 from barograph.sources.csv_stream import stream_text
 from barograph.sources.shared import shared_path
 
@@ -117,24 +119,31 @@ def typed_stream(spark: SparkSession, path: str, spec: SourceSpec, symbol: str,
     if kind != "tick":
         raise NotImplementedError("only ticks can be streamed")
     scale = None if spec.tick_size is None else scale_of(None, [], spec)[0]
-    return layout_of(stream_text(spark, path, header, range_bytes, batch_ranges), columns, spec, symbol, scale)
+    return layout_of(stream_text(spark, path, header, range_bytes, batch_ranges, separator_of(first_line(spark, path))), columns, spec, symbol, scale)
 
 
-def load_stream(spark: SparkSession, path: str, tf: str, spec: SourceSpec = SourceSpec(), symbol: str = "", at: str | None = None, range_bytes: int = 16 << 20, batch_ranges: int = 64) -> Streamed:
+def load_stream(spark: SparkSession, path: str, tf: str, spec: SourceSpec = SourceSpec(), symbol: str = "", at: str | None = None, range_bytes: int = 16 << 20, batch_ranges: int = 64, progress: Callable[[int, int, int], None] | None = None) -> Streamed:
     """Bars of ``tf`` and quality of a CSV file or folder of ticks, read once as a stream. ``at``: folder for its state and parts.
 
     With the same ``at`` a load goes on after the last whole batch, and reads what has come since. Bars equal those of the whole
-    load in any order of the ticks, since parts of a bar are merged and none is dropped as late.
+    load in any order of the ticks, since parts of a bar are merged and none is dropped as late. ``progress`` is told of
+    each batch: its number, the rows so far and its milliseconds.
     """
     at = at or shared_path(spark, "stream-load")
     ticks = typed_stream(spark, path, spec, symbol, range_bytes, batch_ranges)
 
+    said = {"rows": 0}
+
     def each(batch: DataFrame, number: int) -> None:
+        began = time.monotonic()
         batch.persist()
         try:
             partial_bars(batch, tf).write.mode("overwrite").parquet(f"{at}/bars/batch={number}")
             digits = batch.groupBy("symbol").agg(F.max("digits").alias("digits"))
             summary(batch.drop("digits")).join(digits, "symbol").write.mode("overwrite").parquet(f"{at}/quality/batch={number}")
+            if progress is not None:
+                said["rows"] += spark.read.parquet(f"{at}/quality/batch={number}").agg(F.sum("rows")).first()[0] or 0
+                progress(number, said["rows"], round(1000 * (time.monotonic() - began)))
         finally:
             batch.unpersist()
 

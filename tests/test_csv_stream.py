@@ -181,3 +181,11 @@ def test_engine_streams_what_it_reads_whole(spark, tmp_path):
         made[stream] = (rows(e.artifacts.get_table(row["bars_sha"])), row["rows"], row["tick_size"], row["digest"], row["first_ms"], row["default_bars"])
         assert row["quality"]["max_duplicate_run"] > 1
     assert made[True] == made[False] and made[True][2] == 0.001
+
+
+def test_tabs_and_progress(spark, tmp_path):
+    (tmp_path / "x.tsv").write_text("\n".join([HEADER, *(line(*t) for t in ticks(600, 6))]).replace(",", "\t"))
+    told = []
+    got = load_stream(spark, f"file://{tmp_path}/x.tsv", "M15", range_bytes=9_000, batch_ranges=1, progress=lambda *a: told.append(a))
+    assert [t[0] for t in told] == list(range(got.batches)) and told[-1][1] == 600 and all(a[1] < b[1] for a, b in zip(told, told[1:], strict=False))
+    assert rows(got.bars) == rows(bars_from_ticks(read_csv(spark, f"file://{tmp_path}/x.tsv").rows, "M15"))

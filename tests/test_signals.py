@@ -15,16 +15,21 @@ def signal(bars, p):
 RETURN = 'return {"long_entry": 0, "short_entry": 0, "stop_distance": 0, "target_distance": 0}'
 
 
-@pytest.mark.parametrize("line", ["import os", "from sys import path", "open('x')", "eval('1')", "x = bars.close.__class__", "x = bars.close[1:]", "x = bars.close[-1:]", "x = bars.high[i + 1]", "os.remove('x')", "getattr(bars, 'x')"])
+@pytest.mark.parametrize("line", ["import os", "from sys import path", "open('x')", "eval('1')", "x = bars.close.__class__", "x = bars.close[1:]", "x = bars.close[-1:]", "x = bars.high[i + 1]", "x = bars.close[i + n]", "x = bars.close[-n:]", "x = bars.close[n:]", "x = bars.close[i - -1]", "x = bars.close[-1]", "x = bars.close[::-1]", "c = bars.close; x = c[1:]", "c = bars.close; d, e = c, 1; x = d[i + 1]", "x = np.roll(bars.close, -1)", "x = np.roll(bars.close, shift=n)", "x = np.load('/etc/passwd')", "bars.close.tofile('x')", "os.remove('x')", "getattr(bars, 'x')"])
 def test_refused(line):
     assert not S.validate_source(f"def signal(bars, p):\n    {line}\n    {RETURN}").ok
 
 
-@pytest.mark.parametrize("line", ["x = bars.close[:-1]", "x = bars.close[0]", "x = bars.close[i - 1]", "x = p['n']", "x = np.diff(bars.volume)"])
+@pytest.mark.parametrize("line", ["x = bars.close[:-1]", "x = bars.close[0]", "x = bars.close[i - 1]", "x = p['n']", "x = np.diff(bars.volume)", "x = np.roll(bars.close, 1)", "c = bars.close; x = c[:-3]", "x = bars.close[::2]"])
 def test_accepted(line):
     assert S.validate_source(f"def signal(bars, p):\n    {line}\n    {RETURN}").ok
 
 
+@pytest.mark.parametrize("line", ["x = b.close[1:]", "x = b.close[i + 1]"])
+def test_the_bars_may_have_another_name(line):
+    assert not S.validate_source(f"def signal(b, p):\n    {line}\n    {RETURN}").ok
+
+
 def test_shape_of_the_source():
     assert S.validate_source(GOOD).ok
     for bad in ("def signal(bars):\n    " + RETURN, "def other(bars, p):\n    " + RETURN, "def signal(bars, p):\n    pass", "def signal(bars, p):\n    return {'long_entry': 0}", "def signal("):
