@@ -208,12 +208,72 @@ def seen(node: Node, visible: bool) -> tuple[bool, bool]:
     a = node.attrs
     if node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden") or (node.tag == "dialog" and "open" not in a):
         return False, False
+    display = ""
     for what, value in STYLE.findall(a.get("style", "")):
-        if what.lower() == "display" and value.lower() == "none":
-            return False, False
-        if what.lower() == "visibility":
-            visible = value.lower() not in ("hidden", "collapse")
-    return True, visible
+        if what.lower() == "display":
+            display = value.lower()
+        else:
+            visible = visible if value.lower() == "inherit" else value.lower() not in ("hidden", "collapse")
+    return display != "none", visible and display != "none"
+
+
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+RULE = re.compile(r"\s*(?:(@[^{};]*)([{;]|\Z)|([^{}@]+)\{([^{}]*)(?:\}|\Z)|.)", re.S)
+SELECTOR = re.compile(r"(\*|[a-z][\w-]*)?((?:[.#][\w-]+)*)", re.I)
+DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+
+
+def sheet_rules(css: str) -> list[tuple[str, frozenset[str], frozenset[str], list[tuple[str, str, bool]]]]:
+    """(element or '', classes, ids, [(property, value, important)]) of a style sheet's rules for display and visibility.
+
+    Selectors of one element, its classes and ids are read; those with relations, attributes or states aren't. Of blocks
+    with a condition those for all media or the screen count.
+    """
+    css, out, at = COMMENT.sub(" ", css), [], 0
+    while m := RULE.match(css, at):
+        at = m.end()
+        if m[1] and m[2] == "{":
+            depth, end = 1, at
+            for brace in re.finditer(r"[{}]", css[at:]):
+                depth += 1 if brace[0] == "{" else -1
+                end = at + brace.start()
+                if not depth:
+                    break
+            end = end if not depth else len(css)
+            if re.fullmatch(r"@media\s+(?:only\s+)?(?:all|screen)\s*", m[1], re.I):
+                out += sheet_rules(css[at:end])
+            at = end + 1
+        elif m[3] and (said := [(p.lower(), v.lower(), bool(i)) for p, v, i in DECLARED.findall(m[4])]):
+            for one in m[3].split(","):
+                if (s := SELECTOR.fullmatch(one.strip())) and s[0]:
+                    names = re.findall(r"[.#][\w-]+", s[2])
+                    out.append(((s[1] or "*").lower(), frozenset(n[1:] for n in names if n[0] == "."), frozenset(n[1:] for n in names if n[0] == "#"), said))
+    return out
+
+
+def apply_sheets(root: Node) -> None:
+    """Put what style sheets say of an element before its own style, and what they say is important behind it."""
+    nodes, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        nodes.append(node)
+        stack += [k for k in reversed(node.kids) if not isinstance(k, str)]
+    sheets = ["".join(k for k in n.kids if isinstance(k, str)) for n in nodes if n.tag == "style" and n.attrs.get("media", "all").lower() in ("", "all", "screen")]
+    rules = [r for css in sheets if "display" in css.lower() or "visibility" in css.lower() for r in sheet_rules(css)]
+    if not rules:
+        return
+    # by an id, a class or the element that it needs
+    keyed: dict[str, list[int]] = {}
+    for k, (tag, classes, ids, _) in enumerate(rules):
+        keyed.setdefault(f"#{min(ids)}" if ids else f".{min(classes)}" if classes else tag, []).append(k)
+    for node in nodes:
+        has, name = set(node.attrs.get("class", "").split()), node.attrs.get("id", "").strip()
+        near = {k for key in (node.tag, "*", f"#{name}", *(f".{c}" for c in has)) for k in keyed.get(key, ())}
+        fits = [k for k in near if rules[k][0] in ("*", node.tag) and rules[k][1] <= has and rules[k][2] <= {name}]
+        if fits:
+            fits.sort(key=lambda k: (len(rules[k][2]), len(rules[k][1]), rules[k][0] != "*", k))
+            said = [(f"{p}:{v}", i) for k in fits for p, v, i in rules[k][3]]
+            node.attrs["style"] = ";".join([*(d for d, i in said if not i), node.attrs.get("style", ""), *(d for d, i in said if i)])
 
 
 #: Work on an element: it yields the work on others that it waits for.
@@ -440,6 +500,14 @@ def table_lines(node: Node, visible: bool) -> Task:
         for start, stop, lines in r:
             if stop - start == 1:
                 wide[start] = max([wide[start], *map(width, lines)])
+    # A cell of several columns widens the last of them where they are too narrow for it; shorter spans come first.
+    need: dict[tuple[int, int], int] = {}
+    for r in rows_at:
+        for start, stop, lines in r:
+            if stop - start > 1 and lines:
+                need[start, stop] = max([need.get((start, stop), 0), *map(width, lines)])
+    for (start, stop), most in sorted(need.items(), key=lambda x: (x[0][1] - x[0][0], x[0])):
+        wide[stop - 1] += max(0, most - sum(wide[start:stop]) - 3 * (stop - start - 1))
     # before[k]: the width of the columns left of k, with a bar after each
     before = [0, *accumulate(w + 3 for w in wide)]
     set_: list[str] = []
@@ -462,6 +530,7 @@ def visible_text(page: str | None) -> str:
     if not page:
         return ""
     out, root = Lines(), build(page)
+    apply_sheets(root)
     holder = Node("div", {})
     holder.kids.append(root)
     finished(inside(holder, out, True))
@@ -471,7 +540,9 @@ def visible_text(page: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html", to: str = "text") -> DataFrame:
     """``pages`` with the visible text of ``html_col`` in place of it, as column ``to``.
 
-    A null page has an empty text. A column named ``to`` is replaced; all others pass through.
+    A null page has an empty text. Repeated rows are rows of their own; a page of any length is one row of one task, and takes time in
+    proportion to it; elements that are nested deeper than DEPTH are put beside the deepest. A column named ``to`` is replaced; all others
+    pass through.
     """
     kept = [c for c in pages.columns if c not in (to, html_col)]
     schema = StructType([f for f in pages.schema.fields if f.name in kept]).add(to, "string")

@@ -27,10 +27,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     """The rows of ``docs`` with ``text`` less its common lines, and n_lines, n_dropped.
 
     A line goes, in every document, if its key has at least ``min_chars`` code points and at
-    least ``min_docs`` rows hold it. Null and empty texts are one empty line; a document that
-    loses all lines keeps an empty text. Each row counts as a document, so a repeated row
-    counts again; a null id is a value like any other. Input columns named n_lines or
-    n_dropped are replaced; all others pass through.
+    least ``min_docs`` documents hold it. Null and empty texts are one empty line; a document that
+    loses all lines keeps an empty text. Rows with one id are one document, however many there are; a null
+    id is an id like any other. Input columns named n_lines or n_dropped are replaced; all others pass through.
 
     The counts are summed before their shuffle. A line that a third of the documents hold
     meets its count in a join of two shuffled sides, which Spark splits when it is skewed; only
@@ -41,7 +40,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     keys = F.transform(lines, lambda x: _hashed(x, min_chars))
     row = [F.col(id_col).alias("_ld_id"), F.xxhash64(text_col).alias("_ld_text")]
 
-    held = base.select(F.explode(F.array_distinct(keys)).alias("k")).where("k is not null").groupBy("k.a", "k.b").agg(F.count("*").alias("n"))
+    several = cut(base.groupBy(F.struct(id_col).alias("_ld_doc")).agg(F.count("*").alias("_ld_n")).where("_ld_n > 1").select("_ld_doc"), "ids-of-several-rows")
+    if several.isEmpty():
+        held = base.select(F.explode(F.array_distinct(keys)).alias("k")).where("k is not null").groupBy("k.a", "k.b").agg(F.count("*").alias("n"))
+    else:  # rows of an id of several are counted by that id
+        named = base.withColumn("_ld_row", F.struct(id_col)).join(several.withColumn("_ld_again", F.lit(True)), F.col("_ld_row") == F.col("_ld_doc"), "left")
+        each = named.select("_ld_doc", F.explode(F.array_distinct(keys)).alias("k")).where("k is not null")
+        held = each.groupBy("k.a", "k.b").agg((F.count_if(F.col("_ld_doc").isNull()) + F.count_distinct("_ld_doc")).alias("n"))
     common = cut(held.where(F.col("n") >= min_docs).select("a", "b"), "common-lines")
     at = base.select(*row, F.posexplode(keys).alias("pos", "k")).where("k is not null").select("_ld_id", "_ld_text", "pos", "k.a", "k.b")
     drops = at.join(common, ["a", "b"]).groupBy("_ld_id", "_ld_text").agg(F.collect_set("pos").alias("_ld_drop"))

@@ -52,28 +52,29 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(tokens, lambda x: ~x.rlike(r"^[a-z]+:$")))
 
 
-def mine_rules(labelled: DataFrame, min_support: float | None = None, min_confidence: float = 0.5, max_share: float = 0.5, url_col: str = "url", label_col: str = "label") -> DataFrame:
-    """Association rules ``tokens -> label`` of ``labelled`` (url, label boolean): antecedent, confidence, support, anchor.
+def mine_rules(labelled: DataFrame, min_support: float | None = None, min_confidence: float = 0.5, url_col: str = "url", label_col: str = "label") -> DataFrame:
+    """Association rules ``tokens -> label`` of ``labelled`` (url, label boolean): antecedent, classes, confidence, support, anchors.
 
     With a ``min_support`` (share of the labelled URLs) all rules are returned. Without one a rule needs MIN_COUNT
     URLs that have its tokens and the label, however many URLs there are; tokens that occur in just the same URLs are
-    then mined as one, and the rules name one of them each, in all choices: they fit the same URLs as all rules do,
-    and a long URL makes no power set. A rule's confidence is at least ``min_confidence`` and the labelled URLs' own rate.
+    then mined as one class, and a rule fits a URL that has a token of each of its ``classes``: just the URLs that the rules
+    with all choices of tokens fit, and a long URL makes no power set. ``antecedent`` has the first token of each class. A rule's
+    confidence is at least ``min_confidence`` and the labelled URLs' own rate.
 
-    Tokens in more than ``max_share`` of the URLs say nothing and are left out. ``anchor`` is the
-    antecedent's rarest token. Null urls or labels are left out; with no labelled rows there are no rules.
+    Tokens that all labelled URLs have are then left out, since a rule with them says what it says without. ``anchors`` is the
+    rarest class. Repeated rows count each; null urls or labels are left out; with no labelled rows there are no rules.
     """
     told = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull())
     rows = cut(told.select(F.monotonically_increasing_id().alias("id"), url_tokens(F.col(url_col)).alias("tokens"), F.col(label_col).cast("boolean").alias("label")), "labelled-urls")
     total, blocked = rows.agg(F.count("*"), F.count_if("label")).first()
-    schema = "antecedent array<string>, confidence double, support double, anchor string"
+    schema = "antecedent array<string>, classes array<array<string>>, confidence double, support double, anchors array<string>"
     least = MIN_COUNT if min_support is None else min_support * total
     if not total or least > total:
         return labelled.sparkSession.createDataFrame([], schema)
     each = rows.select("id", F.explode("tokens").alias("token"))
     # Two 64-bit hashes of the set of URLs that have the token.
     marks = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
-    counts = each.groupBy("token").agg(F.count("*").alias("df"), *marks).where((F.col("df") <= max_share * total) & (F.col("df") >= math.floor(least)))
+    counts = each.groupBy("token").agg(F.count("*").alias("df"), *marks).where((F.col("df") < total + (min_support is not None)) & (F.col("df") >= math.floor(least)))
     alike = ["df", "mark1", "mark2"] + (["token"] if min_support is not None else [])
     named = cut(counts.withColumn("own", F.col("token")).groupBy(*alike).agg(F.min("own").alias("item"), F.collect_list("own").alias("alike")), "url-items")
     items = each.join(named.select("item", F.explode("alike").alias("token")), "token").groupBy("id").agg(F.collect_set("item").alias("items"))
@@ -84,26 +85,25 @@ def mine_rules(labelled: DataFrame, min_support: float | None = None, min_confid
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(LABEL))).select("antecedent", "confidence", "support")
     ranked = rules.select("*", F.explode("antecedent").alias("item")).join(named.select("item", "df", "alike"), "item")
     sets = ranked.groupBy("antecedent", "confidence", "support").agg(F.array_sort(F.collect_list(F.struct("df", "alike"))).alias("sets"))
-    none = F.array(F.array().cast("array<string>"))
-    chosen = F.aggregate("sets.alike", none, lambda done, one: F.flatten(F.transform(done, lambda x: F.transform(one, lambda t: F.concat(x, F.array(t))))))
-    # The rarest items come first, so the first token chosen is the anchor.
-    return sets.select("confidence", "support", F.explode(chosen).alias("chosen")).select(F.array_sort("chosen").alias("antecedent"), "confidence", "support", F.col("chosen")[0].alias("anchor"))
+    classes = F.col("sets.alike")  # the rarest first
+    return sets.select(F.array_sort(F.transform(classes, lambda c: F.array_min(c))).alias("antecedent"), classes.alias("classes"), "confidence", "support", F.get(classes, F.lit(0)).alias("anchors"))
 
 
 def matches(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     """Distinct urls that some rule fits: one column, ``url_col``.
 
-    A url meets only the rules whose rarest token it has; the whole antecedent is then checked.
+    A url meets only the rules of whose rarest class it has a token; the other classes are then checked.
     """
     each = urls.select(url_col).where(F.col(url_col).isNotNull()).distinct().select(url_col, url_tokens(F.col(url_col)).alias("tokens"))
-    met = each.select(url_col, "tokens", F.explode("tokens").alias("anchor")).join(rules.select("anchor", "antecedent"), "anchor")
-    return met.where(F.size(F.array_except("antecedent", "tokens")) == 0).select(url_col).distinct()
+    met = each.select(url_col, "tokens", F.explode("tokens").alias("anchor")).join(rules.select(F.explode("anchors").alias("anchor"), "classes"), "anchor")
+    return met.where(F.forall("classes", lambda c: F.arrays_overlap(c, F.col("tokens")))).select(url_col).distinct()
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], mined: DataFrame, url_col: str = "url") -> DataFrame:
     """``pages`` with host, path, rule and verdict: the rule's, or else block where a mined rule fits, or else allow.
 
-    A null url has no rule and is allowed. Input columns with these names are replaced.
+    A null url has no rule and is allowed. Repeated rows are judged alike, an empty table gives no rows, and the length of a url
+    doesn't matter. Input columns with these names are replaced.
     """
     hit = matches(pages, mined, url_col).select(F.col(url_col).alias("_uf_url"), F.lit(True).alias("_uf_hit"))
     host, path = host_and_path(F.col(url_col))
@@ -116,7 +116,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], mined: DataFrame,
 
 def page_number(url: Column) -> Column:
     """The last of the path's parts that is a number, an extension behind it or not; empty if there is none."""
-    return F.regexp_extract(host_and_path(url)[1], r"^(?s:.*)/(\d{1,18})(?:[/.](?s:.*))?$", 1)
+    return F.regexp_extract(host_and_path(url)[1], r"^(?s:.*)/(\d+)(?:[/.](?s:.*))?$", 1)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,5 +124,5 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("label"))
     numbered = pages.select("url", page_number(F.col("url")).alias("n"))
-    labelled = numbered.where("n <> ''").select("url", F.col("n").cast("long").alias("doc_id")).join(labels, "doc_id")
+    labelled = numbered.where("n <> ''").select("url", F.col("n").try_cast("long").alias("doc_id")).join(labels, "doc_id")
     return judge_urls(pages, OP5_RULES, mine_rules(labelled)).select("page_id", "host", "path", "rule", "verdict")

@@ -77,3 +77,38 @@ def test_deep_nesting_and_row_spans():
     assert visible_text("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>") == "A | B\n  | C"
     outer = "<table><tr><td>a<td><table><tr><td>b<td>c<tr><td>dd<td>e</table><td>f</table>"
     assert visible_text(outer) == "a | b  | c | f\n  | dd | e |"
+
+
+def test_style_sheets_hide():
+    sheet = "<style>/* .c{display:none} */ .x, p#y { color: red; display: none } @media print { .z {display:none} } @media screen { .w{visibility:hidden} } div p .q{display:none} .v{display:none!important} b{display:none}</style>"
+    page = f"{sheet}<p class=x>1</p><p id=y>2</p><div id=y>3</div><p class='z c'>4</p><p class=w>5<i style='visibility:visible'>6</i></p><p class=x style='display:block'>7</p><p class=v style='display:block'>8</p><p>9<b>10</b></p><p class=q>11</p>"
+    assert visible_text(page).split() == ["3", "4", "6", "7", "9", "11"]
+    assert visible_text("<style media=print>p{display:none}</style><p>a") == "a"
+    assert visible_text("<style>p{display:none</style><p>a</p>b") == "b" and visible_text("<style>}}{{@x{p{</style><p>a") == "a"
+    assert visible_text("<div style='display:none;display:block'>a</div>") == "a"
+
+
+def test_random_tables_stand_in_columns():
+    """Each cell begins where all others of its column begin, and reaches no further than to its last column's end."""
+    import random
+
+    draw = random.Random(7)
+    for _ in range(300):
+        columns, grid, page = draw.randint(1, 6), [], "<table>"
+        for r in range(draw.randint(1, 6)):
+            page, col = page + "<tr>", 0
+            while col < columns:
+                span = draw.randint(1, columns - col) if draw.random() < 0.4 else 1
+                text = f"{r}.{col}" + "x" * draw.randint(0, 25)
+                grid.append((r, col, col + span, text))
+                page += f"<td colspan={span}>{text}</td>"
+                col += span
+        lines = visible_text(page).split("\n")
+        begins, ends = {}, {}
+        for r, start, stop, text in grid:
+            at = lines[r].index(text)
+            assert begins.setdefault(start, at) == at, (page, lines)
+            ends[stop] = max(ends.get(stop, 0), at + len(text))
+            assert lines[r][at - 3 : at] == (" | " if start else ""), (page, lines)
+        for stop, reach in ends.items():
+            assert stop not in begins or begins[stop] >= reach + 3

@@ -34,6 +34,14 @@ def test_edge_cases(spark, chars):
     assert dedup_lines(docs.limit(0)).count() == 0
 
 
-def test_repeated_rows_count_again_and_all_stay(spark):
-    docs = spark.createDataFrame([(1, "a\nb")] * 3 + [(1, "a\nc")], "doc_id long, text string")
-    assert sorted(r.text for r in dedup_lines(docs, 4).collect()) == ["b", "b", "b", "c"]
+def test_repeated_rows_are_one_document_and_all_stay(spark):
+    docs = spark.createDataFrame([(1, "a\nb")] * 3 + [(1, "a\nc"), (2, "a\nd")], "doc_id long, text string")
+    assert sorted(r.text for r in dedup_lines(docs, 3).collect()) == ["a\nb", "a\nb", "a\nb", "a\nc", "a\nd"]
+    assert sorted(r.text for r in dedup_lines(docs, 2).collect()) == ["b", "b", "b", "c", "d"]
+
+
+def test_rows_of_one_document_count_once(spark):
+    rows = [(1, "a\nb")] * 10 + [(None, "c\nd")] * 12 + [(k, "e\nf") for k in range(2, 12)] + [(k, "g") for k in range(2, 11)] + [(3, "g")]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=10).collect()
+    assert len(got) == len(rows)
+    assert all(r.n_dropped == (2 if r.doc_id and r.doc_id > 1 and r.n_lines == 2 else 0) for r in got)  # e and f only

@@ -29,7 +29,7 @@ def test_hosts_paths_and_rules(spark):
 def test_mined_rules_are_those_of_brute_force(spark):
     rows = [(f"http://{h}.net/{s}/{i}", h == "bad" and s == "ads") for i in range(8) for h in ("bad", "ok") for s in ("ads", "news")] * 2 + [(None, True), ("http://bad.net/ads/1", None)]
     df = spark.createDataFrame(rows, "url string, label boolean")
-    mined = U.mine_rules(df, 0.1, 0.9, 1.0).collect()
+    mined = U.mine_rules(df, 0.1, 0.9).collect()
     sets = [(frozenset(r.t), y) for (u, y), r in zip(rows, df.select(U.url_tokens(df.url).alias("t")).collect(), strict=True) if u and y is not None]
     items = {t for s, _ in sets for t in s}
     want = {}
@@ -39,7 +39,7 @@ def test_mined_rules_are_those_of_brute_force(spark):
             if has and sum(has) >= 0.1 * len(sets) and sum(has) / len(has) >= 0.9:
                 want[c] = sum(has) / len(has)
     assert {tuple(r.antecedent): r.confidence for r in mined} == want and want
-    judged = {r.url: r.verdict for r in U.judge_urls(df, [], U.mine_rules(df, 0.1, 0.9, 1.0)).collect()}
+    judged = {r.url: r.verdict for r in U.judge_urls(df, [], U.mine_rules(df, 0.1, 0.9)).collect()}
     assert judged["http://bad.net/ads/3"] == "block" and judged["http://ok.net/ads/3"] == "allow" and judged[None] == "allow"
 
 
@@ -52,14 +52,14 @@ def test_query(spark, sf):
         assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or r.verdict) and r.verdict in ("allow", "block")
 
 
-def brute_blocked(labelled, urls, confidence=0.5, max_share=0.5):
+def brute_blocked(labelled, urls, confidence=0.5):
     """URLs with a set of tokens that MIN_COUNT blocked URLs have, at the confidence and the base rate or more."""
     total, blocked = len(labelled), {k for k, (_, y) in enumerate(labelled) if y}
     rows = {}
     for k, (tokens, _) in enumerate(labelled):
         for t in tokens:
             rows.setdefault(t, set()).add(k)
-    rows = {t: frozenset(x) for t, x in rows.items() if len(x) <= max_share * total}
+    rows = {t: frozenset(x) for t, x in rows.items() if len(x) < total}
     out = set()
     for url, tokens in urls.items():
         have = set()
@@ -93,3 +93,13 @@ def test_the_last_number_names_the_document(spark):
     urls = {"https://a/2020/01/5.html": "5", "https://a/en/17": "17", "https://a/3/x": "3", "https://a/x9": "", "https://a/": "", "a/7": "", None: "", "https://a/1?p=/2": "1", "https://a/1/22/#/3": "22"}
     rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", U.page_number(F.col("url")).alias("n")).collect()
     assert {r.url: r.n for r in rows} == urls
+
+
+def test_empty_tables_repeats_and_common_tokens(spark):
+    rows = [(f"http://site.net/{s}/{k}", s == "ads" or k % 4 == 0) for s in ("ads", "ads", "news") for k in range(20)]
+    mined = U.mine_rules(spark.createDataFrame(rows, "url string, label boolean"))
+    pages = spark.createDataFrame([(1, rows[0][0]), (1, rows[0][0]), (2, rows[-1][0]), (3, None), (4, "http://site.net/ads/" + "9" * 50_000)], "page_id long, url string")
+    got = sorted((r.page_id, r.verdict) for r in U.judge_urls(pages, [], mined).collect())
+    assert got == [(1, "block"), (1, "block"), (2, "allow"), (3, "allow"), (4, "block")]  # two thirds of the URLs have path:ads
+    assert U.judge_urls(pages.limit(0), U.OP5_RULES, mined).count() == 0
+    assert U.page_number(F.lit("http://a/x/1234567890123456789012345")) is not None
