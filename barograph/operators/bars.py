@@ -67,7 +67,7 @@ def build_bars(data: DataFrame, tf: str, resolution_ms: int = 0) -> DataFrame:
 
 def with_index(bars: DataFrame, width: int = 32 * DAY) -> DataFrame:
     """``i``: 0, 1, ... in time order within a symbol. Rows are counted by blocks of ``width``, which are added up."""
-    return scan(bars, ["symbol"], ["ms"], width, {"i": ("sum", F.lit(1).cast("long"), False)}).drop(BLOCK)
+    return scan(bars, ["symbol"], ["ms"], width, {"i": ("sum", F.lit(1).cast("long"), False)}, levels=1).drop(BLOCK)
 
 
 def slice_bars(bars: DataFrame, start: int, stop: int) -> DataFrame:

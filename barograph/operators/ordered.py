@@ -1,8 +1,8 @@
 """Scans of ordered series by many tasks: carries over blocks, rolling frames with a halo, order statistics.
 
 A series is cut into blocks of its order (so much time, so many positions). Windows run inside of a block; what a
-block needs of those before it is a small summary that is carried on in two levels, over stretches of FAN blocks and
-over stretches. No task holds more than a block, or than a row for each block of a stretch.
+block needs of those before it is a small summary, a row a block. Summaries are carried on over all blocks of a series
+where time bounds their number, or else in two levels, over stretches of FAN blocks and over stretches.
 """
 
 from __future__ import annotations
@@ -35,12 +35,13 @@ KINDS: dict[str, tuple[Callable[[Column, Column], Column], Callable[[Column], Co
 }
 
 
-def scan(rows: DataFrame, by: list[str], order: list[str], width: int, wanted: dict[str, tuple[str, Column, bool]]) -> DataFrame:
+def scan(rows: DataFrame, by: list[str], order: list[str], width: int, wanted: dict[str, tuple[str, Column, bool]], levels: int = 2) -> DataFrame:
     """``rows`` with running values and their block, ``_block``.
 
     ``wanted``: {name: (kind, value, with the row itself)}; kinds are sum, max and last (the last value that isn't null). Rows are taken in
     ``order`` within ``by``, of which nulls are a group; a block is ``width`` of the first order column, a whole number. Equal rows are taken
-    in any order. A sum before the first row is 0, the others null.
+    in any order. A sum before the first row is 0, the others null. With one of ``levels`` a task lines up a row for each block of a series:
+    enough for blocks of an hour (9,000 a year). With two it is a row for each of FAN blocks.
     """
     held = {f"_v_{n}": v for n, (_, v, _) in wanted.items()}
     marked = rows.withColumns({BLOCK: F.floor(F.col(order[0]) / F.lit(width)), **held})
@@ -54,16 +55,19 @@ def scan(rows: DataFrame, by: list[str], order: list[str], width: int, wanted: d
         w = Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumns({f"{to}{n}": KINDS[k][1](F.col(f"_s_{n}")).over(w) for n, (k, _, _) in wanted.items()})
 
+    w = Window.partitionBy(*by, BLOCK).orderBy(*order)
+    own = {f"_o_{n}": KINDS[k][1](F.col(f"_v_{n}")).over(w.rowsBetween(Window.unboundedPreceding, 0 if self_too else -1)) for n, (k, _, self_too) in wanted.items()}
+    added = [KINDS[k][2](F.col(f"_c_{n}"), F.col(f"_o_{n}")).alias(n) for n, (k, _, _) in wanted.items()]
+    if levels == 1:
+        carried = before(summed(marked, [*by, BLOCK], at, "_v_"), by, BLOCK, "_c_").select(*by, BLOCK, *(f"_c_{n}" for n in wanted))
+        return same(marked.withColumns(own), carried, [*by, BLOCK]).select(*rows.columns, BLOCK, *added)
     blocks = summed(marked, [*by, BLOCK], at, "_v_").withColumn("_stretch", stretch)
     tops = before(summed(blocks, [*by, "_stretch"], F.col(BLOCK), "_s_"), by, "_stretch", "_t_")  # a row for each stretch
     tops = tops.select(*by, "_stretch", *(f"_t_{n}" for n in wanted))
     inner = before(blocks, [*by, "_stretch"], BLOCK, "_i_").select(*by, BLOCK, "_stretch", *(f"_i_{n}" for n in wanted))
     carried = same(inner, tops, [*by, "_stretch"])
     carried = carried.select(*by, BLOCK, *(KINDS[k][2](F.col(f"_t_{n}"), F.col(f"_i_{n}")).alias(f"_c_{n}") for n, (k, _, _) in wanted.items()))
-    w = Window.partitionBy(*by, BLOCK).orderBy(*order)
-    own = {f"_o_{n}": KINDS[k][1](F.col(f"_v_{n}")).over(w.rowsBetween(Window.unboundedPreceding, 0 if self_too else -1)) for n, (k, _, self_too) in wanted.items()}
-    out = same(marked.withColumns(own), carried, [*by, BLOCK])
-    return out.select(*rows.columns, BLOCK, *(KINDS[k][2](F.col(f"_c_{n}"), F.col(f"_o_{n}")).alias(n) for n, (k, _, _) in wanted.items()))
+    return same(marked.withColumns(own), carried, [*by, BLOCK]).select(*rows.columns, BLOCK, *added)
 
 
 def rolling(rows: DataFrame, by: list[str], i: str, n: int, wanted: dict[str, Callable[[WindowSpec], Column]], block: int = 4096) -> DataFrame:

@@ -14,21 +14,22 @@ from barograph.operators.ordered import BLOCK, largest, most_frequent, percentil
 #: UTC hour at which the market opens on Sunday (fixed value).
 SUNDAY_OPEN = 22
 #: Places of a source that make a block.
-SEQ_BLOCK = 1 << 16
+SEQ_BLOCK = 1 << 18
 
 
 def ordered(rows: DataFrame, width: int = HOUR) -> DataFrame:
-    """gap: milliseconds since the row before in time order; step: in source order. Rows without seq are in time order.
+    """gap: milliseconds since the row before in time order. The rows come with their block of time."""
+    order = ["ms", "seq"] if "seq" in rows.columns else ["ms"]
+    found = scan(rows, ["symbol"], order, width, {"gap": ("last", F.col("ms"), False)}, levels=1)
+    return found.withColumn("gap", F.col("ms") - F.col("gap"))
 
-    The rows come with their block of time.
-    """
-    before = ("last", F.col("ms"), False)
+
+def backward_steps(rows: DataFrame) -> DataFrame:
+    """symbol and n, how many rows are earlier than the one before in source order; none for rows without seq, which are in time order."""
     if "seq" not in rows.columns:
-        found = scan(rows, ["symbol"], ["ms"], width, {"gap": before})
-        return found.withColumn("gap", F.col("ms") - F.col("gap")).withColumn("step", F.col("gap"))
-    stepped = scan(rows, ["symbol"], ["seq"], SEQ_BLOCK, {"step": before}).drop(BLOCK)
-    found = scan(stepped, ["symbol"], ["ms", "seq"], width, {"gap": before})
-    return found.withColumns({"gap": F.col("ms") - F.col("gap"), "step": F.col("ms") - F.col("step")})
+        return rows.select("symbol").distinct().withColumn("n", F.lit(0).cast("long"))
+    found = scan(rows.select("symbol", "seq", "ms"), ["symbol"], ["seq"], SEQ_BLOCK, {"before": ("last", F.col("ms"), False)}, levels=1)
+    return found.groupBy("symbol").agg(F.count_if(F.col("ms") < F.col("before")).alias("n"))
 
 
 def longest_run(rows: DataFrame, flag: Column, keys: list[str], order: list[str], width: int | None = None) -> DataFrame:
@@ -60,16 +61,17 @@ def quality_report(ticks: DataFrame) -> DataFrame:
     spread = high - low if quoted else F.col("spread") if "spread" in ticks.columns else F.lit(None).cast("double")
     rows = ordered(ticks)
     top = lambda lists: F.slice(F.sort_array(lists, asc=False), 1, 5).alias("largest_gaps_ms")
-    adds = ("rows", "out_of_order", "duplicate_timestamps", "negative_spread", "zero_spread", "bad_price", "_spreads", "_spread")
+    adds = ("rows", "duplicate_timestamps", "negative_spread", "zero_spread", "bad_price", "_spreads", "_spread")
     blocks = rows.groupBy("symbol", BLOCK).agg(
         F.count("*").alias("rows"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"),
-        F.count_if(F.col("step") < 0).alias("out_of_order"), F.count_if(F.col("gap") == 0).alias("duplicate_timestamps"),
+        F.count_if(F.col("gap") == 0).alias("duplicate_timestamps"),
         F.count_if(high < low).alias("negative_spread"), (F.count_if(high == low) if quoted else F.lit(0).cast("long")).alias("zero_spread"),
         (F.count_if(low <= 0) + F.count_if(high <= 0)).alias("bad_price"), F.count(spread).alias("_spreads"), F.sum(spread).alias("_spread"), top(F.collect_list("gap")),
     )
     whole = blocks.groupBy("symbol").agg(*(F.sum(c).alias(c) for c in adds), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), top(F.flatten(F.collect_list("largest_gaps_ms"))))
     shares = percentiles(ticks, ["symbol"], spread, {"spread_p50": 0.5, "spread_p99": 0.99})
-    out = same(same(whole, repeats(ticks).withColumnRenamed("n", "max_duplicate_run"), ["symbol"]), shares, ["symbol"], "left")
+    counts = same(repeats(ticks).withColumnRenamed("n", "max_duplicate_run"), backward_steps(ticks).withColumnRenamed("n", "out_of_order"), ["symbol"])
+    out = same(same(whole, counts, ["symbol"]), shares, ["symbol"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return out.select(
         "symbol", "rows", "first_ms", "last_ms", "out_of_order", "duplicate_timestamps", "negative_spread", "zero_spread", "bad_price",

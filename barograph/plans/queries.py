@@ -576,18 +576,18 @@ def stream_bars_h1(spark, d):
     return bar_out(finish(spark, spark.read.parquet(f"{at}/ticks"), f"{at}/bars", "H1"))
 
 
-def csv_stream(spark, d):
+def csv_stream(spark, d, **kw):
     """All ticks as CSV files in time order, loaded as a stream: see ``streaming.load``."""
     at = shared_path(spark, "csv")
     t = ticks_raw(spark, d).repartitionByRange(4, "ms").sortWithinPartitions("ms", "seq")
     t.select(F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd HH:mm:ss.SSS").alias("timestamp"), "symbol", "bid", "ask").write.csv(f"{at}/ticks", header=True)
-    return load_stream(spark, f"{at}/ticks", "H1", SourceSpec(symbol_col="symbol"), at=f"{at}/load", range_bytes=1 << 18, batch_ranges=8)
+    return load_stream(spark, f"{at}/ticks", "H1", SourceSpec(symbol_col="symbol"), at=f"{at}/load", range_bytes=1 << 18, batch_ranges=8, **kw)
 
 
 @query(S.with_(S.RAW, S.bars("b", "ticks_raw", "H1")) + f"SELECT {S.BAR_OUT} FROM b")
 def stream_csv_bars_h1(spark, d):
     """Bars of a CSV stream whose batches end anywhere in the files."""
-    return bar_out(csv_stream(spark, d).bars)
+    return bar_out(csv_stream(spark, d, with_quality=False).bars)
 
 
 STREAM_COUNTS = "symbol, rows, first_ms, last_ms, out_of_order, duplicate_timestamps, negative_spread, zero_spread, bad_price, max_duplicate_run"

@@ -24,7 +24,7 @@ def ticks_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ticks_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One symbol whose bid walks by whole cents; the running sum is made by blocks of an hour."""
     step = F.round(F.col("value") * 100).cast("long") % 41 - 20
-    walked = scan(_events(spark, sf_dir).select("ms", "ts", "event_id", step.alias("step")), [], ["ms", "ts", "event_id"], HOUR, {"walk": ("sum", F.col("step"), True)})
+    walked = scan(_events(spark, sf_dir).select("ms", "ts", "event_id", step.alias("step")), [], ["ms", "ts", "event_id"], HOUR, {"walk": ("sum", F.col("step"), True)}, levels=1)
     bid = (F.lit(100_000) + F.col("walk")) / F.lit(100.0)
     spread = (F.col("event_id") % 7 + 1) / F.lit(100.0)
     return walked.select(F.lit("WALK").alias("symbol"), F.col("event_id").alias("seq"), "ms", bid.alias("bid"), (bid + spread).alias("ask"))

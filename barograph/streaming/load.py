@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from barograph.functions.columns import bucket
 from barograph.operators.ordered import largest
-from barograph.operators.quality import ordered
+from barograph.operators.quality import backward_steps, ordered
 from barograph.sources.csv_source import SourceSpec, first_line, header_of, layout_of, resolve_columns, scale_of, separator_of
 from barograph.sources.csv_stream import stream_text
 from barograph.sources.shared import shared_path
 
-PARTS = "symbol string, ms long, opened struct<ms:long,seq:long>, open double, high double, low double, closed struct<ms:long,seq:long>, close double, volume long, spread_sum double, spread_max double"
+PARTS = "symbol string, ms long, opened struct<ms:long,seq:long>, open double, high double, low double, closed struct<ms:long,seq:long>, close double, volume long, spread_sum double, spread_max double, digits int"
 #: k of the KLL sketches of spreads. Their rank error is about 2.3 / k^0.9 of the rows, a fifth of a percent here.
 SKETCH_K = 2048
 #: What the rank error of a quantile of a merged sketch stays under, as a share of the rows (with 99 % confidence).
@@ -30,11 +30,12 @@ RANK_ERROR = 0.005
 def partial_bars(ticks: DataFrame, tf: str) -> DataFrame:
     """Bars of some of the ticks, with all that it takes to merge them: PARTS."""
     at, spread = F.struct("ms", "seq"), F.col("ask") - F.col("bid")
+    digits = F.max("digits" if "digits" in ticks.columns else F.lit(None).cast("int")).alias("digits")
     return (
         ticks.groupBy("symbol", bucket(F.col("ms"), tf).alias("bar_ms"))
         .agg(
             F.min(at).alias("opened"), F.min_by("bid", at).alias("open"), F.max("bid").alias("high"), F.min("bid").alias("low"), F.max(at).alias("closed"), F.max_by("bid", at).alias("close"),
-            F.count("*").alias("volume"), F.sum(spread).alias("spread_sum"), F.max(spread).alias("spread_max"),
+            F.count("*").alias("volume"), F.sum(spread).alias("spread_sum"), F.max(spread).alias("spread_max"), digits,
         )
         .withColumnRenamed("bar_ms", "ms")
     )
@@ -60,12 +61,13 @@ def summary(ticks: DataFrame, largest_gaps: int = 5) -> DataFrame:
     spread = F.col("ask") - F.col("bid")
     rows = ordered(ticks)
     counts = rows.groupBy("symbol").agg(
-        F.count("*").alias("rows"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.count_if(F.col("step") < 0).alias("out_of_order"), F.count_if(F.col("gap") == 0).alias("duplicate_timestamps"),
+        F.count("*").alias("rows"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.count_if(F.col("gap") == 0).alias("duplicate_timestamps"),
         F.count_if(spread < 0).alias("negative_spread"), F.count_if(spread == 0).alias("zero_spread"), (F.count_if(F.col("bid") <= 0) + F.count_if(F.col("ask") <= 0)).alias("bad_price"),
         F.sum(spread).alias("spread_sum"), F.kll_sketch_agg_double(spread, F.lit(SKETCH_K)).alias("sketch"),
     )
     times = ticks.groupBy("symbol", "ms").agg(F.count("*").alias("n"))
     ends = times.groupBy("symbol").agg(F.min_by("n", "ms").alias("head"), F.max_by("n", "ms").alias("tail"), (F.max("n") - 1).alias("max_duplicate_run"))
+    counts = counts.join(backward_steps(ticks).withColumnRenamed("n", "out_of_order"), "symbol")
     return counts.join(ends, "symbol").join(largest(rows, ["symbol"], F.col("gap"), largest_gaps).withColumnRenamed("top", "gaps"), "symbol", "left").withColumn("gaps", F.coalesce("gaps", F.array().cast("array<long>")))
 
 
@@ -103,10 +105,10 @@ def merge_summaries(batches: DataFrame, largest_gaps: int = 5) -> DataFrame:
 
 @dataclass(frozen=True)
 class Streamed:
-    """What a streamed load has made: bars, quality by symbol, number of late ticks, digits after the point, and batches."""
+    """What a streamed load has made: bars, quality by symbol (if asked for), number of late ticks, digits after the point, and batches."""
 
     bars: DataFrame
-    quality: DataFrame
+    quality: DataFrame | None
     late_rows: int
     decimals: int
     batches: int
@@ -122,12 +124,12 @@ def typed_stream(spark: SparkSession, path: str, spec: SourceSpec, symbol: str,
     return layout_of(stream_text(spark, path, header, range_bytes, batch_ranges, separator_of(first_line(spark, path))), columns, spec, symbol, scale)
 
 
-def load_stream(spark: SparkSession, path: str, tf: str, spec: SourceSpec = SourceSpec(), symbol: str = "", at: str | None = None, range_bytes: int = 16 << 20, batch_ranges: int = 64, progress: Callable[[int, int, int], None] | None = None) -> Streamed:
+def load_stream(spark: SparkSession, path: str, tf: str, spec: SourceSpec = SourceSpec(), symbol: str = "", at: str | None = None, range_bytes: int = 16 << 20, batch_ranges: int = 64, progress: Callable[[int, int, int], None] | None = None, with_quality: bool = True) -> Streamed:
     """Bars of ``tf`` and quality of a CSV file or folder of ticks, read once as a stream. ``at``: folder for its state and parts.
 
     With the same ``at`` a load goes on after the last whole batch, and reads what has come since. Bars equal those of the whole
     load in any order of the ticks, since parts of a bar are merged and none is dropped as late. ``progress`` is told of
-    each batch: its number, the rows so far and its milliseconds.
+    each batch: its number, the rows so far and its milliseconds. Without ``with_quality`` bars alone are made.
     """
     at = at or shared_path(spark, "stream-load")
     ticks = typed_stream(spark, path, spec, symbol, range_bytes, batch_ranges)
@@ -136,13 +138,14 @@ def load_stream(spark: SparkSession, path: str, tf: str, spec: SourceSpec = Sour
 
     def each(batch: DataFrame, number: int) -> None:
         began = time.monotonic()
-        batch.persist()
+        if with_quality:
+            batch.persist()
         try:
             partial_bars(batch, tf).write.mode("overwrite").parquet(f"{at}/bars/batch={number}")
-            digits = batch.groupBy("symbol").agg(F.max("digits").alias("digits"))
-            summary(batch.drop("digits")).join(digits, "symbol").write.mode("overwrite").parquet(f"{at}/quality/batch={number}")
+            if with_quality:
+                summary(batch.drop("digits")).write.mode("overwrite").parquet(f"{at}/quality/batch={number}")
             if progress is not None:
-                said["rows"] += spark.read.parquet(f"{at}/quality/batch={number}").agg(F.sum("rows")).first()[0] or 0
+                said["rows"] += spark.read.schema(PARTS).parquet(f"{at}/bars/batch={number}").agg(F.sum("volume")).first()[0] or 0
                 progress(number, said["rows"], round(1000 * (time.monotonic() - began)))
         finally:
             batch.unpersist()
@@ -152,6 +155,7 @@ def load_stream(spark: SparkSession, path: str, tf: str, spec: SourceSpec = Sour
         q.processAllAvailable()
     finally:
         q.stop()
-    parts, told = spark.read.parquet(f"{at}/bars"), spark.read.parquet(f"{at}/quality")
-    about = told.agg(F.max("digits").alias("digits"), F.countDistinct("batch").alias("n")).first()
-    return Streamed(merge_bars(parts), merge_summaries(told.drop("digits")), late_ticks(parts).first().late, about.digits or 0, about.n)
+    parts = spark.read.schema(f"{PARTS}, batch long").parquet(f"{at}/bars")
+    about = parts.agg(F.max("digits").alias("digits"), F.count_distinct("batch").alias("n")).first()
+    told = merge_summaries(spark.read.parquet(f"{at}/quality")) if with_quality else None
+    return Streamed(merge_bars(parts), told, late_ticks(parts).first().late, about.digits or 0, about.n)

@@ -21,15 +21,15 @@ def series(n=400, seed=1, symbols=("a", None, "b")):
     return out
 
 
-@pytest.mark.parametrize("width", [1, 10, 3000, 10**9])
-def test_scan_is_a_loop(spark, width, monkeypatch):
+@pytest.mark.parametrize(("width", "levels"), [(1, 2), (10, 1), (10, 2), (3000, 2), (10**9, 1)])
+def test_scan_is_a_loop(spark, width, levels, monkeypatch):
     from barograph.operators import ordered
 
     monkeypatch.setattr(ordered, "FAN", 3)
     data = series()
     df = spark.createDataFrame(data, "symbol string, ms long, seq long, x long").repartition(5)
     kinds = {f"{k}_{i}": (k, F.col("x"), bool(i)) for k in ("sum", "max", "last") for i in (0, 1)}
-    got = {(r.symbol, r.seq): r for r in scan(df, ["symbol"], ["ms", "seq"], width, kinds).collect()}
+    got = {(r.symbol, r.seq): r for r in scan(df, ["symbol"], ["ms", "seq"], width, kinds, levels).collect()}
     assert len(got) == len(data)
     for s in ("a", None, "b"):
         seen = []
@@ -95,7 +95,7 @@ def plan_of(df):
 
 
 def test_no_window_lines_up_a_symbol(spark):
-    """Every window over rows is parted by a block, too; those of stretches and parts have a row for each."""
+    """Every window over rows is parted by a block, too; those of blocks, stretches and parts have a row for each."""
     t = spark.createDataFrame([("a", 1, 1, 1.0, 2.0)], "symbol string, seq long, ms long, bid double, ask double")
     b = spark.createDataFrame([("a", 1, 1.0, 1.0, 1.0)], "symbol string, ms long, close double, high double, low double")
     made = [quality.quality_report(t), quality.top_gaps(t), quality.resolution(t), quality.utc_offset(t), quality.repeats(t), with_index(b), I.with_sma(with_index(b), 20), I.with_drawdown(with_index(b))]
@@ -104,7 +104,7 @@ def test_no_window_lines_up_a_symbol(spark):
         assert not re.search(r"\b(percentile|mode)\(", plan)
         for parted, lined in re.findall(r"\n[^\n]*\bWindow \[[^\n]*?\], \[([^\]]*)\], \[([^\]]*)\]", plan):
             if re.fullmatch(r"symbol#\d+", parted):
-                assert re.match(r"(_stretch|_part)#", lined), (parted, lined)
+                assert re.match(r"(_stretch|_part|_block)#", lined), (parted, lined)
 
 
 def test_one_symbol_is_the_work_of_many_tasks(spark):
