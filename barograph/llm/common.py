@@ -18,6 +18,8 @@ BLANKS = " \t\n\x0b\f\r"
 CACHE_WORDS = 1_000_000
 #: Spark's setting that removes shuffle files at the end of a query.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folder of this process where none is named.
+_own: list[str] = []
 #: Odd multipliers and mixers of the 64-bit hashes (fixed values).
 MIX_A, MIX_B, MIX_C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -27,15 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the one that was set for checkpoints.
 
-    Only where the session names none (tests, one machine) a temporary folder is set.
+    Where the session names none and all runs on one machine (tests), a temporary folder of this process is taken; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="barograph-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="barograph-"))
+    return _own[0]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -67,13 +72,6 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-def clear_shared(spark: SparkSession) -> None:
-    """Delete the tables that this application's operators have written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/barograph-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def hash_filter(hashes: DataFrame, bits: int, column: str = "hash") -> np.ndarray:
     """A one-hash Bloom filter of ``bits`` (a power of two) bits over a LONG column, as packed bytes.
 
