@@ -26,15 +26,17 @@ from barograph.llm.common import MIX_A, MIX_B, MIX_C, mixed, table
 
 #: k-mers hashed at a time for all functions, which bounds the memory of a task.
 BLOCK = 4096
-#: Functions taken at a time, so that a block of hashes stays in a core's cache.
-ROWS = 32
+#: Functions taken at a time, and those of them that share what they flip.
+ROWS, SHARE = 256, 32
 
 
 class OrderMinHash:
     def __init__(self, k: int = 5, ell: int = 2, m: int = 256, seed: int = 1):
         self.k, self.ell, self.m = k, ell, m
         draw = np.random.default_rng(seed)
-        self.flip = draw.integers(0, 1 << 32, (m, 1), np.uint32)
+        # functions that share what they flip differ in what they multiply by
+        self.flip = np.repeat(draw.integers(0, 1 << 32, (-(-m // SHARE), 1), np.uint32), SHARE, 0)[:m]
+        self.room = np.empty(ROWS * BLOCK, np.uint32)  # for a block of hashes
         self.times = draw.integers(0, 1 << 31, (m, 1), np.uint32) * np.uint32(2) + np.uint32(1)
 
     def numbered(self, text: str) -> np.ndarray:
@@ -76,8 +78,10 @@ class OrderMinHash:
         rows = np.arange(len(flip))
         best, place = np.empty((len(flip), 0), np.uint32), np.empty((len(flip), 0), np.int64)
         for at in range(0, len(low), BLOCK):
-            h = low[None, at : at + BLOCK] ^ flip
-            h *= times
+            part = low[at : at + BLOCK]
+            h = self.room[: len(flip) * len(part)].reshape(len(flip), len(part))
+            for j in range(0, len(flip), SHARE):
+                np.multiply(part ^ flip[j], times[j : j + SHARE], out=h[j : j + SHARE])
             for _ in range(min(self.ell, h.shape[1])):
                 least = h.argmin(1)
                 best, place = np.concatenate((best, h[rows, least][:, None]), 1), np.concatenate((place, least[:, None] + (start + at)), 1)
