@@ -29,6 +29,19 @@ def finite(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
+def ln(x: Column) -> Column:
+    """Natural logarithm as floating-point arithmetic has it: NaN below 0, minus infinity at 0. Spark's own is null there."""
+    return F.when(x < 0, F.lit(float("nan"))).when(x == 0, F.lit(float("-inf"))).otherwise(F.log(x))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's correlation of the pairs without nulls, as an aggregate: null without pairs, NaN where one side doesn't vary."""
+    paired = x.isNotNull() & y.isNotNull()
+    a, b = F.when(paired, x), F.when(paired, y)
+    spread = F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b))
+    return F.when(F.count_if(paired) > 0, F.coalesce(F.try_divide(F.covar_pop(a, b), spread), F.lit(float("nan"))))
+
+
 def plain(x: Column, places: int = 6) -> Column:
     """A number fit for JSON: rounded, null where it isn't finite."""
     return F.round(finite(x), places)

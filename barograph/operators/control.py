@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barograph.functions.columns import finite
+from barograph.functions.columns import finite, ln
 from barograph.functions.instrument import Instrument
 from barograph.operators.fills import simulate
 from barograph.operators.metrics import SCHEMA, metrics_of
@@ -22,13 +22,14 @@ def shuffled_bars(bars: DataFrame, trials: int = 5, seed: int = 0) -> DataFrame:
     Times and spreads stay. The same seed gives the same order.
     """
     w = Window.partitionBy("symbol").orderBy("i")
-    r = bars.withColumn("_r", F.log("close") - F.log(F.lag("close").over(w)))
+    r = bars.withColumn("_r", ln(F.col("close")) - ln(F.lag("close").over(w)))
     made = r.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     drawn = made.where("_r is not null").select("symbol", "trial", F.col("_r").alias("_s"), F.row_number().over(Window.partitionBy("symbol", "trial").orderBy(F.xxhash64(F.lit(seed), "trial", "i"), "i")).cast("long").alias("i"))
     first = bars.groupBy("symbol").agg(F.min_by("close", "i").alias("_first"))
     joined = made.join(drawn, ["symbol", "trial", "i"], "left").join(first, "symbol")
     path = F.coalesce(F.sum("_s").over(Window.partitionBy("symbol", "trial").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
-    scale = F.col("_first") * F.exp(path) / F.col("close")
+    target = F.col("_first") * F.exp(path)
+    scale = F.when(F.col("close") == 0, target * float("inf")).otherwise(F.try_divide(target, F.col("close")))
     prices = {c: F.col(c) * F.col("_k") for c in ("open", "high", "low", "close")}
     return joined.withColumn("_k", scale).withColumns(prices).select("trial", *bars.columns)
 

@@ -214,9 +214,9 @@ def bar_returns(spark, d):
 
 @query(H1 + "SELECT round(corr(r, p), 6) AS autocorrelation FROM (SELECT r, lag(r) OVER (ORDER BY i) AS p FROM (SELECT i, ln(close) - ln(lag(close) OVER (ORDER BY i)) AS r FROM h1))")
 def lag1_autocorr(spark, d):
-    change = lambda k: lambda w: F.log(F.lag("close", k).over(w)) - F.log(F.lag("close", k + 1).over(w))
+    change = lambda k: lambda w: C.ln(F.lag("close", k).over(w)) - C.ln(F.lag("close", k + 1).over(w))
     r = rolling(walk_bars(spark, d), ["symbol"], "i", 3, {"r": change(0), "p": change(1)})
-    return r.agg(F.round(F.corr("r", "p"), 6).alias("autocorrelation"))
+    return r.agg(F.round(C.correlation(F.col("r"), F.col("p")), 6).alias("autocorrelation"))
 
 
 def _indicator(name: str, kind: str, n: int, ctes: tuple[str, ...], value: str, source: str):
