@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from barograph.functions import columns as C
 from barograph.functions.instrument import REASONS
+from barograph.functions.timeframes import HOUR
 from barograph.operators import bars as B
 from barograph.operators import charts, control, fills, folds, plateau, quality, search, signal_table, signals
 from barograph.operators import indicators as I
-from barograph.operators.intervals import interval_join
+from barograph.operators.intervals import interval_counts
 from barograph.operators.metrics import METRICS, metrics, rates
 from barograph.operators.ordered import rolling
 from barograph.plans import sql as S
@@ -114,7 +115,7 @@ def window_tick_counts(spark, d):
     t = ticks_raw(spark, d).select("symbol", "ms")
     starts = t.select("symbol", C.bucket(F.col("ms"), "H1").alias("start_ms")).distinct()
     windows = starts.withColumn("stop_ms", F.col("start_ms") + 21_600_000 + F.floor(F.col("start_ms") / 3_600_000) % 5 * 1_000_000)
-    return interval_join(t, windows, "ms", "start_ms", "stop_ms", ["symbol"]).groupBy("symbol", "start_ms").agg(F.count("*").alias("ticks"))
+    return interval_counts(t, windows, "ms", "start_ms", "stop_ms", ["symbol"], HOUR, "ticks").select("symbol", "start_ms", "ticks")
 
 
 @query(S.with_(S.WALK) + "SELECT max(length(regexp_extract(cast(bid AS varchar), '\\.([^.]*)$', 1)))::int AS decimals FROM ticks_walk")
