@@ -577,12 +577,16 @@ def stream_bars_h1(spark, d):
     return bar_out(finish(spark, spark.read.parquet(f"{at}/ticks"), f"{at}/bars", "H1"))
 
 
+#: Ticks of a CSV file that is streamed, and micro-batches that all files are read in.
+FILE_TICKS, STREAM_BATCHES = 1_000_000, 16
+
+
 def csv_stream(spark, d, **kw):
-    """All ticks as CSV files in time order, loaded as a stream: see ``streaming.load``."""
-    at = shared_path(spark, "csv")
-    t = ticks_raw(spark, d).repartitionByRange(4, "ms").sortWithinPartitions("ms", "seq")
+    """All ticks as CSV files in time order, loaded as a stream: see ``streaming.load``. Files and batches grow with the ticks."""
+    at, t = shared_path(spark, "csv"), ticks_raw(spark, d)
+    t = t.repartitionByRange(max(4, t.count() // FILE_TICKS), "ms").sortWithinPartitions("ms", "seq")
     t.select(F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd HH:mm:ss.SSS").alias("timestamp"), "symbol", "bid", "ask").write.csv(f"{at}/ticks", header=True)
-    return load_stream(spark, f"{at}/ticks", "H1", SourceSpec(symbol_col="symbol"), at=f"{at}/load", range_bytes=1 << 18, batch_ranges=8, **kw)
+    return load_stream(spark, f"{at}/ticks", "H1", SourceSpec(symbol_col="symbol"), at=f"{at}/load", range_bytes=1 << 18, batch_ranges=8, batches=STREAM_BATCHES, **kw)
 
 
 @query(S.with_(S.RAW, S.bars("b", "ticks_raw", "H1")) + f"SELECT {S.BAR_OUT} FROM b")

@@ -33,11 +33,19 @@ def files_of(path: str) -> list[tuple[str, int]]:
     return sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File and f.base_name[0] not in "_.")
 
 
+def batch_of(path: str, size: int, most: int, batches: int) -> int:
+    """Ranges of a micro-batch: ``most``, or as many as it takes to read the folder in ``batches``."""
+    return max(most, -(-sum(-(-length // size) for _, length in files_of(path)) // batches)) if batches else most
+
+
 class RangeReader(SimpleDataSourceStreamReader):
-    """Rows of RANGES. Files are taken by name; one that comes later must have a name after those that are there."""
+    """Rows of RANGES. Files are taken by name; one that comes later must have a name after those that are there.
+
+    With ``batches`` a micro-batch takes more than ``most`` ranges if all that is there wouldn't be read in so many.
+    """
 
-    def __init__(self, path: str, size: int, most: int):
-        self.path, self.size, self.most = path, size, most
+    def __init__(self, path: str, size: int, most: int, batches: int = 0):
+        self.path, self.size, self.most, self.batches = path, size, most, batches
 
     def initialOffset(self) -> dict:
         return {"file": "", "byte": 0}
@@ -51,9 +59,9 @@ class RangeReader(SimpleDataSourceStreamReader):
                 at = stop
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        out, end = [], start
+        out, end, most = [], start, batch_of(self.path, self.size, self.most, self.batches)
         for row, after in self._ranges(start):
-            if len(out) == self.most:
+            if len(out) == most:
                 break
             out.append(row)
             end = after
@@ -67,7 +75,7 @@ class RangeReader(SimpleDataSourceStreamReader):
 
 
 class CsvRanges(DataSource):
-    """Options: path, range_bytes (of a task), batch_ranges (of a micro-batch)."""
+    """Options: path, range_bytes (of a task), batch_ranges (of a micro-batch), batches (0: any number; else batch_ranges gives way)."""
 
     @classmethod
     def name(cls) -> str:
@@ -77,7 +85,7 @@ class CsvRanges(DataSource):
         return RANGES
 
     def simpleStreamReader(self, schema) -> RangeReader:
-        return RangeReader(self.options["path"], int(self.options.get("range_bytes", 16 << 20)), int(self.options.get("batch_ranges", 64)))
+        return RangeReader(self.options["path"], int(self.options.get("range_bytes", 16 << 20)), int(self.options.get("batch_ranges", 64)), int(self.options.get("batches", 0)))
 
 
 def lines_of(path: str, start: int, stop: int) -> tuple[bytes, int]:
@@ -128,14 +136,15 @@ def rows_of(path: str, file_no: int, start: int, stop: int, header: list[str], s
     return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in table.columns), seq], [*header, "_seq"])
 
 
-def stream_text(spark: SparkSession, path: str, header: list[str], range_bytes: int = 16 << 20, batch_ranges: int = 64, sep: str = ",") -> DataFrame:
+def stream_text(spark: SparkSession, path: str, header: list[str], range_bytes: int = 16 << 20, batch_ranges: int = 64, sep: str = ",", batches: int = 0) -> DataFrame:
     """A stream of the rows of a CSV file or folder: all columns as text and ``_seq``, which grows in file order.
 
-    A micro-batch has at most ``batch_ranges`` ranges of ``range_bytes``; a task holds one range at a time. A file's last line
-    may lack its end. What comes to a folder later is read if its name is after the others'.
+    A micro-batch has at most ``batch_ranges`` ranges of ``range_bytes``; a task holds one range at a time. With ``batches`` it
+    has more if the folder couldn't be read in so many, since each costs seconds of its own, whatever it holds. A file's last
+    line may lack its end. What comes to a folder later is read if its name is after the others'.
     """
     spark.dataSource.register(CsvRanges)
-    ranges = spark.readStream.format(CsvRanges.name()).option("path", path).option("range_bytes", range_bytes).option("batch_ranges", batch_ranges).load()
+    ranges = spark.readStream.format(CsvRanges.name()).option("path", path).option("range_bytes", range_bytes).option("batch_ranges", batch_ranges).option("batches", batches).load()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,4 +154,4 @@ def stream_text(spark: SparkSession, path: str, header: list[str], range_bytes:
                     yield rows
 
     columns = ", ".join(f"`{c}` string" for c in header)
-    return ranges.repartition(min(batch_ranges, 4 * spark.sparkContext.defaultParallelism), F.xxhash64("path", "start")).mapInArrow(run, f"{columns}, _seq long")
+    return ranges.repartition(min(batch_of(path, range_bytes, batch_ranges, batches), 4 * spark.sparkContext.defaultParallelism), F.xxhash64("path", "start")).mapInArrow(run, f"{columns}, _seq long")

@@ -114,25 +114,26 @@ class Streamed:
     batches: int
 
 
-def typed_stream(spark: SparkSession, path: str, spec: SourceSpec, symbol: str, range_bytes: int, batch_ranges: int) -> DataFrame:
+def typed_stream(spark: SparkSession, path: str, spec: SourceSpec, symbol: str, range_bytes: int, batch_ranges: int, batches: int = 0) -> DataFrame:
     """The ticks of a CSV stream (symbol, seq, ms, bid, ask) and ``digits``, the most that a row's prices have after the point."""
     header = header_of(spark, path)
     columns, kind = resolve_columns(header, spec, path)
     if kind != "tick":
         raise NotImplementedError("only ticks can be streamed")
     scale = None if spec.tick_size is None else scale_of(None, [], spec)[0]
-    return layout_of(stream_text(spark, path, header, range_bytes, batch_ranges, separator_of(first_line(spark, path))), columns, spec, symbol, scale)
+    return layout_of(stream_text(spark, path, header, range_bytes, batch_ranges, separator_of(first_line(spark, path)), batches), columns, spec, symbol, scale)
 
 
-def load_stream(spark: SparkSession, path: str, tf: str, spec: SourceSpec = SourceSpec(), symbol: str = "", at: str | None = None, range_bytes: int = 16 << 20, batch_ranges: int = 64, progress: Callable[[int, int, int], None] | None = None, with_quality: bool = True) -> Streamed:
+def load_stream(spark: SparkSession, path: str, tf: str, spec: SourceSpec = SourceSpec(), symbol: str = "", at: str | None = None, range_bytes: int = 16 << 20, batch_ranges: int = 64, progress: Callable[[int, int, int], None] | None = None, with_quality: bool = True, batches: int = 0) -> Streamed:
     """Bars of ``tf`` and quality of a CSV file or folder of ticks, read once as a stream. ``at``: folder for its state and parts.
 
     With the same ``at`` a load goes on after the last whole batch, and reads what has come since. Bars equal those of the whole
     load in any order of the ticks, since parts of a bar are merged and none is dropped as late. ``progress`` is told of
-    each batch: its number, the rows so far and its milliseconds. Without ``with_quality`` bars alone are made.
+    each batch: its number, the rows so far and its milliseconds. Without ``with_quality`` bars alone are made. With ``batches``
+    the micro-batches grow beyond ``batch_ranges`` if what is there wouldn't be read in so many.
     """
     at = at or shared_path(spark, "stream-load")
-    ticks = typed_stream(spark, path, spec, symbol, range_bytes, batch_ranges)
+    ticks = typed_stream(spark, path, spec, symbol, range_bytes, batch_ranges, batches)
 
     said = {"rows": 0}
 
