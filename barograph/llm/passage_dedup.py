@@ -32,6 +32,8 @@ from barograph.llm.common import MIX_A, cut, gram_hashes, hash_filter, in_filter
 ANCHOR = 8
 #: Windows of a passage; longer ones are cut.
 PASSAGE = 2000
+#: Characters of the segments that a shard matches at once; a longer segment goes alone.
+BATCH_CHARS = 1 << 18
 #: Stands for a null id, which so is the smallest.
 NO_ID = -(1 << 63)
 
@@ -261,39 +263,45 @@ class Shard:
         order = np.argsort(self.hash)
         self.hash, self.owner, self.offset = self.hash[order], self.owner[order], self.offset[order]
 
-    def occurrences(self, doc: int, th: int, start: int, text: str) -> Iterator[tuple[int, int]]:
-        """Start and number of words of stretches of a segment that passages have elsewhere.
+    def occurrences(self, doc: np.ndarray, th: np.ndarray, start: np.ndarray, texts: list[str]) -> Iterator[tuple[int, int, int]]:
+        """Number of a segment, start and number of words of stretches of it that passages have elsewhere.
 
-        The automaton finds phrases; the windows that hold one whole are looked up among those of the passages, and
-        runs of them that go on in one passage are compared word by word.
+        The automaton finds phrases in all segments at once, line by line; the windows that hold one whole are looked up among
+        those of the passages, and runs of them that go on in one passage are compared word by word. A segment has a window's
+        length at least.
         """
-        raw = bytes_as_text(text)
-        found = [end - long + 1 for end, long in self.automaton.iter(f" {raw} ")] if len(self.automaton) else []
-        if not found:
+        raw = [bytes_as_text(text) for text in texts]
+        lines = f" {' \n '.join(raw)} "
+        found = np.unique(np.fromiter((end - long + 2 for end, long in self.automaton.iter(lines)), np.int64)) if len(self.automaton) else ()
+        if not len(found):
             return
-        hashes = windows_of(text_hashes(text), self.size)
-        blanks = np.flatnonzero(np.frombuffer(raw.encode("latin-1"), np.uint8) == 32)
-        at = np.unique(np.searchsorted(blanks, found, "left"))  # words that a phrase begins with
-        near = np.zeros(len(hashes) + 1, np.int64)
-        np.add.at(near, np.clip(at - (self.size - self.phrase), 0, len(hashes)), 1)
-        np.add.at(near, np.minimum(at + 1, len(hashes)), -1)
+        chars = np.frombuffer(lines.encode("latin-1"), np.uint8)
+        begins = np.flatnonzero((chars[:-1] == 32) & (chars[1:] != 32) & (chars[1:] != 10)) + 1
+        stops = np.cumsum([text.count(" ") + 1 for text in raw])
+        firsts = np.concatenate(([0], stops[:-1]))
+        hashes = windows_of(text_hashes("\n".join(texts)), self.size)
+        at = np.searchsorted(begins, found)  # words that a phrase begins with
+        row = np.searchsorted(stops, at, "right")
+        low, high = np.maximum(at - (self.size - self.phrase), firsts[row]), np.minimum(at, stops[row] - self.size)  # windows of the same segment
+        near = np.bincount(low, minlength=len(hashes) + 1) - np.bincount(high + 1, minlength=len(hashes) + 1)
         mine = np.flatnonzero(near.cumsum()[:-1])
         place = np.minimum(np.searchsorted(self.hash, hashes[mine]), len(self.hash) - 1)
         held = self.hash[place] == hashes[mine]
         owner, offset, mine = self.owner[place[held]], self.offset[place[held]], mine[held]
-        other = (self.doc[owner] != doc) | (self.th[owner] != th) | (self.start[owner] + offset != start + mine)  # not the passage itself
-        owner, offset, mine = owner[other], offset[other], mine[other]
+        row = np.searchsorted(stops, mine, "right")
+        other = (self.doc[owner] != doc[row]) | (self.th[owner] != th[row]) | (self.start[owner] + offset != start[row] + mine - firsts[row])  # not the passage itself
+        owner, offset, mine, row = owner[other], offset[other], mine[other], row[other]
         if not len(mine):
             return
-        words = raw.split(" ")
-        cuts = np.flatnonzero((np.diff(owner) != 0) | (np.diff(offset) != 1) | (np.diff(mine) != 1)) + 1
+        words = " ".join(raw).split(" ")
+        cuts = np.flatnonzero((np.diff(owner) != 0) | (np.diff(offset) != 1) | (np.diff(mine) != 1) | (np.diff(row) != 0)) + 1
         for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(mine)], strict=True):
-            a, k, n = int(mine[i]), int(offset[i]), j - i + self.size - 1
-            known = self.words[owner[i]]
+            a, k, n, r = int(mine[i]), int(offset[i]), j - i + self.size - 1, int(row[i])
+            known, begin = self.words[owner[i]], int(start[r] - firsts[r]) + a
             if words[a : a + n] == known[k : k + n]:
-                yield start + a, n
+                yield r, begin, n
             else:  # windows of equal hashes that differ
-                yield from ((start + a + x, self.size) for x in range(j - i) if words[a + x : a + x + self.size] == known[k + x : k + x + self.size])
+                yield from ((r, begin + x, self.size) for x in range(j - i) if words[a + x : a + x + self.size] == known[k + x : k + x + self.size])
 
 
 def routed(segments: DataFrame, passages: DataFrame, size: int) -> DataFrame:
@@ -335,12 +343,17 @@ def located(parts: DataFrame, folder: str, size: int) -> DataFrame:
         store, top = fs.FileSystem.from_uri(folder)
         now, shard = None, None
         for b in batches:
-            out = []
-            for k, d, t, start, text in zip(*(b[c].to_pylist() for c in ("shard", "doc", "th", "start", "text")), strict=True):
-                if k != now:
-                    now, shard = k, None  # the last one is freed first
-                    shard = Shard(ds.dataset(f"{top}/shard={k}", filesystem=store, format="parquet").to_table(["doc", "th", "start", "text"]), size)
-                out += [(d, t, s, n) for s, n in shard.occurrences(d, t, start, text)]
+            out, texts = [], b["text"].to_pylist()
+            kind, doc, th, start = (b[c].to_numpy() for c in ("shard", "doc", "th", "start"))
+            part = np.cumsum([len(text) for text in texts]) // BATCH_CHARS
+            edges = np.flatnonzero((np.diff(kind) != 0) | (np.diff(part) != 0)) + 1 if len(texts) else ()
+            for i, j in zip([0, *edges], [*edges, len(texts)], strict=True):
+                if i == j:
+                    continue
+                if kind[i] != now:
+                    now, shard = kind[i], None  # the last one is freed first
+                    shard = Shard(ds.dataset(f"{top}/shard={now}", filesystem=store, format="parquet").to_table(["doc", "th", "start", "text"]), size)
+                out += [(int(doc[i + r]), int(th[i + r]), s, n) for r, s, n in shard.occurrences(doc[i:j], th[i:j], start[i:j], texts[i:j])]
             cols = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc", "th", "start", "n"])
 
