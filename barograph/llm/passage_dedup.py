@@ -3,12 +3,14 @@
 1. Anchors. Of the word n-grams inside each window the smallest hash is its anchor, so that equal windows have
    equal anchors. Anchors are counted over the corpus; only windows whose anchor recurs can recur.
 2. Segments. The stretches of such windows, a part of the texts, go on.
-3. Recurring passages are confirmed by counting whole windows; the runs of windows where each is met first in the
-   corpus are the passages. Long ones are cut so that each window lies whole in one piece.
-4. Passages are dealt to shards of bounded size. A shard's Aho-Corasick automaton (pyahocorasick) holds phrases of its
-   passages so close together that every window holds one whole. The windows of each segment stream through the
-   shards whose passages have their anchor: equal windows have equal anchors, so no other shard can match them. The
-   windows around a phrase that is found are looked up among the passages' and compared, which gives every occurrence.
+3. Recurring windows are confirmed by counting whole ones, and where each is met first in the corpus is noted. Runs of
+   first windows that go to one place are the passages.
+4. Each window goes to one place, by its anchor: if the first windows of an anchor lie in one block of one segment,
+   the passages of that block; else those of the anchor alone, split by the window's hash if there are many. So a
+   window is sent once, however many passages have its anchor. Places are dealt to shards of bounded size. A shard's
+   Aho-Corasick automaton (pyahocorasick) holds phrases of its passages so close together that every window holds one
+   whole; the later windows of each segment stream through it. The windows around a phrase that is found are looked up
+   among the passages' and compared, which gives every occurrence.
 5. Words of occurrences of at least a window's length, but for the passage's own place, are removed.
 """
 
@@ -26,12 +28,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from barograph.llm.common import MIX_A, cut, gram_hashes, hash_filter, in_filter, mixed, shared_path, table, text_hashes, words_of
+from barograph.llm.common import MIX_A, cut, forget, gram_hashes, hash_filter, in_filter, mixed, shared_path, table, text_hashes, words_of
 
 #: Words of an anchor.
 ANCHOR = 8
 #: Windows of a passage; longer ones are cut.
 PASSAGE = 2000
+#: First windows that the passages of one anchor may have at one place; more are split by the windows' hashes.
+HOT = 4096
+#: Slots of a hash in the anchor filter, and bits from one to the next.
+SLOTS, SLOT_BITS = 4, 12
 #: Characters of the segments that a shard matches at once; a longer segment goes alone.
 BATCH_CHARS = 1 << 18
 #: Stands for a null id, which so is the smallest.
@@ -44,6 +50,28 @@ def phrase_words(size: int) -> tuple[int, int]:
     return words, size - words + 1
 
 
+def anchor_filter(anchors: DataFrame, bits: int) -> np.ndarray:
+    """SLOTS Bloom filters of ``bits`` bits, each over other bits of the hashes."""
+    return np.stack([hash_filter(anchors.select(F.shiftrightunsigned("hash", i * SLOT_BITS).alias("hash")), bits) for i in range(SLOTS)])
+
+
+def may_recur(passed: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
+    """For each hash (uint64) whether all filters may hold it; only what one lets through is looked up in the next."""
+    may = np.arange(len(hashes))
+    for i, part in enumerate(passed):
+        may = may[in_filter(part, bits, hashes[may] >> np.uint64(i * SLOT_BITS))]
+    out = np.zeros(len(hashes), bool)
+    out[may] = True
+    return out
+
+
+def stretches(lengths: np.ndarray | list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of rows of about ``most`` characters, or one longer row."""
+    part = np.cumsum(lengths) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    return ((i, j) for i, j in zip(edges[:-1], edges[1:], strict=True) if i < j)
+
+
 def windows_of(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of each window of ``size`` words, made of grams of five."""
     part = min(5, size)
@@ -54,6 +82,17 @@ def windows_of(words: np.ndarray, size: int) -> np.ndarray:
     return mixed(h)
 
 
+def windows_in(texts: list[str], counts: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the windows of each text, one text after the other; ``counts``: windows of each, one at least."""
+    out = np.empty(counts.sum(), np.uint64)
+    stops = np.cumsum(counts)
+    for i, j in stretches([len(text) for text in texts], 4 * BATCH_CHARS):
+        n = counts[i:j]
+        hashes = windows_of(text_hashes("\n".join(texts[i:j])), size)
+        out[stops[i] - n[0] : stops[j - 1]] = hashes[np.arange(n.sum()) + np.repeat(np.arange(j - i) * (size - 1), n)]
+    return out
+
+
 def anchor_grams(words: np.ndarray, size: int) -> np.ndarray:
     return gram_hashes(words, min(ANCHOR, size))
 
@@ -134,7 +173,7 @@ def candidate_segments(texts: DataFrame, size: int, passed: np.ndarray, bits: in
                     continue
                 least = anchors_of(anchor_grams(hashes, size), size)
                 runs = runs_of(least)
-                may = np.repeat(in_filter(passed, bits, least[runs]), np.diff(np.append(runs, len(least))))
+                may = np.repeat(may_recur(passed, bits, least[runs]), np.diff(np.append(runs, len(least))))
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], may, [False]))))
                 words = words_of(text) if len(edge) else []
                 for first, stop in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
@@ -162,9 +201,14 @@ def first_of_equal(hashes: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np
     return first[again], recurs[again]
 
 
+FIRSTS = "anchor long, place long, split int, doc long, th long, start int, at array<int>"
+
+
 def first_places(segments: DataFrame, size: int) -> DataFrame:
-    """doc, th, start of a segment and ``at``, windows in it: those that recur, where each is met first of all equal ones.
+    """FIRSTS rows: doc, th, start of a segment and ``at``, windows in it: those of one anchor that recur, where each is met first of all equal ones.
 
+    The first row of each anchor says where its windows go (``place``, null in others), and over how many places
+    they are split by their hashes: 0 if one block of one segment has all first ones, which so is the place.
     Windows go in runs of one anchor, since equal windows have equal anchors. A batch passes on the first place of each
     of its windows only, so that a window that a third of the documents hold reaches the task that orders its
     places once a batch. That task carries from batch to batch what windows of one anchor it has met.
@@ -176,8 +220,8 @@ def first_places(segments: DataFrame, size: int) -> DataFrame:
             if not len(b):
                 continue
             b = b.sort_by([("doc", "ascending"), ("th", "ascending"), ("start", "ascending")])
-            hashes = [windows_of(text_hashes(text), size) for text in b["text"].to_pylist()]
-            h, n = np.concatenate(hashes), [len(x) for x in hashes]
+            n = b["stops"].flatten().to_numpy()[np.cumsum(pc.list_value_length(b["stops"]).to_numpy()) - 1].astype(np.int64)
+            h = windows_in(b["text"].to_pylist(), n, size)
             at = np.arange(len(h)) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
             of_row = np.repeat(np.arange(len(b)), pc.list_value_length(b["anchors"]).to_numpy())
             of_run = np.repeat(np.arange(len(of_row)), b["stops"].flatten().to_numpy() - b["firsts"].flatten().to_numpy())
@@ -192,10 +236,20 @@ def first_places(segments: DataFrame, size: int) -> DataFrame:
         last = None  # of the last anchor, the windows met so far: rows anchor, doc, th, start, hash, at, many
 
         def placed(rows: pa.Table) -> pa.RecordBatch:
-            doc, th, start = (rows[c].to_numpy() for c in ("doc", "th", "start"))
-            begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(doc)), bool), (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (start[1:] != start[:-1]))))
+            anchor, doc, th, start, at = (rows[c].to_numpy() for c in ("anchor", "doc", "th", "start", "at"))
+            new = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(doc) != 0) | (np.diff(th) != 0) | (np.diff(start) != 0))
+            begins, own = np.concatenate(([0], new + 1)), runs_of(anchor)
+            block = mixed(doc.view(np.uint64) * MIX_A + th.view(np.uint64))
+            block = mixed(block * MIX_A + (start.astype(np.uint64) << np.uint64(32)) + (at // PASSAGE).astype(np.uint64)).view(np.int64)
+            low = np.minimum.reduceat(block, own)
+            alone = low == np.maximum.reduceat(block, own)
+            leads = np.isin(begins, own)
+            place, split = np.zeros(len(begins), np.int64), np.zeros(len(begins), np.int32)
+            place[leads] = np.where(alone, low, anchor[own])
+            split[leads] = np.where(alone, 0, -(-np.diff(np.append(own, len(anchor))) // HOT))
             lists = pa.array(np.append(begins, len(doc)).astype(np.int32))
-            return pa.RecordBatch.from_arrays([pa.array(doc[begins]), pa.array(th[begins]), pa.array(start[begins]), pa.ListArray.from_arrays(lists, pa.array(rows["at"].to_numpy()))], ["doc", "th", "start", "at"])
+            columns = [pa.array(anchor[begins]), pa.array(place, mask=~leads), pa.array(split), pa.array(doc[begins]), pa.array(th[begins]), pa.array(start[begins]), pa.ListArray.from_arrays(lists, pa.array(at))]
+            return pa.RecordBatch.from_arrays(columns, ["anchor", "place", "split", "doc", "th", "start", "at"])
 
         for b in batches:
             if not len(b):
@@ -207,34 +261,65 @@ def first_places(segments: DataFrame, size: int) -> DataFrame:
             rows = rows.take(pa.array(first)).drop(["many"]).append_column("many", pa.array(recurs))
             open_ = rows["anchor"].to_numpy() == b["anchor"][len(b) - 1].as_py()  # may go on in the next batch
             last = rows.filter(pa.array(open_))
-            yield placed(rows.filter(pa.array(~open_ & recurs)))
-        if last:
+            if (~open_ & recurs).any():
+                yield placed(rows.filter(pa.array(~open_ & recurs)))
+        if last and pc.any(last["many"]).as_py():
             yield placed(last.filter(last["many"]))
 
     made = segments.select("doc", "th", "start", "text", "anchors", "firsts", "stops").mapInArrow(local, runs)
-    return made.repartition("anchor").sortWithinPartitions("anchor", "doc", "th", "start", "at").mapInArrow(overall, "doc long, th long, start int, at array<int>")
+    return made.repartition("anchor").sortWithinPartitions("anchor", "doc", "th", "start", "at").mapInArrow(overall, FIRSTS)
 
 
-def passages_of(segments: DataFrame, firsts: DataFrame, size: int) -> DataFrame:
-    """doc, th, start, text, anchors of each run of windows that all recur and are met here first; PASSAGE windows at most."""
+PIECES = "passage boolean, place long, doc long, th long, start int, text string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, starts, parts, anchors = [], [], [], []
-            for k, (begin, text, at) in enumerate(zip(b["start"].to_pylist(), b["text"].to_pylist(), b["at"], strict=True)):
-                words, at = text.split(" "), np.sort(at.values.to_numpy())
-                for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                    for first in range(int(part[0]), int(part[-1]) + 1, PASSAGE):
-                        stop = min(first + PASSAGE, int(part[-1]) + 1)
-                        rows.append(k)
-                        starts.append(begin + first)
-                        parts.append(" ".join(words[first : stop + size - 1]))
-                        anchors.append(np.unique(anchors_of(anchor_grams(text_hashes(parts[-1]), size), size)).view(np.int64))
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b["doc"].take(at), b["th"].take(at), pa.array(starts, pa.int32()), pa.array(parts, pa.string()), pa.array(anchors, pa.list_(pa.int64()))], ["doc", "th", "start", "text", "anchors"])
 
-    held = firsts.groupBy("doc", "th", "start").agg(F.flatten(F.collect_list("at")).alias("at"))
-    return segments.select("doc", "th", "start", "text").join(held, ["doc", "th", "start"]).mapInArrow(run, "doc long, th long, start int, text string, anchors array<long>")
+def pieces_of(segments: DataFrame, firsts: DataFrame, size: int) -> DataFrame:
+    """PIECES rows: each segment's windows by the place that they go to; passages (first windows), and what is matched with them.
+
+    A window has one place, so there are no more rows than windows. Ids alone meet on anchors, a row for each run.
+    """
+    ids = ["doc", "th", "start"]
+    routes = firsts.where("place is not null").select("anchor", "place", "split")
+    each = segments.select(*ids, F.explode(F.arrays_zip("anchors", "firsts", "stops")).alias("run")).select(*ids, F.col("run.anchors").alias("anchor"), F.col("run.firsts").alias("first"), F.col("run.stops").alias("stop"))
+    runs = each.join(routes, "anchor").groupBy(*ids).agg(F.collect_list(F.struct("first", "stop", "place", "split")).alias("runs"))
+    held = firsts.groupBy(*ids).agg(F.flatten(F.collect_list("at")).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            yield from (pieces(whole.slice(i, j - i)) for i, j in stretches(pc.binary_length(whole["text"]).to_numpy().astype(np.int64), 8 * BATCH_CHARS))
+
+    def pieces(b: pa.RecordBatch) -> pa.RecordBatch:
+        raw = b["text"].cast(pa.binary()).to_pylist()
+        lines = b" ".join(raw) + b" "
+        begins = np.concatenate(([0], np.flatnonzero(np.frombuffer(lines, np.uint8) == 32) + 1))  # of words
+        words = np.array([text.count(b" ") + 1 for text in raw])
+        base = np.cumsum(words) - words
+        first, stop, place, split = (b["runs"].flatten().field(c).to_numpy() for c in ("first", "stop", "place", "split"))
+        n = (stop - first).astype(np.int64)
+        row = np.repeat(np.repeat(np.arange(len(b)), pc.list_value_length(b["runs"]).to_numpy()), n)
+        at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        place, split = np.repeat(place, n), np.repeat(split, n)
+        if (many := split > 1).any():
+            rows = np.unique(row[many])
+            counts = words[rows] - size + 1
+            hashes = windows_in([raw[k].decode("utf-8", "surrogatepass") for k in rows], counts, size)
+            offset = np.zeros(len(b), np.int64)
+            offset[rows] = np.cumsum(counts) - counts
+            place[many] += (hashes[offset[row[many]] + at[many]] % split[many].astype(np.uint64)).astype(np.int64)
+        at_row = np.repeat(np.arange(len(b)), pc.fill_null(pc.list_value_length(b["at"]), 0).to_numpy())
+        known = np.isin(row << 32 | at, at_row << 32 | b["at"].flatten().to_numpy())
+        order = np.lexsort((at, place, row, known))
+        row, at, place, known = row[order], at[order], place[order], known[order]
+        # passages have no other windows in them; what is matched may, if it has a word in common with what is before
+        new = np.flatnonzero((np.diff(known) != 0) | (np.diff(row) != 0) | (np.diff(place) != 0) | (np.diff(at) > np.where(known[1:], 1, size - 1))) + 1
+        low, high = np.concatenate(([0], new)), np.append(new, len(row)) - 1
+        mine = row[low]
+        starts, stops = begins[base[mine] + at[low]], begins[base[mine] + at[high] + size] - 1
+        texts = pa.array([lines[i:j] for i, j in zip(starts.tolist(), stops.tolist(), strict=True)], pa.binary()).cast(pa.string())
+        of, begin = pa.array(mine), b["start"].to_numpy()[mine] + at[low]
+        return pa.RecordBatch.from_arrays([pa.array(known[low]), pa.array(place[low]), b["doc"].take(of), b["th"].take(of), pa.array(begin.astype(np.int32)), texts], ["passage", "place", *ids, "text"])
+
+    return segments.select(*ids, "text").join(runs.join(held, ids, "left"), ids).mapInArrow(run, PIECES)
 
 
 def bytes_as_text(text: str) -> str:
@@ -304,38 +389,10 @@ class Shard:
                 yield from ((r, begin + x, self.size) for x in range(j - i) if words[a + x : a + x + self.size] == known[k + x : k + x + self.size])
 
 
-def routed(segments: DataFrame, passages: DataFrame, size: int) -> DataFrame:
-    """shard, doc, th, start, text of the stretches of each segment whose anchors a shard has; passages: shard, anchors.
-
-    Ids alone meet on anchors. A common anchor has one row a shard on the passages' side, so that AQE can split its
-    segments.
-    """
-    ids = ["doc", "th", "start"]
-    routes = passages.select(F.explode("anchors").alias("anchor"), "shard").distinct()
-    each = segments.select(*ids, F.explode(F.arrays_zip("anchors", "firsts", "stops")).alias("run")).select(*ids, F.col("run.anchors").alias("anchor"), F.struct("run.firsts", "run.stops").alias("run"))
-    parts = each.join(routes, "anchor").groupBy(*ids, "shard").agg(F.array_sort(F.collect_list("run")).alias("runs"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, starts, texts = [], [], []
-            for k, (begin, text, runs) in enumerate(zip(b["start"].to_pylist(), b["text"].to_pylist(), b["runs"], strict=True)):
-                first, stop = (runs.values.field(c).to_numpy() for c in (0, 1))
-                new = np.flatnonzero(first[1:] >= stop[:-1] + size - 1) + 1  # no word in common with what is before
-                words = text.split(" ")
-                for i, j in zip([0, *new.tolist()], [*new.tolist(), len(first)], strict=True):
-                    rows.append(k)
-                    starts.append(begin + int(first[i]))
-                    texts.append(" ".join(words[first[i] : stop[j - 1] + size - 1]))
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b["shard"].take(at), b["doc"].take(at), b["th"].take(at), pa.array(starts, pa.int32()), pa.array(texts, pa.string())], ["shard", *ids, "text"])
-
-    return parts.join(segments.select(*ids, "text"), ids).mapInArrow(run, "shard int, doc long, th long, start int, text string")
-
-
 def located(parts: DataFrame, folder: str, size: int) -> DataFrame:
     """doc, th, start, n of every occurrence of a passage but its own place; passages lie in ``folder`` by shard.
 
-    ``parts`` (of routed()) are dealt by ranges of shard and place, so that several tasks share a shard that many
+    ``parts`` (of pieces_of()) are dealt by ranges of shard and place, so that several tasks share a shard that many
     segments go to, and a task makes one automaton after the other.
     """
 
@@ -372,23 +429,30 @@ def dedup_passages(docs: DataFrame, size: int = 20, filter_bits: int = 1 << 24,
     are replaced; all others pass through.
 
     ``filter_bits``: least size of the anchor filter, the only thing that is sent to all tasks; it grows with the number
-    of recurring anchors. ``shard_chars``: bound of the characters in one automaton's phrases.
+    of recurring anchors, 8 to 16 bits for each. ``shard_chars``: bound of the characters in one automaton's phrases.
     """
     spark = docs.sparkSession
     several = several_texts(docs, id_col, text_col)
     texts = keyed(docs.select(id_col, F.col(text_col).alias("text")), several, "doc", "th", id_col, "text").select("doc", "th", "text")
     anchors = cut(recurring_anchors(texts, size), "anchors")
-    bits = max(filter_bits, 1 << (8 * anchors.count()).bit_length())
-    segments = cut(candidate_segments(texts, size, hash_filter(anchors, bits), bits), "segments")
-    passages = cut(passages_of(segments, first_places(segments, size), size), "passages")
-    chars = passages.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = max(filter_bits // SLOTS, 1 << (8 // SLOTS * anchors.count()).bit_length())
+    segments = cut(candidate_segments(texts, size, anchor_filter(anchors, bits), bits), "segments")
+    forget(anchors)
+    firsts = cut(first_places(segments, size), "firsts")
+    pieces = cut(pieces_of(segments, firsts, size), "pieces")
+    forget(segments)
+    forget(firsts)
+    chars = pieces.where("passage").agg(F.sum(F.length("text"))).first()[0] or 0
     words, step = phrase_words(size)
     shards = max(1, -(-chars * words // (step * shard_chars)))
     folder = shared_path(spark, "shards")
-    passages = passages.withColumn("shard", F.pmod(F.xxhash64("doc", "start"), F.lit(shards)).cast("int"))
-    passages.drop("anchors").repartition("shard").write.partitionBy("shard").parquet(folder)
-    parts = cut(routed(segments, passages, size), "routed")
-    spots = located(parts, folder, size).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "n")).alias("_pd_spots"))
+    pieces = pieces.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int"))
+    columns = ["shard", "doc", "th", "start", "text"]
+    pieces.where("passage").select(columns).repartition("shard").write.partitionBy("shard").parquet(folder)
+    spots = cut(located(pieces.where("not passage").select(columns), folder, size).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "n")).alias("_pd_spots")), "spots")
+    forget(pieces)
+    if chars:
+        forget(spark.read.parquet(folder))
 
     kept = docs.drop("n_words", "n_removed")
     named = keyed(kept, several, "_pd_doc", "_pd_th", id_col, text_col)
