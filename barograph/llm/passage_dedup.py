@@ -8,8 +8,8 @@
 4. Each window goes to one place, by its anchor: if the first windows of an anchor lie in one block of one segment,
    the passages of that block; else those of the anchor alone, split by the window's hash if there are many. So a
    window is sent once, however many passages have its anchor. Places are dealt to shards of bounded size. A shard's
-   Aho-Corasick automaton (pyahocorasick) holds phrases of its passages so close together that every window holds one
-   whole; the later windows of each segment stream through it. The windows around a phrase that is found are looked up
+   Aho-Corasick automaton (pyahocorasick) holds phrases of its passages, a letter for each word, so close together that
+   every window holds one whole; the later windows of each segment stream through it. The windows around a phrase that is found are looked up
    among the passages' and compared, which gives every occurrence.
 5. Words of occurrences of at least a window's length, but for the passage's own place, are removed.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from barograph.llm.common import MIX_A, cut, forget, gram_hashes, hash_filter, in_filter, mixed, shared_path, table, text_hashes, words_of
+from barograph.llm.common import MIX_A, cut, forget, gram_hashes, hash_filter, in_filter, mixed, shared_path, table, text_hashes, word_hashes, words_of
 
 #: Words of an anchor.
 ANCHOR = 8
@@ -38,8 +38,10 @@ PASSAGE = 2000
 HOT = 4096
 #: Slots of a hash in the anchor filter, and bits from one to the next.
 SLOTS, SLOT_BITS = 4, 12
-#: Characters of the segments that a shard matches at once; a longer segment goes alone.
+#: Characters of the segments that a shard matches at once, and measure of other parts of a batch; a longer text goes alone.
 BATCH_CHARS = 1 << 18
+#: Bits of a word's hash that are its letter in an automaton, 8 at most; a node's letters are looked through one by one.
+LETTER_BITS = 7
 #: Stands for a null id, which so is the smallest.
 NO_ID = -(1 << 63)
 
@@ -72,6 +74,13 @@ def stretches(lengths: np.ndarray | list[int], most: int) -> Iterator[tuple[int,
     return ((i, j) for i, j in zip(edges[:-1], edges[1:], strict=True) if i < j)
 
 
+def slices(batches: Iterator[pa.RecordBatch], text_col: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``most`` bytes of text, or one longer row."""
+    for b in batches:
+        lengths = pc.fill_null(pc.binary_length(b[text_col]), 0).to_numpy().astype(np.int64)
+        yield from (b.slice(i, j - i) for i, j in stretches(lengths, most))
+
+
 def windows_of(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of each window of ``size`` words, made of grams of five."""
     part = min(5, size)
@@ -165,7 +174,7 @@ def candidate_segments(texts: DataFrame, size: int, passed: np.ndarray, bits: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-        for b in batches:
+        for b in slices(batches, "text", 8 * BATCH_CHARS):
             rows, starts, parts, anchors, firsts, stops = [], [], [], [], [], []
             for k, text in enumerate(b["text"].to_pylist()):
                 hashes = text_hashes(text)
@@ -216,9 +225,7 @@ def first_places(segments: DataFrame, size: int) -> DataFrame:
     runs = "anchor long, doc long, th long, start int, at array<int>, hash array<long>, many array<boolean>"
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(b):
-                continue
+        for b in slices(batches, "text", 32 * BATCH_CHARS):
             b = b.sort_by([("doc", "ascending"), ("th", "ascending"), ("start", "ascending")])
             n = b["stops"].flatten().to_numpy()[np.cumsum(pc.list_value_length(b["stops"]).to_numpy()) - 1].astype(np.int64)
             h = windows_in(b["text"].to_pylist(), n, size)
@@ -285,8 +292,7 @@ def pieces_of(segments: DataFrame, firsts: DataFrame, size: int) -> DataFrame:
     held = firsts.groupBy(*ids).agg(F.flatten(F.collect_list("at")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            yield from (pieces(whole.slice(i, j - i)) for i, j in stretches(pc.binary_length(whole["text"]).to_numpy().astype(np.int64), 8 * BATCH_CHARS))
+        yield from map(pieces, slices(batches, "text", 8 * BATCH_CHARS))
 
     def pieces(b: pa.RecordBatch) -> pa.RecordBatch:
         raw = b["text"].cast(pa.binary()).to_pylist()
@@ -322,71 +328,79 @@ def pieces_of(segments: DataFrame, firsts: DataFrame, size: int) -> DataFrame:
     return segments.select(*ids, "text").join(runs.join(held, ids, "left"), ids).mapInArrow(run, PIECES)
 
 
-def bytes_as_text(text: str) -> str:
-    """A character for each byte of UTF-8, so that places in it are places in the bytes."""
-    return text.encode("utf-8", "surrogatepass").decode("latin-1")
-
-
 class Shard:
-    """Automaton over phrases of some passages, and where each of their windows is."""
+    """Automaton over phrases of some passages, and where each of their windows is.
+
+    The automaton has a letter for each word, LETTER_BITS of its hash, so that it has no more nodes than the passages have
+    words. It misses no phrase; what it finds wrongly is dropped when windows are looked up and compared.
+    """
 
     def __init__(self, passages: pa.Table, size: int):
         self.size, (self.phrase, step) = size, phrase_words(size)
-        self.words = [bytes_as_text(t).split(" ") for t in passages["text"].to_pylist()]
         self.doc, self.th, self.start = (passages[c].to_numpy() for c in ("doc", "th", "start"))
-        self.automaton = ahocorasick.Automaton()
-        for words in self.words:
-            for at in range(0, len(words) - self.phrase + 1, step):
-                phrase = f" {' '.join(words[at : at + self.phrase])} "
-                self.automaton.add_word(phrase, len(phrase))
-        if len(self.automaton):
-            self.automaton.make_automaton()
-        hashes = [windows_of(text_hashes(t), size) for t in passages["text"].to_pylist()]
-        self.owner = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
-        self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.offset = np.arange(len(self.hash)) - np.concatenate(([0], np.cumsum([len(x) for x in hashes])))[self.owner].astype(np.int64)
+        self.lines, self.begins, self.stops = lines_of(passages["text"].to_pylist())
+        words, firsts = word_hashes(self.lines), np.concatenate(([0], self.stops[:-1]))
+        letters = letters_of(words)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for first, stop in zip(firsts.tolist(), self.stops.tolist(), strict=True):
+            for at in range(first, stop - self.phrase + 1, step):
+                self.automaton.add_word(letters[at : at + self.phrase])
+        self.automaton.make_automaton()
+        n = self.stops - firsts - size + 1  # windows of each passage, one at least
+        self.at = np.arange(n.sum()) + np.repeat(firsts - (np.cumsum(n) - n), n)  # the word that a window begins with
+        self.hash = windows_of(words, size)[self.at]
         order = np.argsort(self.hash)
-        self.hash, self.owner, self.offset = self.hash[order], self.owner[order], self.offset[order]
+        self.hash, self.at = self.hash[order], self.at[order]
 
     def occurrences(self, doc: np.ndarray, th: np.ndarray, start: np.ndarray, texts: list[str]) -> Iterator[tuple[int, int, int]]:
         """Number of a segment, start and number of words of stretches of it that passages have elsewhere.
 
-        The automaton finds phrases in all segments at once, line by line; the windows that hold one whole are looked up among
+        The automaton finds phrases in all segments at once; the windows that hold one whole are looked up among
         those of the passages, and runs of them that go on in one passage are compared word by word. A segment has a window's
         length at least.
         """
-        raw = [bytes_as_text(text) for text in texts]
-        lines = f" {' \n '.join(raw)} "
-        found = np.unique(np.fromiter((end - long + 2 for end, long in self.automaton.iter(lines)), np.int64)) if len(self.automaton) else ()
-        if not len(found):
-            return
-        chars = np.frombuffer(lines.encode("latin-1"), np.uint8)
-        begins = np.flatnonzero((chars[:-1] == 32) & (chars[1:] != 32) & (chars[1:] != 10)) + 1
-        stops = np.cumsum([text.count(" ") + 1 for text in raw])
-        firsts = np.concatenate(([0], stops[:-1]))
-        hashes = windows_of(text_hashes("\n".join(texts)), self.size)
-        at = np.searchsorted(begins, found)  # words that a phrase begins with
+        lines, begins, stops = lines_of(texts)
+        words, firsts = word_hashes(lines), np.concatenate(([0], stops[:-1]))
+        at = np.fromiter((end for end, _ in self.automaton.iter(letters_of(words))), np.int64) - (self.phrase - 1)  # words that a phrase begins with
         row = np.searchsorted(stops, at, "right")
+        inside = at + self.phrase <= stops[row]  # not the end of a segment and the begin of the next
+        at, row = at[inside], row[inside]
+        if not len(at):
+            return
+        hashes = windows_of(words, self.size)
         low, high = np.maximum(at - (self.size - self.phrase), firsts[row]), np.minimum(at, stops[row] - self.size)  # windows of the same segment
         near = np.bincount(low, minlength=len(hashes) + 1) - np.bincount(high + 1, minlength=len(hashes) + 1)
         mine = np.flatnonzero(near.cumsum()[:-1])
         place = np.minimum(np.searchsorted(self.hash, hashes[mine]), len(self.hash) - 1)
         held = self.hash[place] == hashes[mine]
-        owner, offset, mine = self.owner[place[held]], self.offset[place[held]], mine[held]
-        row = np.searchsorted(stops, mine, "right")
+        known, mine = self.at[place[held]], mine[held]
+        owner, row = np.searchsorted(self.stops, known, "right"), np.searchsorted(stops, mine, "right")
+        offset = known - np.concatenate(([0], self.stops[:-1]))[owner]
         other = (self.doc[owner] != doc[row]) | (self.th[owner] != th[row]) | (self.start[owner] + offset != start[row] + mine - firsts[row])  # not the passage itself
-        owner, offset, mine, row = owner[other], offset[other], mine[other], row[other]
+        owner, known, mine, row = owner[other], known[other], mine[other], row[other]
         if not len(mine):
             return
-        words = " ".join(raw).split(" ")
-        cuts = np.flatnonzero((np.diff(owner) != 0) | (np.diff(offset) != 1) | (np.diff(mine) != 1) | (np.diff(row) != 0)) + 1
+        cuts = np.flatnonzero((np.diff(owner) != 0) | (np.diff(known) != 1) | (np.diff(mine) != 1) | (np.diff(row) != 0)) + 1
         for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(mine)], strict=True):
-            a, k, n, r = int(mine[i]), int(offset[i]), j - i + self.size - 1, int(row[i])
-            known, begin = self.words[owner[i]], int(start[r] - firsts[r]) + a
-            if words[a : a + n] == known[k : k + n]:
+            a, k, n, r = int(mine[i]), int(known[i]), j - i + self.size - 1, int(row[i])
+            alike = lambda x, n: lines[begins[a + x] : begins[a + x + n]] == self.lines[self.begins[k + x] : self.begins[k + x + n]]  # noqa: B023, E731
+            begin = int(start[r] - firsts[r]) + a
+            if alike(0, n):
                 yield r, begin, n
             else:  # windows of equal hashes that differ
-                yield from ((r, begin + x, self.size) for x in range(j - i) if words[a + x : a + x + self.size] == known[k + x : k + x + self.size])
+                yield from ((r, begin + x, self.size) for x in range(j - i) if alike(x, self.size))
+
+
+def lines_of(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Texts of words with one blank between as one, each word with a blank behind; where words begin in it, and the end; words up to the end of each text."""
+    lines = " ".join([*texts, ""]).encode("utf-8", "surrogatepass")
+    begins = np.concatenate(([0], np.flatnonzero(np.frombuffer(lines, np.uint8) == 32) + 1))
+    return lines, begins, np.cumsum([text.count(" ") + 1 for text in texts])
+
+
+def letters_of(words: np.ndarray) -> str:
+    """A letter for each word hash."""
+    return (words >> np.uint64(64 - LETTER_BITS)).astype(np.uint8).tobytes().decode("latin-1")
 
 
 def located(parts: DataFrame, folder: str, size: int) -> DataFrame:
@@ -400,17 +414,17 @@ def located(parts: DataFrame, folder: str, size: int) -> DataFrame:
         store, top = fs.FileSystem.from_uri(folder)
         now, shard = None, None
         for b in batches:
-            out, texts = [], b["text"].to_pylist()
+            out, text = [], b["text"]
             kind, doc, th, start = (b[c].to_numpy() for c in ("shard", "doc", "th", "start"))
-            part = np.cumsum([len(text) for text in texts]) // BATCH_CHARS
-            edges = np.flatnonzero((np.diff(kind) != 0) | (np.diff(part) != 0)) + 1 if len(texts) else ()
-            for i, j in zip([0, *edges], [*edges, len(texts)], strict=True):
+            part = np.cumsum(pc.binary_length(text).to_numpy().astype(np.int64)) // BATCH_CHARS
+            edges = np.flatnonzero((np.diff(kind) != 0) | (np.diff(part) != 0)) + 1 if len(text) else ()
+            for i, j in zip([0, *edges], [*edges, len(text)], strict=True):
                 if i == j:
                     continue
                 if kind[i] != now:
                     now, shard = kind[i], None  # the last one is freed first
                     shard = Shard(ds.dataset(f"{top}/shard={now}", filesystem=store, format="parquet").to_table(["doc", "th", "start", "text"]), size)
-                out += [(int(doc[i + r]), int(th[i + r]), s, n) for r, s, n in shard.occurrences(doc[i:j], th[i:j], start[i:j], texts[i:j])]
+                out += [(int(doc[i + r]), int(th[i + r]), s, n) for r, s, n in shard.occurrences(doc[i:j], th[i:j], start[i:j], text.slice(i, j - i).to_pylist())]
             cols = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc", "th", "start", "n"])
 
@@ -429,7 +443,7 @@ def dedup_passages(docs: DataFrame, size: int = 20, filter_bits: int = 1 << 24,
     are replaced; all others pass through.
 
     ``filter_bits``: least size of the anchor filter, the only thing that is sent to all tasks; it grows with the number
-    of recurring anchors, 8 to 16 bits for each. ``shard_chars``: bound of the characters in one automaton's phrases.
+    of recurring anchors, 8 to 16 bits for each. ``shard_chars``: bound of the characters in one shard's phrases.
     """
     spark = docs.sparkSession
     several = several_texts(docs, id_col, text_col)
@@ -461,7 +475,7 @@ def dedup_passages(docs: DataFrame, size: int = 20, filter_bits: int = 1 << 24,
     held, names = kept.columns, schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, text_col, 8 * BATCH_CHARS):
             text_out, n_words, n_removed = [], [], []
             for text, each in zip(b[text_col].to_pylist(), b["_pd_spots"].to_pylist(), strict=True):
                 words = words_of(text)

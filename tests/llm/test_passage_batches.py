@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 
+from barograph.llm.common import text_hashes
 from barograph.llm.passage_dedup import Shard
 
 
@@ -15,3 +16,16 @@ def test_segments_are_matched_at_once():
     alone = sorted((k, s, n) for k, t in enumerate(texts) for _, s, n in shard.occurrences(doc[k : k + 1], np.zeros(1, int), start[k : k + 1], [" ".join(t)]))
     covered = lambda spots: {(k, s + x) for k, s, n in spots for x in range(n)}
     assert all_at_once == alone and covered(alone) == {(1, 5 + x) for x in range(25)} | {(2, 40 + x) for x in range(25)} | {(5, 2 + x) for x in range(25)} | {(6, 12 + x) for x in range(25)} | {(6, 38 + x) for x in range(20)}
+
+
+def test_an_automaton_has_no_more_nodes_than_its_passages_have_words():
+    texts = [" ".join(f"word{(k * 977 + i * i) % 9973}" for i in range(200)) for k in range(50)]
+    zeros = np.zeros(50, int)
+    shard = Shard(pa.table({"doc": np.arange(50), "th": zeros, "start": zeros, "text": texts}), 20)
+    assert shard.automaton.get_stats()["nodes_count"] <= 50 * 200
+    # words of one letter in the automaton, but of other hashes: what it finds wrongly is no occurrence
+    letter = lambda w: int(text_hashes(w)[0]) >> 57
+    words = texts[7].split(" ")
+    alike = [next(w for w in (f"{x}x{j}" for j in range(10**6)) if letter(w) == letter(x)) for x in words]
+    rows = [" ".join(alike), " ".join(alike[:30] + words[30:55] + alike[55:])]
+    assert list(shard.occurrences(np.array([90, 91]), np.zeros(2, int), np.zeros(2, int), rows)) == [(1, 30, 25)]
